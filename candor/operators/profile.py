@@ -96,10 +96,12 @@ def top_unigrams(df: DataFrame, text: str, label: str, k: int = 20) -> DataFrame
     tokens = df.select(F.col(label).alias("label"), tokenize(text).alias("_t"))
     terms = tokens.select("label", F.explode_outer("_t").alias("term")).where("term is not null")
     per_class = terms.groupBy("label", "term").agg(F.count("*").alias("n"))
-    overall = per_class.groupBy("term").agg(F.sum("n").alias("n"))
+    # Overall counts come from the class counts, so the text is read once.
+    both = per_class.select(F.explode(F.array("label", F.lit("*"))).alias("label"), "term", "n")
     order = Window.partitionBy("label").orderBy(F.desc("n"), "term")
     return (
-        per_class.unionByName(overall.select(F.lit("*").alias("label"), "term", "n"))
+        both.groupBy("label", "term")
+        .agg(F.sum("n").alias("n"))
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= k)
         .select("label", "place", "term", "n")

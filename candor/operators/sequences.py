@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +20,10 @@ def fit_token_ids(df: DataFrame, text: str, vocab_size: int) -> DataFrame:
     """(term, token_id) of the most frequent terms, ids from 2 by falling count."""
     if vocab_size > MAX_TERMS:
         raise ValueError(f"a vocabulary may hold at most {MAX_TERMS} terms")
-    top = (
-        corpus_term_counts(df, tokenize(text)).orderBy(F.desc("tf"), "term").limit(vocab_size)
-    ).collect()
-    rows = [(r["term"], i) for i, r in enumerate(top, FIRST_TERM_ID)]
-    return df.sparkSession.createDataFrame(rows, "term string, token_id int")
+    counts = corpus_term_counts(df, tokenize(text))
+    top = counts.orderBy(F.desc("tf"), "term").limit(vocab_size).select("term").toArrow()
+    ids = pa.array(range(FIRST_TERM_ID, FIRST_TERM_ID + top.num_rows), pa.int32())
+    return df.sparkSession.createDataFrame(top.append_column("token_id", ids))
 
 
 def id_lookup(token_ids: DataFrame) -> Column:

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candor.functions.text import ngrams, remove_stop_words
-from candor.operators.lookup import small_table
 
 
 @dataclass(frozen=True)
@@ -92,8 +91,12 @@ class Vocabulary:
         return cls(tuple(r["term"] for r in rows), tuple(r["idf"] for r in rows))
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(i, t, w) for i, (t, w) in enumerate(zip(self.terms, self.idf))]
-        return small_table(spark.createDataFrame(rows, "term_id int, term string, idf double"))
+        columns = {
+            "term_id": pa.array(range(len(self.terms)), pa.int32()),
+            "term": pa.array(self.terms, pa.string()),
+            "idf": pa.array(self.idf, pa.float64()),
+        }
+        return spark.createDataFrame(pa.table(columns))
 
 
 def sparse_vector(size: int, indices: Column, values: Column) -> Column:
@@ -172,7 +175,8 @@ def tfidf_long(
     """(key, term, weight) for the terms of each document that the vocabulary knows."""
     vectors = tfidf_vectors(df.select(key, tokens), vocabulary, tokens, spec, normalize=normalize)
     entries = vector_entries(vectors, [key], "features", "weight")
-    names = vocabulary.table(df.sparkSession).select("term_id", "term")
+    # Broadcast: a vocabulary has at most max_features rows.
+    names = F.broadcast(vocabulary.table(df.sparkSession).select("term_id", "term"))
     return entries.join(names, "term_id").select(key, "term", "weight")
 
 

@@ -8,6 +8,7 @@ read the staged vectors.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
 from multiprocessing.pool import ThreadPool
@@ -36,7 +37,13 @@ from candor.operators.splits import assign_folds, nested_split, stratified_split
 from candor.operators.tfidf import TextFeatures, Vocabulary, fit_vocabulary, tfidf_vectors
 from candor.sources.staging import stage
 
-TOLERANCE = 1e-4
+# Stop when the gradient's norm falls to this share of the loss.
+TOLERANCE = 1e-3
+
+# Every solver iteration is one job over the cached training rows.  Few rows per
+# task would make it all scheduling; trees do far more work per row.
+ROWS_PER_TASK = 20_000
+ROWS_PER_TREE_TASK = 250
 
 # Given the number of training rows, build an unfitted classifier.  Balanced
 # weights sum to that number, so the penalty 1 / (c * rows) equals inverse
@@ -89,6 +96,7 @@ class ModelSpec:
     name: str
     features: TextFeatures
     classifier: ClassifierRule
+    rows_per_task: int = ROWS_PER_TASK
 
 
 def baseline_a(max_features: int = 5000) -> ModelSpec:
@@ -118,7 +126,8 @@ def proposed_multinomial(max_features: int = 4000) -> ModelSpec:
 
 
 def forest(max_features: int = 2000) -> ModelSpec:
-    return ModelSpec("RandomForest", TextFeatures(max_features, (1, 2)), random_forest())
+    features = TextFeatures(max_features, (1, 2))
+    return ModelSpec("RandomForest", features, random_forest(), ROWS_PER_TREE_TASK)
 
 
 def three_models() -> list[ModelSpec]:
@@ -248,24 +257,45 @@ def _class_names(classes: DataFrame) -> tuple[str, ...]:
     return tuple(r["label"] for r in sorted(classes.collect(), key=lambda r: r["label_id"]))
 
 
+def spread(df: DataFrame, rows: int, rows_per_task: int) -> DataFrame:
+    """Bring a small table to the number of tasks its rows deserve.
+
+    A table with a task for every core or more is only ever merged down.
+    """
+    wanted = max(1, math.ceil(rows / rows_per_task))
+    have = df.rdd.getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if wanted < have:
+        return df.coalesce(wanted)
+    return df.repartition(min(wanted, cores)) if have < min(wanted, cores) else df
+
+
+def in_parallel(spark: SparkSession, work: Callable, items: Sequence, threads: int) -> list:
+    """Run independent jobs side by side, so that the cluster need not idle between them."""
+    with ThreadPool(max(1, min(threads, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), items)
+
+
 def fit_model(corpus: Corpus, features: Features, spec: ModelSpec) -> TextModel:
     train = features.split("train")
-    classifier = spec.classifier(train.count()).fit(train)
+    rows = train.count()
+    classifier = spec.classifier(rows).fit(spread(train, rows, spec.rows_per_task))
     return TextModel(
         spec.name, spec.features, features.vocabulary, _class_names(corpus.classes), classifier
     )
 
 
 def train_all(
-    corpus: Corpus, specs: Sequence[ModelSpec]
+    corpus: Corpus, specs: Sequence[ModelSpec], parallelism: int = 4
 ) -> tuple[list[TextModel], dict[TextFeatures, Features]]:
     """Fit every model; features are staged once per distinct specification."""
-    staged: dict[TextFeatures, Features] = {}
-    models = []
-    for spec in specs:
-        if spec.features not in staged:
-            staged[spec.features] = stage_features(corpus, spec.features)
-        models.append(fit_model(corpus, staged[spec.features], spec))
+    spark = corpus.rows.sparkSession
+    distinct = list(dict.fromkeys(spec.features for spec in specs))
+    vectors = in_parallel(spark, lambda f: stage_features(corpus, f), distinct, parallelism)
+    staged = dict(zip(distinct, vectors))
+    models = in_parallel(
+        spark, lambda spec: fit_model(corpus, staged[spec.features], spec), specs, parallelism
+    )
     return models, staged
 
 
@@ -320,9 +350,8 @@ def cross_validate(
             for rank, (name, rule) in enumerate(candidates.items())
         ]
 
-    with ThreadPool(parallelism) as pool:
-        work = inheritable_thread_target(df.sparkSession)(run)
-        frames = [frame for scored in pool.map(work, range(k)) for frame in scored]
+    scored = in_parallel(df.sparkSession, run, range(k), parallelism)
+    frames = [frame for fold in scored for frame in fold]
     union = frames[0]
     for frame in frames[1:]:
         union = union.unionByName(frame)

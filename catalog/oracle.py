@@ -447,8 +447,8 @@ WITH batch AS (
   SELECT (user_id % 3)::INT AS run, dayofmonth(ts)::INT AS epoch,
          CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'train' ELSE 'val' END AS phase,
          value, {hashed('42', 'event_id')} % 17 AS correct FROM events)
-SELECT run, epoch, phase, round(avg(value), 8) AS loss,
-       round(sum(correct) / (16 * count(*)), 8) AS accuracy FROM batch GROUP BY ALL"""
+SELECT run, epoch, phase, round(avg(value), 9) AS loss,
+       round(sum(correct) / (16 * count(*)), 9) AS accuracy FROM batch GROUP BY ALL"""
 
 # --- errors ----------------------------------------------------------------------------
 

@@ -23,8 +23,9 @@ from candor.operators import (
     voting,
 )
 from candor.operators import labels as lab
+from candor.operators.lookup import small_table
 from candor.plans import models as plan
-from candor.sources.staging import shared_folder
+from candor.sources.staging import shared_folder, stage
 from catalog import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,7 +57,7 @@ def query(fn: Query) -> Query:
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.confusion_cells(t.predictions(spark, sf_dir))
+    return small_table(metrics.confusion_cells(t.predictions(spark, sf_dir)))
 
 
 # --- columns and schemas ---------------------------------------------------------------
@@ -238,7 +239,9 @@ def tfidf_l2(spark, sf_dir):
 @query
 def tfidf_apply(spark, sf_dir):
     split = splits.stratified_split(t.labels(spark, sf_dir), "doc_id", "label")
-    docs = t.tokens(spark, sf_dir).join(split, "doc_id")
+    texts = t.table(spark, sf_dir, "documents").select("doc_id", "text").join(split, "doc_id")
+    tokens = txt.tokenize(txt.clean_text("text")).alias("tokens")
+    docs = stage(texts.select("doc_id", "split", tokens), "split-tokens", "split")
     train = docs.where("split = 'train'")
     vocabulary = tfidf.Vocabulary.from_table(tfidf.fit_vocabulary(train, "tokens", ENHANCED))
     test = docs.where("split = 'test'")
@@ -380,7 +383,8 @@ def _with_vote(spark, sf_dir):
 
 @query
 def key_insights(spark, sf_dir):
-    comparison = metrics.model_comparison(metrics.confusion_cells(_with_vote(spark, sf_dir)))
+    cells = small_table(metrics.confusion_cells(_with_vote(spark, sf_dir)))
+    comparison = metrics.model_comparison(cells)
     return metrics.key_insights(comparison, lab.imbalance_ratio(t.labels(spark, sf_dir)))
 
 
@@ -398,8 +402,8 @@ def ensemble_comparison(spark, sf_dir):
 def training_history(spark, sf_dir):
     history = profile.training_history(t.batch_log(spark, sf_dir))
     return history.select(
-        "run", "epoch", "phase", F.round("loss", 8).alias("loss"),
-        F.round("accuracy", 8).alias("accuracy"),
+        "run", "epoch", "phase", F.round("loss", 9).alias("loss"),
+        F.round("accuracy", 9).alias("accuracy"),
     )
 
 
