@@ -61,14 +61,18 @@ def predict_linear(
 
 
 def predict_batches(
-    df: DataFrame, vector: str, make_predict_fn: Callable, batch_size: int = 16
+    df: DataFrame, vector: str, width: int, make_predict_fn: Callable, batch_size: int = 16
 ) -> DataFrame:
     """Score with any batch model: ``make_predict_fn`` loads it once per Python worker.
 
-    Its function maps a numpy batch of vectors to a numpy batch of logits.
+    Its function maps a numpy batch of vectors of ``width`` entries to a numpy
+    batch of logits.
     """
     logits = predict_batch_udf(
-        make_predict_fn, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size
+        make_predict_fn,
+        return_type=T.ArrayType(T.DoubleType()),
+        batch_size=batch_size,
+        input_tensor_shapes=[[width]],
     )
     scored = df.withColumn("probabilities", softmax(logits(F.col(vector))))
     return scored.withColumn("prediction", argmax(F.col("probabilities")))
