@@ -44,6 +44,16 @@ def tokenize(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(as_text(text)), F.lit(TOKEN), F.lit(0))
 
 
+def clean_tokens(text: Column | str) -> Column:
+    """The tokens of the cleaned text.
+
+    Equal to ``tokenize(clean_text(text))``, without the pass that squeezes
+    whitespace, which no token can hold.
+    """
+    kept = F.regexp_replace(F.lower(as_text(text)), DROPPED, "")
+    return F.regexp_extract_all(kept, F.lit(TOKEN), F.lit(0))
+
+
 def split_words(text: Column | str) -> Column:
     """Whitespace-separated words, without empty ones."""
     return F.filter(F.split(as_text(text), WHITESPACE), lambda w: w != "")

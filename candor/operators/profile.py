@@ -14,7 +14,6 @@ from candor.functions.text import (
     holds_phrase,
     preview,
     split_words,
-    tokenize,
 )
 from candor.operators.roles import quoted
 
@@ -74,27 +73,27 @@ def n_words(text: str) -> Column:
     return F.size(split_words(text)).cast("bigint")
 
 
-def token_length_histogram(df: DataFrame, text: str, width: int = 50) -> DataFrame:
+def token_length_histogram(df: DataFrame, tokens: str, width: int = 50) -> DataFrame:
     """(bucket, n): documents by number of tokens, in steps of ``width``."""
-    length = F.size(tokenize(text))
+    length = F.size(tokens)
     bucket = (F.floor(length / width) * width).cast("bigint").alias("bucket")
     return df.groupBy(bucket).agg(F.count("*").alias("n"))
 
 
 def sequence_length_quantiles(
-    df: DataFrame, text: str, quantiles: Sequence[float] = (0.5, 0.9, 0.95, 0.99)
+    df: DataFrame, tokens: str, quantiles: Sequence[float] = (0.5, 0.9, 0.95, 0.99)
 ) -> DataFrame:
     """Approximate token-length quantiles, for choosing a sequence length."""
-    sizes = F.size(tokenize(text))
     return df.agg(
-        *[F.percentile_approx(sizes, q, 10_000).alias(f"p{round(q * 100)}") for q in quantiles]
+        *[F.percentile_approx(F.size(tokens), q, 10_000).alias(f"p{round(q * 100)}") for q in quantiles]
     )
 
 
-def top_unigrams(df: DataFrame, text: str, label: str, k: int = 20) -> DataFrame:
+def top_unigrams(df: DataFrame, tokens: str, label: str, k: int = 20) -> DataFrame:
     """(label, place, term, n): the k commonest tokens per class and, as ``*``, overall."""
-    tokens = df.select(F.col(label).alias("label"), tokenize(text).alias("_t"))
-    terms = tokens.select("label", F.explode_outer("_t").alias("term")).where("term is not null")
+    terms = df.select(
+        F.col(label).alias("label"), F.explode_outer(tokens).alias("term")
+    ).where("term is not null")
     per_class = terms.groupBy("label", "term").agg(F.count("*").alias("n"))
     # Overall counts come from the class counts, so the text is read once.
     both = per_class.select(F.explode(F.array("label", F.lit("*"))).alias("label"), "term", "n")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candor.functions.arrays import let
-from candor.functions.text import pad_to, tokenize
+from candor.functions.text import pad_to
 from candor.operators.tfidf import corpus_term_counts, json_literal
 
 PADDING_ID = 0
@@ -16,11 +16,11 @@ FIRST_TERM_ID = 2
 MAX_TERMS = 200_000
 
 
-def fit_token_ids(df: DataFrame, text: str, vocab_size: int) -> DataFrame:
+def fit_token_ids(df: DataFrame, tokens: str, vocab_size: int) -> DataFrame:
     """(term, token_id) of the most frequent terms, ids from 2 by falling count."""
     if vocab_size > MAX_TERMS:
         raise ValueError(f"a vocabulary may hold at most {MAX_TERMS} terms")
-    counts = corpus_term_counts(df, tokenize(text))
+    counts = corpus_term_counts(df, tokens)
     top = counts.orderBy(F.desc("tf"), "term").limit(vocab_size).select("term").toArrow()
     ids = pa.array(range(FIRST_TERM_ID, FIRST_TERM_ID + top.num_rows), pa.int32())
     return df.sparkSession.createDataFrame(top.append_column("token_id", ids))
@@ -41,16 +41,19 @@ def id_lookup(token_ids: DataFrame) -> Column:
 
 
 def encode_sequences(
-    df: DataFrame, token_ids: DataFrame, text: str, max_length: int = 256
+    df: DataFrame, token_ids: DataFrame, tokens: str, max_length: int = 256
 ) -> DataFrame:
-    """Add ``input_ids`` and ``attention_mask``, both of ``max_length`` entries."""
+    """Add ``input_ids`` and ``attention_mask``, both of ``max_length`` entries.
+
+    Longer token arrays are cut at ``max_length``, as a model input must be.
+    """
     table = id_lookup(token_ids)
 
     def encoded(token: Column) -> Column:
         slot = F.pmod(F.xxhash64(token), F.size(table)).cast("int")
         return F.coalesce(F.element_at(F.get(table, slot), token), F.lit(UNKNOWN_ID))
 
-    kept = F.slice(tokenize(text), F.lit(1), F.lit(max_length))
+    kept = F.slice(tokens, F.lit(1), F.lit(max_length))
     ids = let(kept, lambda t: F.transform(t, encoded))
     sequences = df.withColumn("_ids", ids)
     mask = F.transform("_ids", lambda _: F.lit(1))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candor.functions.stopwords import ENGLISH
-from candor.functions.text import clean_text, tokenize
+from candor.functions.text import clean_tokens
 from candor.operators.labels import (
     class_table,
     class_weights,
@@ -181,7 +181,7 @@ def prepare_corpus(
         rows = held_out.unionByName(shaped(test).withColumn("split", F.lit("test")))
     classes = class_table(known)
     encoded = encode_labels(rows, classes)
-    tokens = encoded.withColumn("tokens", tokenize(clean_text("text"))).drop("text")
+    tokens = encoded.withColumn("tokens", clean_tokens("text")).drop("text")
     return Corpus(stage(tokens, "corpus", "split"), classes, key)
 
 
@@ -336,7 +336,7 @@ def cross_validate(
     )
     classes = class_table(rows)
     folds = assign_folds(encode_labels(rows, classes), key, "label", k, seed=seed)
-    tokens = folds.withColumn("tokens", tokenize(clean_text("text"))).drop("text")
+    tokens = folds.withColumn("tokens", clean_tokens("text")).drop("text")
     staged = stage(tokens, "folds", "fold")
 
     def run(fold: int) -> list[DataFrame]:

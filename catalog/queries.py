@@ -187,9 +187,9 @@ def synonym_replace(spark, sf_dir):
 
 @query
 def encode_sequences(spark, sf_dir):
-    docs = t.table(spark, sf_dir, "documents").select("doc_id", txt.clean_text("text").alias("c"))
-    ids = sequences.fit_token_ids(docs, "c", 3000)
-    encoded = sequences.encode_sequences(docs, ids, "c", MAX_LENGTH)
+    docs = t.tokens(spark, sf_dir)
+    ids = sequences.fit_token_ids(docs, "tokens", 3000)
+    encoded = sequences.encode_sequences(docs, ids, "tokens", MAX_LENGTH)
     return encoded.select(
         "doc_id",
         F.array_join("input_ids", " ").alias("input_ids"),
@@ -240,7 +240,7 @@ def tfidf_l2(spark, sf_dir):
 def tfidf_apply(spark, sf_dir):
     split = splits.stratified_split(t.labels(spark, sf_dir), "doc_id", "label")
     texts = t.table(spark, sf_dir, "documents").select("doc_id", "text").join(split, "doc_id")
-    tokens = txt.tokenize(txt.clean_text("text")).alias("tokens")
+    tokens = txt.clean_tokens("text").alias("tokens")
     docs = stage(texts.select("doc_id", "split", tokens), "split-tokens", "split")
     train = docs.where("split = 'train'")
     vocabulary = tfidf.Vocabulary.from_table(tfidf.fit_vocabulary(train, "tokens", ENHANCED))
@@ -439,20 +439,18 @@ def error_by_length(spark, sf_dir):
 
 @query
 def token_length_histogram(spark, sf_dir):
-    docs = t.table(spark, sf_dir, "documents").select(txt.clean_text("text").alias("c"))
-    return profile.token_length_histogram(docs, "c")
+    return profile.token_length_histogram(t.tokens(spark, sf_dir), "tokens")
 
 
 @query
 def sequence_length_quantiles(spark, sf_dir):
-    docs = t.table(spark, sf_dir, "documents").select(txt.clean_text("text").alias("c"))
-    return profile.sequence_length_quantiles(docs, "c")
+    return profile.sequence_length_quantiles(t.tokens(spark, sf_dir), "tokens")
 
 
 @query
 def top_unigrams(spark, sf_dir):
-    rows = t.labelled(spark, sf_dir).withColumn("c", txt.clean_text("text"))
-    return profile.top_unigrams(rows, "c", "label")
+    rows = t.labelled(spark, sf_dir).select("label", txt.clean_tokens("text").alias("tokens"))
+    return profile.top_unigrams(rows, "tokens", "label")
 
 
 @query

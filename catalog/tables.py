@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candor.functions.seeded import hash32
-from candor.functions.text import clean_text, tokenize
+from candor.functions.text import clean_tokens
 from candor.operators.labels import class_table, label_name
 from candor.sources.tables import read_table
 
@@ -40,7 +40,7 @@ def maybe_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, tokens) of all documents."""
     documents = table(spark, sf_dir, "documents")
-    return documents.select("doc_id", tokenize(clean_text("text")).alias("tokens"))
+    return documents.select("doc_id", clean_tokens("text").alias("tokens"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

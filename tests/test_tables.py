@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from candor.functions.text import clean_tokens
 from candor.operators import metrics, profile, roles
 from candor.sources import staging, tables
 
@@ -87,7 +88,8 @@ def test_exploration(spark):
         spark, "label string, t string",
         ("a", "well well now"), ("a", "now then"), ("b", "let me see now, farewell"),
     )
-    assert rows(profile.top_unigrams(df, "t", "label", 1)) == [
+    tokens = df.withColumn("t", clean_tokens("t"))
+    assert rows(profile.top_unigrams(tokens, "t", "label", 1)) == [
         ("*", 1, "now", 3), ("a", 1, "now", 2), ("b", 1, "farewell", 1),
     ]
     assert rows(profile.discourse_markers(df, "t", "label")) == [
@@ -95,7 +97,7 @@ def test_exploration(spark):
         ("b", "let me", 1, 1, 1.0), ("b", "well", 1, 0, 0.0),
     ]
     assert rows(profile.length_by_class(df, "t", "label")) == [("a", 2, 2.5, 0.7071), ("b", 1, 5.0, None)]
-    assert rows(profile.token_length_histogram(df, "t", 3)) == [(0, 1), (3, 2)]
+    assert rows(profile.token_length_histogram(tokens, "t", 3)) == [(0, 1), (3, 2)]
     marks = frame(
         spark, "x string, y string, z string", ("a", "a", None), ("a", "b", "a"), ("a", None, None)
     )

@@ -56,6 +56,14 @@ def test_clean_text_is_idempotent(spark, texts):
     assert rows(once) == rows(once.select(txt.clean_text("t")))
 
 
+def test_clean_tokens_are_the_tokens_of_the_cleaned_text(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = spark.createDataFrame([("it's\u00a0a-b\u2003c\x1cd e%f\u0301g",), (None,)], "text string")
+    for df in (docs, odd):
+        differ = ~txt.clean_tokens("text").eqNullSafe(txt.tokenize(txt.clean_text("text")))
+        assert df.where(differ).count() == 0
+
+
 def test_tokens_and_stop_words(spark):
     tokens = txt.tokenize("t")
     assert one(spark, tokens, "I can't eat 2 über-cakes, a_b!", "", None) == [

@@ -116,7 +116,8 @@ def test_empty_vocabulary_is_an_error(spark):
 
 
 def test_sequences(spark):
-    df = spark.createDataFrame([(1, "bb aa bb cc"), (2, ""), (3, "new bb")], "i int, t string")
+    texts = spark.createDataFrame([(1, "bb aa bb cc"), (2, ""), (3, "new bb")], "i int, t string")
+    df = texts.select("i", tokenize("t").alias("t"))
     ids = sequences.fit_token_ids(df.where("i = 1"), "t", 2)
     assert rows(ids) == [("aa", 3), ("bb", 2)]
     got = sequences.encode_sequences(df, ids, "t", 3)
