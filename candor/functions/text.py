@@ -120,8 +120,10 @@ def synonym_replace(
 
     ``max(1, int(n * share))`` draws are made over the ``n`` words of a text; a
     later draw at the same position sees the word an earlier one put there.
-    Texts under three words are returned untouched.  Words and draws are merged
-    by one sort on (position, draw), so the work is n log n in the text length.
+    Texts under three words are returned untouched.
+
+    Draws that meet no dictionary word are dropped first.  The rest are merged
+    with the positions by one sort, so the work is n log n in the text length.
     """
     text, key = _col(text), _col(key)
     if not synonyms:
@@ -130,38 +132,48 @@ def synonym_replace(
     choices = F.from_json(
         F.lit(json.dumps({h: list(synonyms[h]) for h in heads})), "map<string,array<string>>"
     )
+    # An event is one bigint: position, then 0 for the word itself or 1 + draw number.
+    draw_bits = 31
+
+    def event(position: Column, rank: Column | int) -> Column:
+        return F.shiftleft(position.cast("bigint"), draw_bits) + rank
+
+    def position_of(code: Column) -> Column:
+        return F.shiftright(code, draw_bits).cast("int")
 
-    def replace(word: Column, draw: Column) -> Column:
-        bare = F.btrim(F.lower(word), F.lit(EDGE_PUNCTUATION))
-        options = F.element_at(choices, bare)
-        picked = F.get(options, F.pmod(draw["pick"], F.size(options)).cast("int"))
-        return F.when(bare.isin(heads), picked).otherwise(word)
+    def bare(word: Column) -> Column:
+        return F.btrim(F.lower(word), F.lit(EDGE_PUNCTUATION))
+
+    def replace(word: Column, code: Column) -> Column:
+        draw = code.bitwiseAND(F.lit(2**draw_bits - 1)) - 1
+        options = F.element_at(choices, bare(word))
+        pick = F.pmod(hash32(seed, F.lit("choice"), key, draw), F.size(options)).cast("int")
+        return F.when(bare(word).isin(heads), F.get(options, pick)).otherwise(word)
 
     def rewrite(words: Column) -> Column:
         n = F.size(words)
         n_draws = F.greatest(F.lit(1), F.floor(n * F.lit(float(share))).cast("int"))
-        placed = F.transform(
-            words,
-            lambda w, i: F.struct(
-                i.alias("pos"), F.lit(-1).alias("draw"), F.lit(0).cast("bigint").alias("pick"),
-                w.alias("word"),
-            ),
-        )
         drawn = F.transform(
             F.sequence(F.lit(0), n_draws - 1),
-            lambda d: F.struct(
-                F.pmod(hash32(seed, F.lit("position"), key, d), n).cast("int").alias("pos"),
-                d.alias("draw"),
-                hash32(seed, F.lit("choice"), key, d).alias("pick"),
-                F.lit("").alias("word"),
+            lambda d: event(F.pmod(hash32(seed, F.lit("position"), key, d), n), d + 1),
+        )
+        hits = F.filter(drawn, lambda c: bare(F.get(words, position_of(c))).isin(heads))
+        return let(
+            hits,
+            lambda h: F.when(F.size(h) == 0, F.concat_ws(" ", words)).otherwise(
+                let(
+                    F.array_sort(F.concat(F.transform(words, lambda _, i: event(i, 0)), h)),
+                    lambda events: fold(events, words),
+                )
             ),
         )
-        return let(F.array_sort(F.concat(placed, drawn)), lambda e: fold(e, n))
 
-    def fold(events: Column, n: Column) -> Column:
-        # Every word event starts a run that holds the draws made at its position.
+    def fold(events: Column, words: Column) -> Column:
+        # Every word's event starts a run that holds the draws made at its position.
         starts = F.filter(
-            F.transform(events, lambda e, i: F.when(e["draw"] == -1, i + 1)),
+            F.transform(
+                events, lambda c, i: F.when(c.bitwiseAND(F.lit(2**draw_bits - 1)) == 0, i)
+            ),
             lambda i: i.isNotNull(),
         )
         return let(
@@ -170,18 +182,14 @@ def synonym_replace(
                 " ",
                 F.zip_with(
                     s,
-                    F.concat(
-                        F.slice(s, F.lit(2), F.size(s)), F.array((F.size(events) + 1).cast("int"))
-                    ),
+                    F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(events))),
                     lambda here, after: F.aggregate(
-                        F.slice(events, here + 1, after - here - 1),
-                        F.get(events, here - 1)["word"],
+                        F.slice(events, here + 2, after - here - 1),
+                        F.get(words, position_of(F.get(events, here))),
                         replace,
                     ),
                 ),
             ),
         )
 
-    return let(
-        split_words(text), lambda w: F.when(F.size(w) < 3, text).otherwise(rewrite(w))
-    )
+    return let(split_words(text), lambda w: F.when(F.size(w) < 3, text).otherwise(rewrite(w)))
