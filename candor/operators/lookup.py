@@ -19,7 +19,3 @@ def small_table(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BY
     if head.num_rows > max_rows or head.nbytes > max_bytes:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
-
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows

@@ -232,16 +232,16 @@ def key_insights(comparison: DataFrame, imbalance: DataFrame) -> DataFrame:
     is_ensemble = F.col("model") == ENSEMBLE
     ensemble = F.max(F.when(is_ensemble, F.col("accuracy")))
     others = F.max(F.when(~is_ensemble, F.col("accuracy")))
-    scores = comparison.agg(
+    rows = comparison.select("model", "accuracy", "f1_score").unionByName(
+        imbalance.select("ratio"), allowMissingColumns=True
+    )
+    return rows.agg(
         F.max("accuracy").alias("best_accuracy"),
         F.min("f1_score").alias("f1_min"),
         F.max("f1_score").alias("f1_max"),
         F.coalesce(ensemble > others, F.lit(False)).alias("ensemble_improved"),
+        F.max("ratio").alias("imbalance_ratio"),
     )
-    both = scores.withColumn("_one", F.lit(1)).join(
-        imbalance.select(F.col("ratio").alias("imbalance_ratio"), F.lit(1).alias("_one")), "_one"
-    )
-    return both.drop("_one")
 
 
 def metrics_long(

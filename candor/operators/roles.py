@@ -125,10 +125,21 @@ def detect_label_column(df: DataFrame, text: str) -> str:
     return others[min(range(len(others)), key=lambda i: (estimates[i], i))]
 
 
-def standardize(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """The detected columns as ``text`` (null becomes empty) and ``label``, plus keys."""
-    text = detect_text_column(df)
-    label = detect_label_column(df.select(*[quoted(c) for c in df.columns if c not in keys]), text)
+def detect_columns(df: DataFrame, keys: Sequence[str] = ()) -> tuple[str, str]:
+    """(text column, label column), neither of them a key."""
+    others = df.select(*[quoted(c) for c in df.columns if c not in keys])
+    text = detect_text_column(others)
+    return text, detect_label_column(others, text)
+
+
+def standardize(
+    df: DataFrame, keys: Sequence[str] = (), columns: tuple[str, str] | None = None
+) -> DataFrame:
+    """Text (null becomes empty) and label under these names, plus keys.
+
+    ``columns`` names the two columns; without it they are detected.
+    """
+    text, label = columns or detect_columns(df, keys)
     return df.select(
         *[quoted(k) for k in keys], as_text(quoted(text)).alias("text"), quoted(label).alias("label")
     )
