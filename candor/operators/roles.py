@@ -21,7 +21,7 @@ LABEL_NAMES = ("label", "labels", "evasion_label", "is_evasive", "target")
 TEXT_PREFERENCE = ("question", "interview_question", "interview_answer", "gpt3.5_summary")
 MIN_AVERAGE_LENGTH = 20
 
-# The canonical columns, and other names they occur under.
+# The canonical columns.
 CANONICAL = T.StructType(
     [
         T.StructField(name, T.StringType())
@@ -49,7 +49,6 @@ CANONICAL = T.StructType(
     + [T.StructField("index", T.LongType())]
     + [T.StructField(name, T.StringType()) for name in ("clarity_label", "evasion_label")]
 )
-INDEX_COLUMNS = ("unnamed: 0",)
 
 
 def quoted(name: str) -> Column:
@@ -61,12 +60,9 @@ def _string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def _by_name(columns: Sequence[str], parts: Sequence[str]) -> str | None:
-    """First column named exactly like a part, else first whose name contains one."""
-    lowered = {c: c.lower() for c in columns}
-    exact = [c for c in columns if lowered[c] in parts]
-    partial = [c for c in columns if any(p in lowered[c] for p in parts)]
-    return next(iter(exact + partial), None)
+def _named(columns: Sequence[str], parts: Sequence[str]) -> list[str]:
+    """Columns whose lowercase name contains one of the parts, in table order."""
+    return [c for c in columns if any(p in c.lower() for p in parts)]
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -104,21 +100,22 @@ def fewest_distinct(counts: DataFrame) -> DataFrame:
 
 
 def detect_text_column(df: DataFrame) -> str:
-    """By name among the string columns, else the first string column."""
+    """By name among the string columns, an exact name first; else the first string column."""
     strings = _string_columns(df)
     if not strings:
         raise ValueError("the table has no string column")
-    return _by_name(strings, TEXT_NAMES) or strings[0]
+    exact = [c for c in strings if c.lower() in TEXT_NAMES]
+    return (exact + _named(strings, TEXT_NAMES) + strings)[0]
 
 
 def detect_label_column(df: DataFrame, text: str) -> str:
-    """By name, else the other column with the fewest distinct values."""
+    """The first column with a label name, else the one with the fewest distinct values."""
     others = [c for c in df.columns if c != text]
     if not others:
         raise ValueError("the table has no second column")
-    named = _by_name(others, LABEL_NAMES)
+    named = _named(others, LABEL_NAMES)
     if named:
-        return named
+        return named[0]
     estimates = df.agg(
         *[F.approx_count_distinct(quoted(c)).alias(str(i)) for i, c in enumerate(others)]
     ).first()
@@ -191,23 +188,20 @@ def harmonize(
     """One schema variant in canonical names and types.
 
     Names match without regard to case, ``label`` goes to ``label_column``,
-    index columns are dropped, and columns that are absent stay absent.
-    ``extra`` names further columns to keep as they are.
+    and columns that are absent stay absent.  Index columns and others without
+    a canonical name are dropped, but for those that ``extra`` names.  Where
+    several columns have one canonical name, the first value that is not null
+    counts.
     """
     types = {f.name: f.dataType for f in CANONICAL.fields}
-    columns = []
+    sources: dict[str, list[Column]] = {}
     for name in df.columns:
-        target = name.lower()
+        target = label_column if name.lower() == "label" else name.lower()
         if name in extra:
-            columns.append(quoted(name))
-            continue
-        if target in INDEX_COLUMNS:
-            continue
-        if target == "label":
-            target = label_column
-        if target in types:
-            columns.append(quoted(name).cast(types[target]).alias(target))
-    return df.select(*columns)
+            sources.setdefault(name, []).append(quoted(name))
+        elif target in types:
+            sources.setdefault(target, []).append(quoted(name).cast(types[target]))
+    return df.select(*[F.coalesce(*found).alias(target) for target, found in sources.items()])
 
 
 def harmonize_union(

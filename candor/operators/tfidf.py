@@ -21,6 +21,10 @@ from pyspark.sql import types as T
 from candor.functions.text import ngrams, remove_stop_words
 
 
+# A vocabulary is kept on the driver and sent to every executor.
+MAX_FEATURES = 1_000_000
+
+
 @dataclass(frozen=True)
 class TextFeatures:
     """How cleaned text becomes weighted terms."""
@@ -32,6 +36,10 @@ class TextFeatures:
     stop_words: tuple[str, ...] = field(default=())
     sublinear_tf: bool = False
 
+    def __post_init__(self) -> None:
+        if not 0 < self.max_features <= MAX_FEATURES:
+            raise ValueError(f"max_features must be between 1 and {MAX_FEATURES}")
+
     def terms(self, tokens: Column | str) -> Column:
         """The terms of a token array: stop words go first, then n-grams are formed."""
         kept = remove_stop_words(tokens, self.stop_words) if self.stop_words else tokens

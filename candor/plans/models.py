@@ -45,6 +45,8 @@ TOLERANCE = 1e-3
 ROWS_PER_TASK = 20_000
 ROWS_PER_TREE_TASK = 250
 
+MAX_CLASSES = 10_000
+
 # Given the number of training rows, build an unfitted classifier.  Balanced
 # weights sum to that number, so the penalty 1 / (c * rows) equals inverse
 # strength c on the unscaled loss.
@@ -254,7 +256,11 @@ def stage_features(corpus: Corpus, spec: TextFeatures) -> Features:
 
 
 def _class_names(classes: DataFrame) -> tuple[str, ...]:
-    return tuple(r["label"] for r in sorted(classes.collect(), key=lambda r: r["label_id"]))
+    """Labels by id.  A linear model holds one weight vector per class on the driver."""
+    rows = classes.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    return tuple(r["label"] for r in sorted(rows, key=lambda r: r["label_id"]))
 
 
 def spread(df: DataFrame, rows: int, rows_per_task: int) -> DataFrame:

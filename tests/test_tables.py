@@ -32,6 +32,11 @@ def test_text_column_is_a_string_and_exact_names_win(spark):
         roles.detect_label_column(frame(spark, "t string", ("x",)), "t")
 
 
+def test_roles_in_the_canonical_schema(spark):
+    empty = spark.createDataFrame([], roles.CANONICAL)
+    assert roles.detect_columns(empty, ["index"]) == ("interview_question", "clarity_label")
+
+
 def test_standardize_turns_null_text_into_the_empty_string(spark):
     df = frame(spark, "id int, `my.Text` string, Label string", (1, None, "a"), (2, "t", None))
     got = roles.standardize(df, keys=["id"])
@@ -77,6 +82,11 @@ def test_schema_variants_unite(spark):
     )
 
 
+def test_two_columns_of_one_canonical_name(spark):
+    df = frame(spark, "label string, evasion_label string, other int", ("a", "b", 1), (None, "c", 2))
+    assert rows(roles.harmonize(df, extra=["other"])) == [("a", 1), ("c", 2)]
+
+
 def test_profile(spark):
     df = frame(spark, "id int, `t.x` string", (2, "second"), (1, "first one"), (3, None))
     got = {r["column"]: tuple(r)[3:] for r in profile.table_profile(df, "id").collect()}
