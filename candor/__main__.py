@@ -28,8 +28,8 @@ def main() -> None:
     args = parser.parse_args()
 
     spark = SparkSession.builder.appName("candor").getOrCreate()
-    train = read_table(spark, args.train)
-    test = read_table(spark, args.test) if args.test else None
+    train = read_table(spark, args.train, spread=True)
+    test = read_table(spark, args.test, spread=True) if args.test else None
     text = args.text or select_text_column(train)
     label = args.label or detect_label_column(train.drop(args.key), text)
     specs = four_models() if args.models == "four" else three_models()

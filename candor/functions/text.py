@@ -20,6 +20,7 @@ from candor.functions.stopwords import ENGLISH
 # Kept characters, whitespace and token patterns.
 DROPPED = r"[^\p{L}\p{N}_\s\p{Z}\x1c-\x1f\x85.,!?-]+"
 WHITESPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
+NOT_BLANK = r"[^\s\p{Z}\x1c-\x1f\x85]"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 EDGE_PUNCTUATION = ".,!?;:"
 

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from candor.functions.text import as_text
+from candor.functions.text import NOT_BLANK, as_text
 from candor.operators.lookup import small_table
 
 
 def valid_labels(df: DataFrame, label: str = "label") -> DataFrame:
     """Rows whose label is neither null nor blank."""
-    return df.where(F.col(label).isNotNull() & (F.trim(F.col(label).cast("string")) != ""))
+    return df.where(F.col(label).cast("string").rlike(NOT_BLANK))
 
 
 def of_class(df: DataFrame, target, label: str = "label") -> DataFrame:

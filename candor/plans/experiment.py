@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candor.functions.text import file_safe_name
@@ -24,7 +24,7 @@ from candor.plans.models import (
     train_all,
 )
 from candor.sources.staging import stage
-from candor.sources.tables import one_json_document, write_csv, write_json
+from candor.sources.tables import one_json_document, read_csv, write_csv, write_json
 
 
 @dataclass(frozen=True)
@@ -81,6 +81,46 @@ def summary_document(run: Experiment, text: str, label: str) -> DataFrame:
     )
 
 
+# Result tables with their schemas, by kind of file.
+CSV_RESULTS = {
+    "model_comparison": "model_rank int, model string, accuracy double, f1_score double",
+    "validation": "model_rank int, model string, accuracy double, f1_score double",
+    "reports": "model_rank int, model string, row string, precision double, recall double, "
+    "f1_score double, support double, file string",
+    "confusion_matrices": "model_rank int, model string, label string, prediction string, "
+    "n bigint, file string",
+    "predictions": "model_rank int, model string, {key} bigint, text string, true_label int, "
+    "true_label_name string, predicted_label int, predicted_label_name string, correct int, "
+    "file string",
+}
+JSON_RESULTS = {
+    "error_rates": "model_rank int, model string, scope string, label string, n bigint, "
+    "errors bigint, error_rate double",
+    "error_samples": "model_rank int, model string, place int, {key} bigint, text string, "
+    "label string, prediction string",
+}
+
+
+def read_results(
+    spark: SparkSession,
+    folder: str,
+    key: str,
+    key_type: str = "bigint",
+    models: Sequence[str] | None = None,
+) -> dict[str, DataFrame]:
+    """The result tables that ``write_results`` wrote, for the chosen models."""
+
+    def schema(text: str) -> str:
+        return text.replace("{key} bigint", f"`{key}` {key_type}")
+
+    found = {name: read_csv(spark, f"{folder}/{name}", schema(s)) for name, s in CSV_RESULTS.items()}
+    for name, s in JSON_RESULTS.items():
+        found[name] = spark.read.schema(schema(s)).json(f"{folder}/{name}")
+    if models is None:
+        return found
+    return {name: df.where(F.col("model").isin(list(models))) for name, df in found.items()}
+
+
 def write_results(
     run: Experiment, source: DataFrame, key: str, text: str, label: str, folder: str
 ) -> None:

@@ -35,7 +35,7 @@ def load_dataset(
     if train_path is None or test_path is None:
         found = find_split_files(spark, base_path)
         train_path, test_path = train_path or found["train"], test_path or found["test"]
-    train, test = read_table(spark, train_path), read_table(spark, test_path)
+    train, test = (read_table(spark, p, spread=True) for p in (train_path, test_path))
     columns = detect_columns(train, [key])
     shaped = [valid_labels(standardize(df, [key], columns)) for df in (train, test)]
     if any(df.isEmpty() for df in shaped):

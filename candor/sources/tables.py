@@ -12,23 +12,17 @@ from pyspark.sql import types as T
 SPLIT_FOLDERS = (".", "data")
 SPLIT_FILE = "{split}-00000-of-00001.parquet"
 
-MODEL_METRICS_SCHEMA = T.StructType(
-    [
-        T.StructField("model", T.StringType()),
-        T.StructField("accuracy", T.DoubleType()),
-        T.StructField("f1_score", T.DoubleType()),
-    ]
-)
-
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet scan.  A file with fewer splits than cores is spread over all of them.
+def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+    """Parquet scan.  With ``spread``, a table with fewer splits than cores is spread over all.
 
     A Parquet file splits only between row groups, so a small table written as
     one row group would run its whole text work in one task.  Tables that come
     with at least as many splits as there are cores are left alone: no shuffle.
     """
     df = spark.read.parquet(path)
+    if not spread:
+        return df
     cores = spark.sparkContext.defaultParallelism
     splits = df.rdd.getNumPartitions()
     return df.repartition(cores) if splits < cores else df

@@ -15,8 +15,12 @@ RULE_MODELS = (("m1", 6), ("m2", 5), ("m3", 7))
 ANNOTATORS = ("annotator1", "annotator2", "annotator3")
 
 
+# Tables whose rows take long to work on.
+WIDE = {"documents", "conversations", "embeddings"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", spread=name in WIDE)
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:

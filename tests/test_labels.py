@@ -10,7 +10,7 @@ from candor.operators.lookup import small_table
 
 @pytest.fixture(scope="module")
 def df(spark):
-    data = [(i, "abc"[i % 7 % 3]) for i in range(70)] + [(98, None), (99, "  ")]
+    data = [(i, "abc"[i % 7 % 3]) for i in range(70)] + [(97, "\n\u00a0\t"), (98, None), (99, "  ")]
     return spark.createDataFrame(data, "doc_id bigint, label string")
 
 

@@ -95,9 +95,19 @@ def test_experiment_writes_every_result(spark, labelled, tmp_path):
     ]
     folder = str(tmp_path / "out")
     experiment.write_results(run, labelled, "doc_id", "text", "label", folder)
-    table = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(
-        f"{folder}/predictions"
-    )
+    results = experiment.read_results(spark, folder, "doc_id")
+    table = results["predictions"]
+    assert rows(results["model_comparison"]) == rows(run.comparison)
+    assert rows(results["confusion_matrices"].drop("file")) == rows(metrics.confusion_matrix(run.cells))
+    written = table.where("model = 'RF'").select("doc_id", "text")
+    tested = run.corpus.split("test").select("doc_id")
+    assert rows(written) == rows(labelled.join(tested, "doc_id").select("doc_id", "text"))
+    wrong = table.where("correct = 0").groupBy("model").count().orderBy("model")
+    rates = results["error_rates"].where("scope = 'model'").orderBy("model")
+    assert [r["count"] for r in wrong.collect()] == [r["errors"] for r in rates.collect()]
+    chosen = experiment.read_results(spark, folder, "doc_id", models=["RF"])
+    assert {r["model"] for r in chosen["reports"].collect()} == {"RF"}
+    assert chosen["error_samples"].where("label = prediction").count() == 0
     assert table.count() == 3 * 80
     by_model = table.groupBy("model").agg(F.round(F.avg("correct"), 4).alias("accuracy"))
     assert rows(by_model) == rows(run.comparison.select("model", "accuracy"))

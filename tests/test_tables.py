@@ -159,7 +159,7 @@ def test_split_files_are_found_by_file_name(spark, tmp_path):
 
 
 def test_small_tables_use_all_cores(spark, sf_dir):
-    df = tables.read_table(spark, f"{sf_dir}/documents.parquet")
+    df = tables.read_table(spark, f"{sf_dir}/documents.parquet", spread=True)
     assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
@@ -174,7 +174,8 @@ def test_staged_tables_live_in_the_shared_folder(spark):
 def test_metric_table_round_trip(spark, tmp_path):
     df = frame(spark, "model string, accuracy double, f1_score double", ("a", 0.5, 0.25))
     tables.write_csv(df, str(tmp_path / "m"))
-    back = tables.read_csv(spark, str(tmp_path / "m"), tables.MODEL_METRICS_SCHEMA)
+    schema = "model string, accuracy double, f1_score double"
+    back = tables.read_csv(spark, str(tmp_path / "m"), schema)
     assert rows(metrics.metrics_long(back, ["accuracy", "f1_score"])) == [
         ("a", "accuracy", 0.5), ("a", "f1_score", 0.25),
     ]
