@@ -163,6 +163,18 @@ def classification_report(cells: DataFrame) -> DataFrame:
     )
 
 
+def nested_report(cells: DataFrame) -> DataFrame:
+    """One row per model with its report as a map from row name to scores."""
+    entry = F.struct(
+        F.col("row"), F.struct("precision", "recall", "f1_score", "support").alias("scores")
+    )
+    rows = F.sort_array(F.collect_list(entry))
+    return (
+        classification_report(cells).groupBy(*MODEL)
+        .agg(F.map_from_entries(rows).alias("report"))
+    )
+
+
 def confusion_matrix(cells: DataFrame) -> DataFrame:
     """Every (label, prediction) pair of each model's classes, with zeros."""
     classes = (

@@ -138,6 +138,8 @@ def write_results(
     write_csv(run.validation.orderBy("model_rank").coalesce(1), f"{folder}/validation")
     reports = metrics.classification_report(run.cells).withColumn("file", file_name)
     write_csv(reports.coalesce(1), f"{folder}/reports", partition_by=("file",))
+    documents = metrics.nested_report(run.cells).withColumn("file", file_name)
+    write_json(documents.coalesce(1), f"{folder}/reports_json", partition_by=("file",))
     matrices = metrics.confusion_matrix(run.cells).withColumn("file", file_name)
     write_csv(matrices.coalesce(1), f"{folder}/confusion_matrices", partition_by=("file",))
     table = errors.prediction_table(run.predictions, texts, run.corpus.classes, key, "text")

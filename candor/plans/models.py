@@ -184,7 +184,7 @@ def prepare_corpus(
     classes = class_table(known)
     encoded = encode_labels(rows, classes)
     tokens = encoded.withColumn("tokens", clean_tokens("text")).drop("text")
-    return Corpus(stage(tokens, "corpus", "split"), classes, key)
+    return Corpus(stage(tokens, "corpus", "split", spread=True), classes, key)
 
 
 @dataclass(frozen=True)
@@ -343,7 +343,7 @@ def cross_validate(
     classes = class_table(rows)
     folds = assign_folds(encode_labels(rows, classes), key, "label", k, seed=seed)
     tokens = folds.withColumn("tokens", clean_tokens("text")).drop("text")
-    staged = stage(tokens, "folds", "fold")
+    staged = stage(tokens, "folds", "fold", spread=True)
 
     def run(fold: int) -> list[DataFrame]:
         split = F.when(F.col("fold") == fold, "test").otherwise("train")

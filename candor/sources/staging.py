@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from candor.sources.tables import spread_over_cores
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
@@ -24,10 +26,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write the table to a fresh path in the shared folder and read it back."""
+def stage(
+    df: DataFrame, name: str, partition_by: str | None = None, spread: bool = False
+) -> DataFrame:
+    """Write the table to a fresh path in the shared folder and read it back.
+
+    ``spread`` is for rows that take long to work on: a small table would come
+    back in few splits, as Spark packs small files together.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    return spread_over_cores(staged) if spread else staged

@@ -21,11 +21,13 @@ def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFram
     with at least as many splits as there are cores are left alone: no shuffle.
     """
     df = spark.read.parquet(path)
-    if not spread:
-        return df
-    cores = spark.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
+    return spread_over_cores(df) if spread else df
+
+
+def spread_over_cores(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores one partition per core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:

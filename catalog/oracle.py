@@ -545,3 +545,7 @@ WITH heads AS (SELECT unnest(range(0, {q.N_CLASSES}))::INT AS class_id),
 SELECT vec_id, first_value(class_id) OVER (PARTITION BY vec_id ORDER BY z DESC, class_id) AS prediction,
        class_id, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS probability
 FROM exps"""
+
+ORACLE["batch_scoring"] = f"""
+WITH s AS ({ORACLE["softmax_argmax"].strip()})
+SELECT vec_id, prediction, probability FROM s WHERE class_id = prediction"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -241,7 +242,7 @@ def tfidf_apply(spark, sf_dir):
     split = splits.stratified_split(t.labels(spark, sf_dir), "doc_id", "label")
     texts = t.table(spark, sf_dir, "documents").select("doc_id", "text").join(split, "doc_id")
     tokens = txt.clean_tokens("text").alias("tokens")
-    docs = stage(texts.select("doc_id", "split", tokens), "split-tokens", "split")
+    docs = stage(texts.select("doc_id", "split", tokens), "split-tokens", "split", spread=True)
     train = docs.where("split = 'train'")
     vocabulary = tfidf.Vocabulary.from_table(tfidf.fit_vocabulary(train, "tokens", ENHANCED))
     test = docs.where("split = 'test'")
@@ -486,6 +487,22 @@ def softmax_argmax(spark, sf_dir):
     ).select("vec_id", "prediction", "class_id", F.round("p", 6).alias("probability"))
 
 
+@query
+def batch_scoring(spark, sf_dir):
+    """The same head as a pluggable batch model."""
+    weights, bias = np.array(HEAD), np.array(BIAS)
+
+    # Nested, so that it reaches the workers by value and they need not import this module.
+    def make():
+        return lambda batch: batch.astype(float) @ weights.T + bias
+
+    vectors = t.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    scored = scoring.predict_batches(vectors, "embedding", N_DIMENSIONS, make, 256)
+    return scored.select(
+        "vec_id", "prediction", F.round(F.array_max("probabilities"), 6).alias("probability")
+    )
+
+
 def _corpus(spark, sf_dir):
     return plan.prepare_corpus(t.labelled(spark, sf_dir), "doc_id", "text")
 

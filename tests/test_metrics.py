@@ -97,6 +97,12 @@ def test_report_has_classes_and_three_summary_rows(cells):
     assert got["macro avg"]["support"] == 308
 
 
+def test_nested_report_holds_the_same_numbers(cells):
+    nested = {r["model"]: r["report"] for r in metrics.nested_report(cells).collect()}
+    for r in metrics.classification_report(cells).collect():
+        assert tuple(nested[r["model"]][r["row"]]) == tuple(r)[3:]
+
+
 def test_error_rates(cells):
     rates = {(r["model"], r["scope"], r["label"]): r["error_rate"]
              for r in errors.error_rates(cells).collect()}

@@ -114,7 +114,7 @@ def test_experiment_writes_every_result(spark, labelled, tmp_path):
     summary = json.loads(spark.read.text(f"{folder}/summary").first()[0])
     assert summary["dataset"][0]["total_samples"] == 399
     assert {r["criterion"] for r in summary["best_models"]} == {"by_accuracy", "by_f1_score"}
-    for part in ("reports", "confusion_matrices", "predictions"):
+    for part in ("reports", "reports_json", "confusion_matrices", "predictions"):
         assert (tmp_path / "out" / part / "file=baseline_a").is_dir()
     for part in ("model_comparison", "validation", "error_rates", "error_samples", "models"):
         assert (tmp_path / "out" / part).is_dir()
