@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from candor.operators.lookup import small_table
 from candor.operators.metrics import MODEL
 
+MAX_PUSHED_KEYS = 1_000
+
+
 def misclassified(predictions: DataFrame) -> DataFrame:
     return predictions.where("label <> prediction")
 
@@ -41,7 +44,9 @@ def error_samples(
 ) -> DataFrame:
     """The first k wrong rows of each model in key order, with their text.
 
-    The ranking sees keys only; texts are fetched for the k rows per model.
+    The ranking sees keys only; texts are fetched for the k rows per model.  A
+    short list of keys also goes to the scan as a filter, which skips row groups
+    where the text table is clustered by key.
     """
     order = Window.partitionBy("model").orderBy(key)
     first = (
@@ -50,7 +55,12 @@ def error_samples(
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= k)
     )
-    return texts.select(key, text).join(small_table(first), key).select(
+    first = small_table(first)
+    keys = [r[key] for r in first.select(key).limit(MAX_PUSHED_KEYS + 1).collect()]
+    wanted = texts.select(key, text)
+    if len(keys) <= MAX_PUSHED_KEYS:
+        wanted = wanted.where(F.col(key).isin(keys))
+    return wanted.join(first, key).select(
         *MODEL, "place", key, text, "label", "prediction"
     )
 

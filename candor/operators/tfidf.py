@@ -94,7 +94,9 @@ class Vocabulary:
 
     @classmethod
     def from_table(cls, table: DataFrame) -> Vocabulary:
-        rows = table.select("term_id", "term", "idf").collect()
+        rows = table.select("term_id", "term", "idf").limit(MAX_FEATURES + 1).collect()
+        if len(rows) > MAX_FEATURES:
+            raise ValueError(f"more than {MAX_FEATURES} terms")
         rows = sorted(rows, key=lambda r: r["term_id"])
         return cls(tuple(r["term"] for r in rows), tuple(r["idf"] for r in rows))
 

@@ -5,8 +5,10 @@ import sys
 
 import pytest
 from __spark_entry__ import entry, oracle_sql, queries
+from comparing import compare, connect
 from conftest import rows
 
+from candor.operators.lookup import small_table
 from candor.plans.loading import load_dataset
 from catalog import tables as t
 
@@ -36,6 +38,27 @@ def test_plan_stays_in_the_jvm_and_never_pairs_all_rows(spark, small_dir, name):
         assert name in WITHOUT_PARTITION
 
 
+@pytest.mark.parametrize(
+    "name",
+    [
+        "label_encode", "class_weights", "nested_split", "kfold_assign", "debug_subset",
+        "augment_minority", "classification_report", "prediction_table", "error_samples",
+    ],
+)
+def test_side_tables_over_the_bound_join_by_shuffle(spark, small_dir, monkeypatch, name):
+    want = connect(small_dir).sql(oracle_sql()[name]).to_arrow_table()
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    monkeypatch.setattr(small_table, "__defaults__", (0, 0))
+    spark.conf.set(threshold, "-1")
+    try:
+        df = queries()[name](spark, small_dir)
+        assert "BroadcastHashJoin" not in physical(df)
+        assert compare(df.toArrow(), want) is None
+    finally:
+        spark.conf.set(threshold, before)
+
+
 def test_scans_read_only_the_columns_they_need(spark, small_dir):
     plan = queries()["token_length_histogram"](spark, small_dir)._jdf.queryExecution()
     assert "ReadSchema: struct<text:string>" in plan.toString()
