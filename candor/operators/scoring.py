@@ -60,6 +60,14 @@ def predict_linear(
     return scored.withColumn("prediction", argmax(F.col("probabilities")))
 
 
+def probability_rows(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, prediction, class_id, probability), one row per class."""
+    # The outer form keeps Spark from adding a filter that would score every row twice.
+    return scored.select(
+        *keys, "prediction", F.posexplode_outer("probabilities").alias("class_id", "probability")
+    ).where(F.col("class_id").isNotNull())
+
+
 def predict_batches(
     df: DataFrame, vector: str, width: int, make_predict_fn: Callable, batch_size: int = 16
 ) -> DataFrame:

@@ -191,7 +191,6 @@ def varied(source: str, key: str, text: str) -> str:
         for h, ws in sorted(q.SYNONYMS.items())
     )
     position = f"('0x' || substr(md5('42:position:' || k || ':' || d), 1, 8))::BIGINT % n"
-    choice = "('0x' || substr(md5('42:choice:' || k || ':' || d), 1, 8))::BIGINT"
     return f"""
     syn(head, options) AS (VALUES {entries}),
     split_text AS (SELECT {key} AS k, {text} AS original, {words_of(text)} AS w FROM {source}),

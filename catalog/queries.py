@@ -482,9 +482,8 @@ def discourse_markers(spark, sf_dir):
 def softmax_argmax(spark, sf_dir):
     vectors = t.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     scored = scoring.predict_linear(vectors, "embedding", HEAD, BIAS)
-    return scored.select(
-        "vec_id", "prediction", F.posexplode("probabilities").alias("class_id", "p")
-    ).select("vec_id", "prediction", "class_id", F.round("p", 6).alias("probability"))
+    rows = scoring.probability_rows(scored, ["vec_id"])
+    return rows.withColumn("probability", F.round("probability", 6))
 
 
 @query
