@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.llm import mixing, quality_rules, secret_scan, sharding, simhash, url_filter
-from candor.llm.shared import text_crc32
+from candor.llm import (
+    decontamination,
+    line_dedup,
+    lm_scoring,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    sharding,
+    simhash,
+    url_filter,
+)
+from candor.llm.shared import key_fold, text_crc32
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,3 +121,42 @@ def op9_simhash(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs)
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_lm_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = key_fold(F.col("doc_id"), 7) == 2
+    scored = lm_scoring.score_documents(docs, ~held_out)
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score",
+    )
+
+
+@query
+def op1_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = key_fold(F.col("doc_id"), 5)
+    return quality_classifier.score_quality(docs, table(spark, sf_dir, "labels"), fold, held_out=0)
+
+
+@query
+def op2_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = line_dedup.dedup_lines(docs)
+    run = F.transform("removed", lambda r: F.concat_ws("-", r["first"], r["last"]))
+    return done.select("doc_id", F.array_join(run, ",").alias("removed"), "clean_text")
+
+
+@query
+def op6_decontaminate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    leak = F.transform(
+        "leaks", lambda x: F.concat_ws(":", x["item"], x["edits"], x["start"], x["end"])
+    )
+    return found.select(
+        "doc_id", (F.size("leaks") > 0).alias("contaminated"),
+        F.size("leaks").cast("bigint").alias("n_leaks"), F.array_join(leak, ",").alias("leaks"),
+    )
