@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candor.llm.ranking import ROWS_PER_BUCKET, buckets_for, prefix_sums
+from candor.llm.ranking import ROWS_PER_BUCKET, bucket_of, prefix_sums
 from candor.llm.shared import column, draw60, fresh, keep, word_count
 
 MAX_EPOCHS = 3
@@ -93,7 +93,9 @@ def mix_sources(
     steps = quality_steps(column(text)) if weight_steps is None else weight_steps
     taken = {"size", "source_size", "target", "epochs"}
     kept = [column(c) for c, _ in df.dtypes if c.lower() not in taken or c in (key, source, text)]
-    group, rank, before, ties = fresh([*df.columns, *taken], "group", "key", "before", "ties")
+    group, rank, before, ties, count = fresh(
+        [*df.columns, *taken], "group", "key", "before", "ties", "rows"
+    )
     named = F.coalesce(F.concat(F.lit("="), column(source).cast("string")), F.lit(""))
     content = F.xxhash64(*[column(c) for c, kind in df.dtypes if not kind.startswith("map")])
     # u in (0, 1); the key lies in (0, 1) and rises where the document comes later.
@@ -107,23 +109,24 @@ def mix_sources(
         F.count("*").alias("_rows"),
     )
     sizes = keep(sizes, "source-sizes")
-    count = sizes.agg(F.sum("_rows")).first()[0] or 0
     # Read back, so that Spark knows the size of this one row per source when it joins.
-    targets = keep(source_targets(sizes, "_source", group, "_size"), "source-targets")
-    buckets = buckets_for(count, rows_per_bucket)
+    targets = source_targets(sizes, "_source", group, "_size").join(
+        sizes.select(group, F.col("_rows").alias(count)), group
+    )
+    targets = keep(targets, "source-targets")
     summed = prefix_sums(
-        rows,
+        rows.join(targets, group),
         group,
-        F.least(F.floor(column(rank) * buckets), F.lit(buckets - 1)),
+        bucket_of(column(rank), column(count), rows_per_bucket),
         [column(rank), column(key).asc_nulls_first(), column(ties)],
         {before: F.col("size")},
-    ).join(targets, group)
+    )
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
     whole = F.coalesce(whole, F.lit(0)).cast("int")
     rest = F.col("target") - whole * F.col("source_size")
     # Taken if at least half of it lies within the rest.
     extra = (F.col("size") > 0) & (column(before) + F.col("size") / 2 < rest)
-    return summed.withColumn("epochs", whole + extra.cast("int")).drop(group, rank, before, ties)
+    return summed.withColumn("epochs", whole + extra.cast("int")).drop(group, rank, before, ties, count)
 
 
 def take_epochs(mixed: DataFrame) -> DataFrame:

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from candor.llm.shared import column, fresh
 
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 1024
 
 
-def buckets_for(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    return max(1, -(-rows // rows_per_bucket))
+def bucket_of(share: Column, rows: Column, rows_per_bucket: int = ROWS_PER_BUCKET) -> Column:
+    """Bucket of a number in [0, 1) in a group of so many rows: about as many buckets as it fills."""
+    buckets = F.ceil(rows / rows_per_bucket)
+    return F.least(F.floor(share * buckets), buckets - 1)
 
 
 def prefix_sums(

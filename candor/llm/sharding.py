@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candor.llm.ranking import ROWS_PER_BUCKET, buckets_for, prefix_sums
-from candor.llm.shared import column, draw60, fresh
+from candor.llm.ranking import ROWS_PER_BUCKET, bucket_of, prefix_sums
+from candor.llm.shared import column, draw60, fresh, keep
 
 
 def interleaved_shards(
@@ -22,7 +22,7 @@ def interleaved_shards(
     A seeded draw orders the rows of a source; a row's fractional rank is
     (rank - 1/2) / rows of the source.  Sorted by it, the rows of all sources
     interleave in proportion, and cutting that order into equal runs gives every
-    shard each source's share to within a row, and row counts at most one apart.
+    shard each source's share up to rounding, and row counts at most one apart.
 
     Ties of the draw go by key, equal fractional ranks by source.  A null source is a
     source of its own and null keys come first.  Repeated rows are rows like any
@@ -31,7 +31,6 @@ def interleaved_shards(
     and fewer rows than shards leave some shards empty.
     """
     rows = df.count()
-    buckets = buckets_for(rows, rows_per_bucket)
     group, whole, draw, rank, size, part, place, ties = fresh(
         df.columns, "group", "whole", "draw", "rank", "size", "part", "place", "ties"
     )
@@ -39,21 +38,23 @@ def interleaved_shards(
     # Rows that share a key are told apart by their content.
     content = F.xxhash64(*[column(c) for c, kind in df.dtypes if not kind.startswith("map")])
     drawn = df.withColumns({group: named, draw: draw60(seed, column(key)), ties: content})
-    per_source = drawn.groupBy(group).agg(F.count("*").alias(size))
+    # Written first: its size is then known, and few sources join without a shuffle.
+    per_source = keep(drawn.groupBy(group).agg(F.count("*").alias(size)), "source-rows")
+    drawn = drawn.join(per_source, group)
     ranked = prefix_sums(
         drawn,
         group,
-        F.floor(column(draw) / F.lit(2.0**60) * buckets),
+        bucket_of(column(draw) / F.lit(2.0**60), column(size), rows_per_bucket),
         [column(draw), column(key).asc_nulls_first(), column(ties)],
         {rank: F.lit(1)},
     )
     # (rank - 1/2) / size, with rank counted from 1.
     fraction = (2 * column(rank) + 1) / (2 * column(size))
-    ranked = ranked.join(per_source, group).withColumns({part: fraction, whole: F.lit(0)})
+    ranked = ranked.withColumns({part: fraction, whole: F.lit(0)})
     placed = prefix_sums(
         ranked,
         whole,
-        F.floor(column(part) * buckets),
+        bucket_of(column(part), F.lit(max(1, rows)), rows_per_bucket),
         [column(part), column(group), column(draw), column(key).asc_nulls_first(), column(ties)],
         {place: F.lit(1)},
     )
