@@ -49,6 +49,9 @@ COMPATIBLE = 3.09
 LEVELS_PER_TEN = 100
 TOP_LEVEL = 30 * LEVELS_PER_TEN
 
+# Matches whose positions are summed together.
+SUM_BLOCK = 64
+
 SPAN = "struct<start:int,rank:int,end:int,kind:string,text:string>"
 FOUND = "struct<start:int,end:int,text:string>"
 
@@ -57,14 +60,15 @@ def pattern_spans(text: Column, pattern: str, group: int) -> Column:
     """Leftmost matches in order as (start, end, text, part); code points, end exclusive.
 
     The text between matches and the matches take turns, so positions are running
-    sums of their lengths.
+    sums of their lengths.  They are summed in blocks, and then over the blocks, so
+    that texts with very many matches take no quadratic time.
     """
+    kind = "struct<start:int,end:int,text:string,part:string>"
+    state = f"struct<at:int,out:array<{kind}>>"
     parts = F.transform(F.split(text, pattern, -1), F.length)
     matches = F.regexp_extract_all(text, F.lit(pattern), 0)
     counted = F.regexp_extract_all(text, F.lit(pattern), group)
     pairs = F.arrays_zip(parts.alias("gap"), matches.alias("m"), counted.alias("c"))
-    kind = "struct<at:int,out:array<struct<start:int,end:int,text:string,part:string>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind)
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
@@ -73,11 +77,40 @@ def pattern_spans(text: Column, pattern: str, group: int) -> Column:
             begin.alias("start"), end.alias("end"), x["m"].alias("text"), x["c"].alias("part")
         )
         out = F.when(x["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], here))
-        return F.struct(end.alias("at"), out.alias("out")).cast(kind)
+        return F.struct(end.alias("at"), out.alias("out")).cast(state)
+
+    def summed(block: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(state)
+        return F.aggregate(block, start, step)
+
+    def blocks(p: Column) -> Column:
+        last = F.floor((F.size(p) - 1) / SUM_BLOCK).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), last), lambda i: summed(F.slice(p, i * SUM_BLOCK + 1, F.lit(SUM_BLOCK)))
+        )
+
+    def joined(done: Column) -> Column:
+        offsets = F.aggregate(
+            done,
+            F.struct(F.lit(0).alias("at"), F.array().alias("starts")).cast("struct<at:int,starts:array<int>>"),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["at"]).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")
+            ),
+            lambda acc: acc["starts"],
+        )
+        return F.flatten(F.zip_with(done, offsets, moved))
+
+    def moved(block: Column, by: Column) -> Column:
+        return F.transform(
+            block["out"],
+            lambda s: F.struct(
+                (s["start"] + by).alias("start"), (s["end"] + by).alias("end"),
+                s["text"].alias("text"), s["part"].alias("part"),
+            ),
+        )
 
-    empty = F.array().cast("array<struct<start:int,end:int,text:string,part:string>>")
-    some = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), some).otherwise(empty)
+    some = let(pairs, lambda p: let(blocks(p), joined))
+    return F.when(text.rlike(pattern), some).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def _of_kind(spans: Column, rank: int, kind: str, least: int) -> Column:
