@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from candor.functions.arrays import let, run_lengths
-from candor.functions.seeded import hash32
+from candor.functions.seeded import hash60
 from candor.functions.stopwords import ENGLISH
 
 # Kept characters, whitespace and token patterns.
@@ -148,7 +148,7 @@ def synonym_replace(
     def replace(word: Column, code: Column) -> Column:
         draw = code.bitwiseAND(F.lit(2**draw_bits - 1)) - 1
         options = F.element_at(choices, bare(word))
-        pick = F.pmod(hash32(seed, F.lit("choice"), key, draw), F.size(options)).cast("int")
+        pick = F.pmod(hash60(seed, F.lit("choice"), key, draw), F.size(options)).cast("int")
         return F.when(bare(word).isin(heads), F.get(options, pick)).otherwise(word)
 
     def rewrite(words: Column) -> Column:
@@ -156,7 +156,7 @@ def synonym_replace(
         n_draws = F.greatest(F.lit(1), F.floor(n * F.lit(float(share))).cast("int"))
         drawn = F.transform(
             F.sequence(F.lit(0), n_draws - 1),
-            lambda d: event(F.pmod(hash32(seed, F.lit("position"), key, d), n), d + 1),
+            lambda d: event(F.pmod(hash60(seed, F.lit("position"), key, d), n), d + 1),
         )
         hits = F.filter(drawn, lambda c: bare(F.get(words, position_of(c))).isin(heads))
         return let(

@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candor.functions.seeded import HASH_BITS, hash32
+from candor.functions.seeded import HASH_BITS, hash60
 from candor.operators.lookup import small_table
 
-PREFIX_BITS = 12
+# Rows that share a hash prefix, on average.
+ROWS_PER_PREFIX = 4096
+MAX_PREFIX_BITS = 30
 
 CutRule = Callable[[DataFrame], DataFrame]
 
@@ -31,6 +33,11 @@ def _bucket(hashed: Column, bits: int) -> Column:
     return F.shiftright(hashed, HASH_BITS - bits).cast("int")
 
 
+def prefix_bits_for(rows: int) -> int:
+    """Enough bits for prefixes of about ROWS_PER_PREFIX rows, however many rows there are."""
+    return min(MAX_PREFIX_BITS, max(1, (rows // ROWS_PER_PREFIX).bit_length()))
+
+
 def train_quota(n: Column, total: Column, wanted: Column, label: str) -> Column:
     """Rows per class so that the quotas sum to ``wanted``, by largest remainder.
 
@@ -113,10 +120,14 @@ def assign_blocks(
     *,
     seed: int = 42,
     block_col: str = "block",
-    prefix_bits: int = PREFIX_BITS,
+    prefix_bits: int | None = None,
 ) -> DataFrame:
-    """Add the 0-based block of each row.  ``key`` must be unique, ``label`` not null."""
-    hashed = df.select(label, key, hash32(seed, key).alias("_h")).withColumn(
+    """Add the 0-based block of each row.  ``key`` must be unique, ``label`` not null.
+
+    The width of the hash prefixes follows from the number of rows unless it is given.
+    """
+    prefix_bits = prefix_bits or prefix_bits_for(df.count())
+    hashed = df.select(label, key, hash60(seed, key).alias("_h")).withColumn(
         "_bucket", _bucket(F.col("_h"), prefix_bits)
     )
     histogram = hashed.groupBy(label, "_bucket").agg(F.count("*").alias("_count"))
@@ -159,7 +170,7 @@ def assign_blocks(
         .groupBy(label)
         .agg(F.collect_list(F.struct("_h", key)).alias("_ends"))
     )
-    here = F.struct(hash32(seed, key).alias("_h"), F.col(key).alias(key))
+    here = F.struct(hash60(seed, key).alias("_h"), F.col(key).alias(key))
     block = F.size(F.filter("_ends", lambda end: end < here)).cast("int")
     return df.join(boundaries, label, "left").withColumn(block_col, block).drop("_ends")
 
@@ -209,22 +220,34 @@ def debug_subset(
     return blocks.where("block = 0").drop("block")
 
 
-def dense_index(
-    df: DataFrame, key: str, *, seed: int = 42, prefix_bits: int = PREFIX_BITS
-) -> DataFrame:
-    """(key, idx): ranks 0..n-1 in seeded order, ranked inside hash prefixes only."""
-    hashed = df.select(key, hash32(seed, key).alias("_h")).withColumn(
-        "_bucket", _bucket(F.col("_h"), prefix_bits)
+def ranked_rows(df: DataFrame, key: str, ranks: DataFrame, *, seed: int = 42, n: int) -> DataFrame:
+    """``ranks`` (with a column ``idx`` from 0 to n - 1) plus the key that has that rank.
+
+    The order is that of a seeded hash.  A histogram over hash prefixes tells in which
+    prefix a rank lies, and only prefixes that are asked for are ranked.  Prefixes and
+    ranks meet in cells of equal width, so that this is a plain join.
+    """
+    bits = prefix_bits_for(n)
+    hashed = df.select(key, hash60(seed, key).alias("_h")).withColumn(
+        "_bucket", _bucket(F.col("_h"), bits)
     )
     histogram = hashed.groupBy("_bucket").agg(F.count("*").alias("_count"))
-    # At most 2**prefix_bits rows, whatever the data size.
+    # One row per prefix, n / ROWS_PER_PREFIX of them.
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = small_table(
-        histogram.select("_bucket", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_off"))
-    )
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", key))
-    return (
-        hashed.withColumn("_rank", within)
-        .join(offsets, "_bucket")
-        .select(key, (F.col("_off") + F.col("_rank") - 1).cast("bigint").alias("idx"))
+    spans = histogram.withColumn("_off", F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
+    width = -(-n // 2**bits)
+
+    def cell(rank: Column) -> Column:
+        return F.floor(rank / width).cast("bigint")
+
+    cells = spans.withColumn(
+        "_cell", F.explode(F.sequence(cell(F.col("_off")), cell(F.col("_off") + F.col("_count") - 1)))
     )
+    inside = (F.col("_off") <= F.col("idx")) & (F.col("idx") < F.col("_off") + F.col("_count"))
+    asked = ranks.withColumn("_cell", cell(F.col("idx"))).join(cells, "_cell").where(inside)
+    asked = asked.withColumn("_rank", (F.col("idx") - F.col("_off") + 1).cast("bigint"))
+    asked = small_table(asked.drop("_cell", "_off", "_count"))
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", key)).cast("bigint")
+    hit = hashed.join(asked.select("_bucket").distinct(), "_bucket", "left_semi")
+    ranked = hit.withColumn("_rank", within).select("_bucket", "_rank", key)
+    return asked.join(ranked, ["_bucket", "_rank"]).drop("_bucket", "_rank")

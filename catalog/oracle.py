@@ -14,7 +14,7 @@ ORACLE: dict[str, str] = {}
 
 
 def hashed(seed: str, expr: str) -> str:
-    return f"('0x' || substr(md5('{seed}:' || {expr}), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5('{seed}:' || {expr}), 1, 15))::BIGINT"
 
 
 def cleaned(expr: str) -> str:
@@ -52,7 +52,7 @@ PREDICTIONS = f"""{LABELS},
     names AS (SELECT list(DISTINCT label ORDER BY label) AS c FROM lab),
     models AS ({_models}),
     drawn AS (SELECT model_rank, model, tenths, doc_id, label, c,
-                     ('0x' || substr(md5(model || ':' || doc_id), 1, 8))::BIGINT AS h
+                     ('0x' || substr(md5(model || ':' || doc_id), 1, 15))::BIGINT AS h
               FROM lab, models, names),
     preds AS (SELECT model_rank, model, doc_id, label,
                      CASE WHEN h % 10 < tenths THEN label ELSE c[(h % len(c))::INT + 1] END AS prediction
@@ -190,7 +190,7 @@ def varied(source: str, key: str, text: str) -> str:
         "('{}', [{}])".format(h, ", ".join(f"'{w}'" for w in ws))
         for h, ws in sorted(q.SYNONYMS.items())
     )
-    position = f"('0x' || substr(md5('42:position:' || k || ':' || d), 1, 8))::BIGINT % n"
+    position = f"('0x' || substr(md5('42:position:' || k || ':' || d), 1, 15))::BIGINT % n"
     return f"""
     syn(head, options) AS (VALUES {entries}),
     split_text AS (SELECT {key} AS k, {text} AS original, {words_of(text)} AS w FROM {source}),
@@ -201,7 +201,7 @@ def varied(source: str, key: str, text: str) -> str:
     word AS (SELECT k, unnest(w) AS v, unnest(range(0, n)) AS pos FROM sized_text WHERE n >= 3),
     changed AS (SELECT word.k, word.pos,
                        CASE WHEN placed.d IS NOT NULL AND head IS NOT NULL
-                            THEN options[(('0x' || substr(md5('42:choice:' || word.k || ':' || placed.d), 1, 8))::BIGINT
+                            THEN options[(('0x' || substr(md5('42:choice:' || word.k || ':' || placed.d), 1, 15))::BIGINT
                                           % len(options))::INT + 1]
                             ELSE v END AS v
                 FROM word LEFT JOIN placed ON word.k = placed.k AND word.pos = placed.pos

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.functions.seeded import hash32
+from candor.functions.seeded import hash60
 from candor.functions.text import clean_tokens
 from candor.operators.labels import class_table, label_name
 from candor.sources.tables import read_table
@@ -62,7 +62,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
     )
     scored = rows.select("doc_id", "label", F.inline(models))
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", "model", F.col("doc_id").cast("string"))), 1, 8), 16, 10)
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", "model", F.col("doc_id").cast("string"))), 1, 15), 16, 10)
     scored = scored.withColumn("_h", h.cast("bigint"))
     other = classes.select(F.col("label_id"), F.col("label").alias("_other"))
     joined = scored.join(other, F.pmod("_h", F.lit(k)) == F.col("label_id"))
@@ -78,7 +78,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labels(spark, sf_dir)
     columns = []
     for name in ANNOTATORS:
-        h = hash32(name, "doc_id")
+        h = hash60(name, "doc_id")
         columns.append(
             F.when(F.pmod(h, F.lit(7)) == 0, F.lit(None).cast("string"))
             .when(F.pmod(h, F.lit(10)) == 1, F.lit("other"))
@@ -117,6 +117,6 @@ def batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.dayofmonth("ts").alias("epoch"),
         phase.alias("phase"),
         F.col("value").alias("loss"),
-        F.pmod(hash32(42, "event_id"), F.lit(17)).alias("correct"),
+        F.pmod(hash60(42, "event_id"), F.lit(17)).alias("correct"),
         F.lit(16).cast("bigint").alias("total"),
     )

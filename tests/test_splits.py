@@ -3,7 +3,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candor.functions.seeded import hash32
+from candor.functions.seeded import hash60
 from candor.operators import splits
 
 
@@ -18,7 +18,7 @@ def corpus(spark, sizes, partitions=4):
 
 
 def plain_rank(df):
-    order = Window.partitionBy("label").orderBy(hash32(42, "doc_id"), "doc_id")
+    order = Window.partitionBy("label").orderBy(hash60(42, "doc_id"), "doc_id")
     return df.withColumn("r", F.row_number().over(order))
 
 
@@ -94,11 +94,16 @@ def test_debug_subset(spark):
     assert splits.debug_subset(df, "doc_id", "label", 10**6).count() == df.count()
 
 
-def test_dense_index_is_a_plain_row_number(spark):
+def test_ranked_rows_equal_a_plain_row_number(spark, monkeypatch):
     df = corpus(spark, {"a": 500})
-    order = Window.orderBy(hash32(42, "doc_id"), "doc_id")
-    want = df.select("doc_id", (F.row_number().over(order) - 1).cast("bigint").alias("idx"))
-    assert rows(splits.dense_index(df, "doc_id", prefix_bits=4)) == rows(want)
+    order = Window.orderBy(hash60(42, "doc_id"), "doc_id")
+    want = df.select((F.row_number().over(order) - 1).cast("bigint").alias("idx"), "doc_id")
+    asked = spark.range(500).select(F.col("id").alias("idx"))
+    for per_prefix in (1, 30, 4096):
+        monkeypatch.setattr(splits, "ROWS_PER_PREFIX", per_prefix)
+        assert rows(splits.ranked_rows(df, "doc_id", asked, n=500)) == rows(want)
+    some = want.where("idx % 90 = 7")
+    assert rows(splits.ranked_rows(df, "doc_id", some.select("idx"), n=500)) == rows(some)
 
 
 def test_the_data_is_not_shuffled_to_split_it(spark, tmp_path):

@@ -1,5 +1,6 @@
 import hashlib
 import re
+from functools import reduce
 
 import pytest
 from conftest import rows
@@ -108,20 +109,34 @@ def test_holds_phrase(spark, text, held):
 
 
 def drawn(seed, kind, key, d):
-    return int(hashlib.md5(f"{seed}:{kind}:{key}:{d}".encode()).hexdigest()[:8], 16)
+    return int(hashlib.md5(f"{seed}:{kind}:{key}:{d}".encode()).hexdigest()[:15], 16)
 
 
-def python_replace(text, key, synonyms, share, seed):
+def replaced(text, key, synonyms, share, seed):
+    """Each word by itself: the draws that fall on its place, in order, folded over it."""
     words = text.split()
-    if len(words) < 3:
+    n = len(words)
+    if n < 3:
         return text
-    for d in range(max(1, int(len(words) * share))):
-        at = drawn(seed, "position", key, d) % len(words)
-        bare = words[at].lower().strip(".,!?;:")
-        if bare in synonyms:
-            options = synonyms[bare]
-            words[at] = options[drawn(seed, "choice", key, d) % len(options)]
-    return " ".join(words)
+    falls = {}
+    for d in range(max(1, int(n * share))):
+        falls.setdefault(drawn(seed, "position", key, d) % n, []).append(d)
+
+    def step(word, d):
+        options = synonyms.get(word.lower().strip(".,!?;:"), [word])
+        return options[drawn(seed, "choice", key, d) % len(options)]
+
+    return " ".join(reduce(step, falls.get(i, []), word) for i, word in enumerate(words))
+
+
+def test_synonyms_in_literal_cases(spark):
+    """One word to choose from, and so many draws that every place is hit."""
+    swap = {"good": ["fine"], "bad": ["poor"]}
+    change = txt.synonym_replace("t", F.lit(1), swap, 40.0)
+    texts = ["Good, bad not goodness", "two words", "", "good good bad!"]
+    assert one(spark, change, *texts) == ["fine poor not goodness", "two words", "", "fine fine poor"]
+    chain = {"a": ["b"], "b": ["c"], "c": ["c"]}
+    assert one(spark, txt.synonym_replace("t", F.lit(1), chain, 40.0), "a b x") == ["c c x"]
 
 
 @pytest.mark.parametrize("share", [0.2, 1.0, 3.0])
@@ -137,7 +152,7 @@ def test_synonym_replace_is_a_sequence_of_draws(spark, share):
     got = df.select(
         "id", txt.synonym_replace("t", "id", CHAIN, share, seed=7).alias("v")
     ).orderBy("id")
-    want = [python_replace(t, i, CHAIN, share, 7) for i, t in enumerate(texts)]
+    want = [replaced(t, i, CHAIN, share, 7) for i, t in enumerate(texts)]
     assert [r["v"] for r in got.collect()] == want
     assert want != texts
 
@@ -146,7 +161,7 @@ def test_synonym_replace_on_a_long_text_is_not_quadratic(spark):
     text = "evade good " * 50_000
     df = spark.createDataFrame([(1, text)], "id int, t string")
     [row] = df.select(txt.synonym_replace("t", "id", CHAIN).alias("v")).collect()
-    assert row["v"] == python_replace(text, 1, CHAIN, 0.2, 42)
+    assert row["v"] == replaced(text, 1, CHAIN, 0.2, 42)
 
 
 def test_row_wise_text_operators_run_on_streams(spark, sf_dir, tmp_path):
