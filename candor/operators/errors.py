@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from candor.operators.lookup import small_table
 from candor.operators.metrics import MODEL
 
-MAX_PUSHED_KEYS = 1_000
+
+def is_wrong() -> Column:
+    """Whether the prediction is not the label; a row without a prediction is an error."""
+    return ~F.col("label").eqNullSafe(F.col("prediction"))
 
 
 def misclassified(predictions: DataFrame) -> DataFrame:
-    return predictions.where("label <> prediction")
+    return predictions.where(is_wrong())
 
 
 def error_rates(cells: DataFrame) -> DataFrame:
@@ -21,11 +24,11 @@ def error_rates(cells: DataFrame) -> DataFrame:
 
     Models without a single error are left out.
     """
-    wrong = F.sum(F.when(F.col("label") != F.col("prediction"), F.col("n")).otherwise(0))
+    wrong = F.sum(F.when(is_wrong(), F.col("n")).otherwise(0))
     per_class = cells.groupBy(*MODEL, "label").agg(
         F.sum("n").alias("n"), wrong.alias("errors")
     )
-    of_model = Window.partitionBy("model")
+    of_model = Window.partitionBy(*MODEL)
     per_class = per_class.withColumn("_all", F.sum("errors").over(of_model)).where("_all > 0")
     overall = per_class.groupBy(*MODEL).agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"))
     rows = per_class.select(
@@ -44,23 +47,16 @@ def error_samples(
 ) -> DataFrame:
     """The first k wrong rows of each model in key order, with their text.
 
-    The ranking sees keys only; texts are fetched for the k rows per model.  A
-    short list of keys also goes to the scan as a filter, which skips row groups
-    where the text table is clustered by key.
+    The ranking sees keys only; texts are fetched for the k rows per model.
     """
-    order = Window.partitionBy("model").orderBy(key)
+    order = Window.partitionBy(*MODEL).orderBy(key)
     first = (
         misclassified(predictions)
         .select(*MODEL, key, "label", "prediction")
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= k)
     )
-    first = small_table(first)
-    keys = [r[key] for r in first.select(key).limit(MAX_PUSHED_KEYS + 1).collect()]
-    wanted = texts.select(key, text)
-    if len(keys) <= MAX_PUSHED_KEYS:
-        wanted = wanted.where(F.col(key).isin(keys))
-    return wanted.join(first, key).select(
+    return texts.select(key, text).join(small_table(first), key).select(
         *MODEL, "place", key, text, "label", "prediction"
     )
 
@@ -88,7 +84,7 @@ def prediction_table(
             F.col("label").alias("true_label_name"),
             "predicted_label",
             F.col("prediction").alias("predicted_label_name"),
-            (F.col("label") == F.col("prediction")).cast("int").alias("correct"),
+            (~is_wrong()).cast("int").alias("correct"),
         )
     )
 
@@ -101,6 +97,6 @@ def error_by_length(
     joined = predictions.join(lengths.select(key, bucket.alias("bucket")), key)
     return (
         joined.groupBy(*MODEL, "bucket")
-        .agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("prediction")).alias("errors"))
+        .agg(F.count("*").alias("n"), F.count_if(is_wrong()).alias("errors"))
         .withColumn("error_rate", F.round(F.col("errors") / F.col("n"), 4))
     )

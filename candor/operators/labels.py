@@ -24,14 +24,16 @@ def of_class(df: DataFrame, target, label: str = "label") -> DataFrame:
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
-    return df.groupBy(label).agg(F.count("*").alias("n"))
+    """(label, n) of rows with a label; rows without one belong to no class."""
+    return valid_labels(df, label).groupBy(label).agg(F.count("*").alias("n"))
 
 
 def class_table(df: DataFrame, label: str = "label") -> DataFrame:
-    """(label, label_id) with ids 0..k-1 in sorted label order."""
+    """(label, label_id) with ids 0..k-1 in sorted label order; a missing label has none."""
     # The window runs over one row per class, not over the data.
     ids = F.row_number().over(Window.orderBy(label)) - 1
-    return small_table(df.select(label).distinct().select(label, ids.cast("int").alias("label_id")))
+    known = df.select(label).where(F.col(label).isNotNull()).distinct()
+    return small_table(known.select(label, ids.cast("int").alias("label_id")))
 
 
 def encode_labels(
@@ -56,7 +58,7 @@ def decode_labels(
 
 
 def class_distribution(df: DataFrame, label: str = "label") -> DataFrame:
-    """(label, n, percent) over all rows."""
+    """(label, n, percent) over all rows with a label."""
     counts = class_counts(df, label)
     total = F.sum("n").over(Window.partitionBy())
     return counts.select(label, "n", F.round(F.col("n") / total * 100, 4).alias("percent"))
@@ -116,7 +118,7 @@ def roll_up_labels(
         [T.StructField(child, T.StringType()), T.StructField(parent, T.StringType())]
     )
     table = df.sparkSession.createDataFrame(sorted(parents.items()), schema)
-    return df.join(F.broadcast(table), child, "left")
+    return df.join(table, child, "left")
 
 
 def inconsistent_children(df: DataFrame, child: str, parent: str) -> DataFrame:

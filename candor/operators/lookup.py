@@ -1,21 +1,17 @@
-"""Small side tables whose size is checked before they are broadcast."""
+"""Side tables: one row per class, model or the like."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-MAX_ROWS = 200_000
-MAX_BYTES = 32 * 1024 * 1024
+from candor.sources.staging import stage
 
 
-def small_table(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Compute a side table once and mark it for broadcast, if it is small.
+def small_table(df: DataFrame) -> DataFrame:
+    """Compute a side table once, for any number of uses.
 
-    At most ``max_rows + 1`` rows reach the driver.  A table over either bound
-    comes back unchanged and joins by shuffle, with Spark's skew handling.
+    It is read back from the shared folder with its size known: Spark broadcasts it up to
+    ``spark.sql.autoBroadcastJoinThreshold`` and joins by shuffle beyond, and nothing of
+    it passes through the driver's Python.
     """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows or head.nbytes > max_bytes:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
+    return stage(df, "side")

@@ -46,6 +46,8 @@ def class_scores(cells: DataFrame) -> DataFrame:
     )
     totals = (
         cells.select(*MODEL, F.inline(sides))
+        # A missing prediction is an error of its label, but no class.
+        .where(F.col("class").isNotNull())
         .groupBy(*MODEL, "class")
         .agg(
             F.sum("support").alias("support"),
@@ -195,7 +197,7 @@ def confusion_matrix(cells: DataFrame) -> DataFrame:
 
 def confusion_normalized(cells: DataFrame) -> DataFrame:
     """The dense matrix with each cell as a share of its label's rows."""
-    row_total = F.sum("n").over(Window.partitionBy("model", "label"))
+    row_total = F.sum("n").over(Window.partitionBy(*MODEL, "label"))
     return confusion_matrix(cells).select(
         *MODEL, "label", "prediction", F.round(_ratio(F.col("n"), row_total), 4).alias("share")
     )
@@ -215,7 +217,7 @@ def confusion_wide(cells: DataFrame, classes: Sequence) -> DataFrame:
 
 def top_classes_by_f1(cells: DataFrame, k: int = 3) -> DataFrame:
     """The k best classes of each model; equal scores in class order."""
-    order = Window.partitionBy("model").orderBy(F.desc("f1"), "class")
+    order = Window.partitionBy(*MODEL).orderBy(F.desc("f1"), "class")
     scored = class_scores(cells)
     return (
         scored.withColumn("place", F.row_number().over(order))

@@ -83,9 +83,20 @@ def token_length_histogram(df: DataFrame, tokens: str, width: int = 50) -> DataF
 def sequence_length_quantiles(
     df: DataFrame, tokens: str, quantiles: Sequence[float] = (0.5, 0.9, 0.95, 0.99)
 ) -> DataFrame:
-    """Approximate token-length quantiles, for choosing a sequence length."""
-    return df.agg(
-        *[F.percentile_approx(F.size(tokens), q, 10_000).alias(f"p{round(q * 100)}") for q in quantiles]
+    """Exact token-length quantiles: the least length that the share q of rows does not exceed.
+
+    From the histogram of lengths, which has one row per distinct length.
+    """
+    sizes = df.groupBy(F.size(tokens).alias("length")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("length"))
+    total = F.sum("n").over(Window.partitionBy())
+    ranked = sizes.select("length", upto.alias("upto"), total.alias("total"))
+    return ranked.agg(
+        *[
+            F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * F.lit(q)), F.col("length")))
+            .alias(f"p{round(q * 100)}")
+            for q in quantiles
+        ]
     )
 
 

@@ -12,22 +12,28 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import (
+    Binarizer,
+    CountVectorizerModel,
+    ElementwiseProduct,
+    Normalizer,
+)
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candor.functions.text import ngrams, remove_stop_words
-
-
-# A vocabulary is kept on the driver and sent to every executor.
-MAX_FEATURES = 1_000_000
-
+from candor.functions.arrays import let
+from candor.functions.text import ngrams, remove_stop_words, term_counts
+from candor.sources.staging import stage
 
 @dataclass(frozen=True)
 class TextFeatures:
-    """How cleaned text becomes weighted terms."""
+    """How cleaned text becomes weighted terms.
+
+    ``max_features`` bounds the vocabulary, which is kept on the driver and sent to
+    every executor.
+    """
 
     max_features: int
     ngram_range: tuple[int, int] = (1, 1)
@@ -37,8 +43,8 @@ class TextFeatures:
     sublinear_tf: bool = False
 
     def __post_init__(self) -> None:
-        if not 0 < self.max_features <= MAX_FEATURES:
-            raise ValueError(f"max_features must be between 1 and {MAX_FEATURES}")
+        if self.max_features < 1:
+            raise ValueError("max_features must be at least 1")
 
     def terms(self, tokens: Column | str) -> Column:
         """The terms of a token array: stop words go first, then n-grams are formed."""
@@ -46,34 +52,28 @@ class TextFeatures:
         return ngrams(kept, *self.ngram_range)
 
 
-def corpus_term_counts(df: DataFrame, tokens: Column | str) -> DataFrame:
-    """(term, tf, df): occurrences and documents per term, from one pass over the text."""
-    found = df.select((F.col(tokens) if isinstance(tokens, str) else tokens).alias("_tokens"))
-    # Block 0 holds every token, block 1 each document's distinct ones.
-    blocks = found.select(
-        F.posexplode(F.array("_tokens", F.array_distinct("_tokens"))).alias("_block", "_terms")
-    )
-    return (
-        blocks.select("_block", F.explode("_terms").alias("term"))
-        .groupBy("term")
-        .agg(
-            F.count_if(F.col("_block") == 0).alias("tf"),
-            F.count_if(F.col("_block") == 1).alias("df"),
-        )
-    )
+def corpus_term_counts(
+    df: DataFrame, tokens: Column | str, by: Sequence[str] = ()
+) -> DataFrame:
+    """(term, tf, df): occurrences and documents per term, and per value of ``by``.
+
+    Terms are counted inside each document first, so a row per distinct term enters
+    the aggregation.
+    """
+    terms = F.col(tokens) if isinstance(tokens, str) else tokens
+    counted = df.select(*by, F.inline(term_counts(terms)))
+    return counted.groupBy(*by, "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
 def smooth_idf(n_docs: int, df: Column) -> Column:
     return F.log((F.lit(1.0) + F.lit(n_docs)) / (F.lit(1.0) + df)) + F.lit(1.0)
 
 
-def fit_vocabulary(df: DataFrame, tokens: str, spec: TextFeatures) -> DataFrame:
+def chosen_terms(counts: DataFrame, n_docs: int, spec: TextFeatures) -> pa.Table:
     """(term, term_id, tf, df, idf): at most ``max_features`` rows, by total count.
 
     Equal counts are cut in term order; ids follow term order.
     """
-    n_docs = df.count()
-    counts = corpus_term_counts(df, spec.terms(tokens))
     if spec.min_df > 1:
         counts = counts.where(F.col("df") >= spec.min_df)
     if spec.max_df < 1.0:
@@ -81,8 +81,17 @@ def fit_vocabulary(df: DataFrame, tokens: str, spec: TextFeatures) -> DataFrame:
     top = counts.orderBy(F.desc("tf"), "term").limit(spec.max_features)
     kept = top.withColumn("idf", smooth_idf(n_docs, F.col("df"))).toArrow().sort_by("term")
     ids = pa.array(range(kept.num_rows), pa.int32())
-    table = kept.append_column("term_id", ids).select(["term", "term_id", "tf", "df", "idf"])
-    return df.sparkSession.createDataFrame(table)
+    return kept.append_column("term_id", ids).select(["term", "term_id", "tf", "df", "idf"])
+
+
+def fit_terms(df: DataFrame, tokens: str, spec: TextFeatures, n_docs: int | None = None) -> pa.Table:
+    n_docs = df.count() if n_docs is None else n_docs
+    return chosen_terms(corpus_term_counts(df, spec.terms(tokens)), n_docs, spec)
+
+
+def fit_vocabulary(df: DataFrame, tokens: str, spec: TextFeatures) -> DataFrame:
+    """The fitted terms as a table."""
+    return df.sparkSession.createDataFrame(fit_terms(df, tokens, spec))
 
 
 @dataclass(frozen=True)
@@ -92,13 +101,21 @@ class Vocabulary:
     terms: tuple[str, ...]
     idf: tuple[float, ...]
 
+    @classmethod
+    def from_arrow(cls, table: pa.Table) -> Vocabulary:
+        ordered = table.sort_by("term_id")
+        return cls(tuple(ordered["term"].to_pylist()), tuple(ordered["idf"].to_pylist()))
+
     @classmethod
     def from_table(cls, table: DataFrame) -> Vocabulary:
-        rows = table.select("term_id", "term", "idf").limit(MAX_FEATURES + 1).collect()
-        if len(rows) > MAX_FEATURES:
-            raise ValueError(f"more than {MAX_FEATURES} terms")
-        rows = sorted(rows, key=lambda r: r["term_id"])
-        return cls(tuple(r["term"] for r in rows), tuple(r["idf"] for r in rows))
+        return cls.from_arrow(table.select("term_id", "term", "idf").toArrow())
+
+    @classmethod
+    def fit(
+        cls, df: DataFrame, tokens: str, spec: TextFeatures, n_docs: int | None = None
+    ) -> Vocabulary:
+        """Fitted on the documents; the terms come to the driver once."""
+        return cls.from_arrow(fit_terms(df, tokens, spec, n_docs))
 
     def table(self, spark: SparkSession) -> DataFrame:
         columns = {
@@ -165,15 +182,6 @@ def tfidf_vectors(
     return unit.transform(weighted).drop("_weights")
 
 
-def vector_entries(df: DataFrame, keys: Sequence[str], vector: str, value: str) -> DataFrame:
-    """Long form of a sparse vector column: (keys, term_id, value)."""
-    parts = df.select(*keys, F.unwrap_udt(vector).alias("_v"))
-    # The outer form keeps Spark from adding a filter that would compute the vector twice.
-    return parts.select(
-        *keys, F.inline_outer(F.arrays_zip("_v.indices", "_v.values")).alias("term_id", value)
-    ).where(F.col("term_id").isNotNull())
-
-
 def tfidf_long(
     df: DataFrame,
     vocabulary: Vocabulary,
@@ -182,12 +190,40 @@ def tfidf_long(
     key: str,
     normalize: bool = True,
 ) -> DataFrame:
-    """(key, term, weight) for the terms of each document that the vocabulary knows."""
-    vectors = tfidf_vectors(df.select(key, tokens), vocabulary, tokens, spec, normalize=normalize)
-    entries = vector_entries(vectors, [key], "features", "weight")
-    # Broadcast: a vocabulary has at most max_features rows.
-    names = F.broadcast(vocabulary.table(df.sparkSession).select("term_id", "term"))
-    return entries.join(names, "term_id").select(key, "term", "weight")
+    """(key, term, weight) for the terms of each document that the vocabulary knows.
+
+    Weights are worked out on arrays: the counts, and the idf of the same terms, which
+    is the product of the idf vector with the counts' pattern of ones.
+    """
+    if not vocabulary.terms:
+        raise ValueError("the vocabulary is empty")
+    counted = count_vectors(
+        df.select(key, spec.terms(tokens).alias("_terms")), vocabulary, "_terms", "_tf"
+    ).drop("_terms")
+    ones = Binarizer(inputCol="_tf", outputCol="_ones", threshold=0.0).transform(counted)
+    idf = ElementwiseProduct(
+        scalingVec=Vectors.dense(vocabulary.idf), inputCol="_ones", outputCol="_idf"
+    ).transform(ones)
+    parts = idf.select(key, F.unwrap_udt("_tf").alias("_tf"), F.unwrap_udt("_idf").alias("_idf"))
+
+    def weight(count: Column, idf: Column) -> Column:
+        return (F.lit(1.0) + F.log(count) if spec.sublinear_tf else count) * idf
+
+    def unit(weights: Column) -> Column:
+        squares = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w * w)
+        return let(F.sqrt(squares), lambda norm: F.transform(weights, lambda w: w / norm))
+
+    # The pattern of ones is stored densely where a document has most of the terms.
+    found = F.col("_idf")["values"]
+    picked = F.transform(F.col("_tf")["indices"], lambda i: F.get(found, i))
+    idfs = F.when(F.col("_idf")["indices"].isNull(), picked).otherwise(found)
+    weights = F.zip_with(F.col("_tf")["values"], idfs, weight)
+    weights = let(weights, unit) if normalize else weights
+    entries = F.arrays_zip(F.col("_tf")["indices"].alias("term_id"), weights.alias("weight"))
+    # The outer form keeps Spark from adding a filter that would count every row twice.
+    rows = parts.select(key, F.inline_outer(entries)).where(F.col("term_id").isNotNull())
+    names = stage(vocabulary.table(df.sparkSession).select("term_id", "term"), "terms")
+    return rows.join(names, "term_id").select(key, "term", "weight")
 
 
 def json_literal(value: object, ddl: str) -> Column:

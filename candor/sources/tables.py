@@ -14,20 +14,29 @@ SPLIT_FILE = "{split}-00000-of-00001.parquet"
 
 
 def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
-    """Parquet scan.  With ``spread``, a table with fewer splits than cores is spread over all.
+    """Parquet scan; with ``spread``, a very small table is spread over all cores.
 
     A Parquet file splits only between row groups, so a small table written as
-    one row group would run its whole text work in one task.  Tables that come
-    with at least as many splits as there are cores are left alone: no shuffle.
+    one row group would run its whole text work in one task.
     """
     df = spark.read.parquet(path)
     return spread_over_cores(df) if spread else df
 
 
 def spread_over_cores(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores one partition per core."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Give a scan with fewer splits than cores one partition per core, if that moves little.
+
+    Little is what Spark charges for opening one file, for each core
+    (``spark.sql.files.openCostInBytes``): Spark would not split such a table further.
+    Larger tables split by themselves and are never shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    little = cores * spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    if size > little or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
@@ -66,14 +75,16 @@ def write_csv(df: DataFrame, path: str, *, partition_by: tuple[str, ...] = ()) -
     writer.csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("escape", '"')
-        .option("multiLine", True)
-        .csv(path)
-    )
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str, *, line_breaks: bool = False
+) -> DataFrame:
+    """CSV with a header line.
+
+    With ``line_breaks``, values may hold line breaks; a file is then read by one task, so
+    this is for tables of bounded size.  Tables with a row per document belong in Parquet.
+    """
+    reader = spark.read.schema(schema).option("header", True).option("escape", '"')
+    return reader.option("multiLine", line_breaks).csv(path)
 
 
 def write_json(df: DataFrame, path: str, *, partition_by: tuple[str, ...] = ()) -> None:
@@ -87,22 +98,27 @@ def write_json(df: DataFrame, path: str, *, partition_by: tuple[str, ...] = ())
 def one_json_document(sections: Mapping[str, DataFrame]) -> DataFrame:
     """One row with a JSON object that holds each section's rows as an array.
 
-    For result tables of bounded size: every section must already be aggregated.
+    Sections come in the order given, rows in the order of their table.  For result
+    tables of bounded size: every section must already be aggregated.
     """
     parts = [
-        df.select(F.lit(name).alias("section"), F.to_json(F.struct(*df.columns)).alias("row"))
-        for name, df in sections.items()
+        df.select(
+            F.lit(place).alias("place"), F.lit(name).alias("section"),
+            F.struct(
+                F.monotonically_increasing_id().alias("at"),
+                F.to_json(F.struct(*df.columns)).alias("row"),
+            ).alias("row"),
+        )
+        for place, (name, df) in enumerate(sections.items())
     ]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    per_section = rows.groupBy("section").agg(
-        F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("row")), ","), F.lit("]"))
-        .alias("rows")
-    )
-    field = F.concat(F.lit('"'), F.col("section"), F.lit('":'), F.col("rows"))
-    return per_section.agg(
-        F.concat(
-            F.lit("{"), F.array_join(F.sort_array(F.collect_list(field)), ","), F.lit("}")
-        ).alias("document")
+    ordered = F.transform(F.sort_array(F.collect_list("row")), lambda r: r["row"])
+    per_section = rows.groupBy("place", "section").agg(
+        F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")).alias("rows")
     )
+    text = F.concat(F.lit('"'), F.col("section"), F.lit('":'), F.col("rows")).alias("text")
+    fields = F.sort_array(F.collect_list(F.struct("place", text)))
+    joined = F.array_join(F.transform(fields, lambda f: f["text"]), ",")
+    return per_section.agg(F.concat(F.lit("{"), joined, F.lit("}")).alias("document"))

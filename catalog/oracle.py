@@ -487,6 +487,11 @@ SELECT *, round(errors / n, 4) AS error_rate FROM per"""
 ORACLE["token_length_histogram"] = f"""
 WITH {TOKENS} SELECT len(t) // 50 * 50 AS bucket, count(*) AS n FROM toks GROUP BY ALL"""
 
+ORACLE["sequence_length_quantiles"] = f"""
+WITH {TOKENS}, n AS (SELECT len(t)::INT AS n FROM toks)
+SELECT quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.9) AS p90, quantile_disc(n, 0.95) AS p95,
+       quantile_disc(n, 0.99) AS p99 FROM n"""
+
 ORACLE["top_unigrams"] = f"""
 WITH {LABELLED}, e AS (SELECT label, unnest({tokens_of('text')}) AS term FROM labelled),
   c AS (SELECT label, term, count(*) AS n FROM e GROUP BY ALL

@@ -190,7 +190,7 @@ def synonym_replace(spark, sf_dir):
 def encode_sequences(spark, sf_dir):
     docs = t.tokens(spark, sf_dir)
     ids = sequences.fit_token_ids(docs, "tokens", 3000)
-    encoded = sequences.encode_sequences(docs, ids, "tokens", MAX_LENGTH)
+    encoded = sequences.encode_sequences(docs, ids, "tokens", "doc_id", MAX_LENGTH)
     return encoded.select(
         "doc_id",
         F.array_join("input_ids", " ").alias("input_ids"),
@@ -222,7 +222,7 @@ def idf_table(spark, sf_dir):
 
 def _long(spark, sf_dir, spec, normalize):
     docs = t.tokens(spark, sf_dir)
-    vocabulary = tfidf.Vocabulary.from_table(tfidf.fit_vocabulary(docs, "tokens", spec))
+    vocabulary = tfidf.Vocabulary.fit(docs, "tokens", spec)
     weights = tfidf.tfidf_long(docs, vocabulary, "tokens", spec, "doc_id", normalize)
     return weights.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
@@ -240,12 +240,9 @@ def tfidf_l2(spark, sf_dir):
 @query
 def tfidf_apply(spark, sf_dir):
     split = splits.stratified_split(t.labels(spark, sf_dir), "doc_id", "label")
-    texts = t.table(spark, sf_dir, "documents").select("doc_id", "text").join(split, "doc_id")
-    tokens = txt.clean_tokens("text").alias("tokens")
-    docs = stage(texts.select("doc_id", "split", tokens), "split-tokens", "split", spread=True)
-    train = docs.where("split = 'train'")
-    vocabulary = tfidf.Vocabulary.from_table(tfidf.fit_vocabulary(train, "tokens", ENHANCED))
-    test = docs.where("split = 'test'")
+    docs = t.tokens(spark, sf_dir).join(split.select("doc_id", "split"), "doc_id")
+    train, test = (docs.where(F.col("split") == s) for s in ("train", "test"))
+    vocabulary = tfidf.Vocabulary.fit(train, "tokens", ENHANCED)
     weights = tfidf.tfidf_long(test, vocabulary, "tokens", ENHANCED, "doc_id")
     return weights.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 

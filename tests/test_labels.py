@@ -76,6 +76,19 @@ def test_class_zero_and_empty_string_are_valid_targets(spark):
     assert grown.where("sample_id is not null").select("label").distinct().first()[0] == 0
 
 
+def test_rows_without_a_label_are_no_class(spark):
+    data = [(1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "b"), (6, None), (7, " ")]
+    df = spark.createDataFrame(data, "doc_id bigint, label string").withColumn("text", F.lit("good bad x"))
+    assert tuple(labels.minority_class(df).first()) == ("a", 2)
+    assert {r["label"]: r["weight"] for r in labels.class_weights(df).collect()} == {"a": 1.25, "b": 5 / 6}
+    assert rows(labels.class_table(df.where("label <> ' '"))) == [("a", 0), ("b", 1)]
+    grown = augment.oversample(df, "doc_id", "text", n_samples=6)
+    assert {r["label"] for r in grown.where("sample_id is not null").collect()} == {"a"}
+    assert grown.where("sample_id is null").count() == 7
+    # A missing label can still be asked for.
+    assert labels.of_class(df, None).count() == 1
+
+
 def test_oversample(spark):
     data = [(i, "big", "good answer to a question") for i in range(50)]
     data += [(100 + i, "tiny", f"a good answer number {i}") for i in range(3)]
@@ -92,8 +105,8 @@ def test_oversample(spark):
         augment.oversample(df, "doc_id", "text", target="absent")
 
 
-def test_a_table_over_the_bound_is_not_broadcast(spark):
-    df = spark.range(100)
-    assert "Local" in small_table(df)._jdf.queryExecution().toString()
-    assert small_table(df, max_rows=99) is df
-    assert small_table(df, max_bytes=10) is df
+def test_side_tables_are_computed_once_and_broadcast_by_size(spark):
+    side = small_table(spark.range(100).withColumn("x", F.rand()))
+    assert rows(side) == rows(side)
+    joined = spark.range(5).join(side, "id")
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().toString()

@@ -8,7 +8,6 @@ from __spark_entry__ import entry, oracle_sql, queries
 from comparing import compare, connect
 from conftest import rows
 
-from candor.operators.lookup import small_table
 from candor.plans.loading import load_dataset
 from catalog import tables as t
 
@@ -45,11 +44,10 @@ def test_plan_stays_in_the_jvm_and_never_pairs_all_rows(spark, small_dir, name):
         "augment_minority", "classification_report", "prediction_table", "error_samples",
     ],
 )
-def test_side_tables_over_the_bound_join_by_shuffle(spark, small_dir, monkeypatch, name):
+def test_side_tables_over_the_bound_join_by_shuffle(spark, small_dir, name):
     want = connect(small_dir).sql(oracle_sql()[name]).to_arrow_table()
     threshold = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(threshold)
-    monkeypatch.setattr(small_table, "__defaults__", (0, 0))
     spark.conf.set(threshold, "-1")
     try:
         df = queries()[name](spark, small_dir)

@@ -130,7 +130,7 @@ def test_csv_keeps_any_text(spark, tmp_path):
     texts = ['say "hi", now', "two\nlines", "comma, and \\ slash", "plain"]
     df = frame(spark, "id int, text string", *enumerate(texts))
     tables.write_csv(df, str(tmp_path / "c"))
-    back = tables.read_csv(spark, str(tmp_path / "c"), "id int, text string")
+    back = tables.read_csv(spark, str(tmp_path / "c"), "id int, text string", line_breaks=True)
     assert rows(back) == rows(df)
     tables.write_csv(df.withColumn("m", F.lit("x")), str(tmp_path / "p"), partition_by=("m",))
     assert (tmp_path / "p" / "m=x").is_dir()
@@ -146,6 +146,15 @@ def test_json_sinks(spark, tmp_path):
     }
 
 
+def test_json_documents_keep_the_order_of_rows_and_sections(spark):
+    df = spark.createDataFrame([(i, f"m{i}") for i in range(12)], "model_rank int, model string")
+    [row] = tables.one_json_document({"z": df.orderBy("model_rank"), "a": df.orderBy(F.desc("model_rank"))}).collect()
+    found = json.loads(row["document"])
+    assert list(found) == ["z", "a"]
+    assert [r["model_rank"] for r in found["z"]] == list(range(12))
+    assert [r["model_rank"] for r in found["a"]] == list(range(11, -1, -1))
+
+
 def test_split_files_are_found_by_file_name(spark, tmp_path):
     base = tmp_path / "train-data"
     for folder in ("", "data"):

@@ -120,11 +120,35 @@ def test_sequences(spark):
     df = texts.select("i", tokenize("t").alias("t"))
     ids = sequences.fit_token_ids(df.where("i = 1"), "t", 2)
     assert rows(ids) == [("aa", 3), ("bb", 2)]
-    got = sequences.encode_sequences(df, ids, "t", 3)
+    got = sequences.encode_sequences(df, ids, "t", "i", 3)
     assert [(r["i"], r["input_ids"], r["attention_mask"]) for r in got.orderBy("i").collect()] == [
         (1, [2, 3, 2], [1, 1, 1]),
         (2, [0, 0, 0], [0, 0, 0]),
         (3, [1, 2, 0], [1, 1, 0]),
     ]
-    with pytest.raises(ValueError):
-        sequences.fit_token_ids(df, "t", sequences.MAX_TERMS + 1)
+
+
+def test_the_plan_of_sequences_does_not_grow_with_the_vocabulary(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tokenize("text").alias("t"))
+    sizes = []
+    for n in (10, 5000):
+        ids = sequences.fit_token_ids(docs, "t", n)
+        encoded = sequences.encode_sequences(docs, ids, "t", "doc_id", 16)
+        sizes.append(len(encoded._jdf.queryExecution().optimizedPlan().toString()))
+    assert abs(sizes[0] - sizes[1]) < 200
+
+
+def test_sequences_with_and_without_a_broadcast(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tokenize("text").alias("t"))
+    ids = sequences.fit_token_ids(docs, "t", 500)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before, found = spark.conf.get(name), []
+    try:
+        for limit in (before, "-1"):
+            spark.conf.set(name, limit)
+            encoded = sequences.encode_sequences(docs, ids, "t", "doc_id", 64)
+            assert ("BroadcastHashJoin" in encoded._jdf.queryExecution().toString()) == (limit == before)
+            found.append(rows(encoded))
+    finally:
+        spark.conf.set(name, before)
+    assert found[0] == found[1]
