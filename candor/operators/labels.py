@@ -81,18 +81,16 @@ def imbalance_ratio(df: DataFrame, label: str = "label") -> DataFrame:
     )
 
 
-def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """Balanced weights total / (k * n), one row per class, not rounded."""
+def balanced(counts: DataFrame, label: str = "label") -> DataFrame:
+    """Class counts with balanced weights total / (k * n), not rounded."""
     everything = Window.partitionBy()
-    counts = class_counts(df, label)
-    return small_table(
-        counts.select(
-            label,
-            "n",
-            (F.sum("n").over(everything) / (F.count("*").over(everything) * F.col("n")))
-            .alias("weight"),
-        )
-    )
+    share = F.sum("n").over(everything) / (F.count("*").over(everything) * F.col("n"))
+    return small_table(counts.select(label, "n", share.alias("weight")))
+
+
+def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
+    """Balanced weights, one row per class of the rows with a label."""
+    return balanced(class_counts(df, label), label)
 
 
 def minority_class(df: DataFrame, label: str = "label") -> DataFrame:

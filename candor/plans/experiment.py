@@ -45,10 +45,14 @@ def run_experiment(
     specs: Sequence[ModelSpec] | None = None,
     test: DataFrame | None = None,
     seed: int = 42,
+    copies: int = 0,
 ) -> Experiment:
-    """Train the models, add their majority vote, and compare them on the test split."""
+    """Train the models, add their majority vote, and compare them on the test split.
+
+    ``copies`` varied copies of the smallest class are added to the train rows.
+    """
     specs = list(specs or four_models())
-    corpus = prepare_corpus(df, key, text, label, test=test, seed=seed)
+    corpus = prepare_corpus(df, key, text, label, test=test, seed=seed, copies=copies)
     models, staged = train_all(corpus, specs)
     validation = metrics.model_comparison(
         metrics.confusion_cells(predict_split(models, staged, key, "val"))
@@ -70,10 +74,18 @@ def summary_document(run: Experiment, text: str, label: str) -> DataFrame:
         F.current_timestamp().alias("finished_at"),
     )
     tested = run.corpus.split("test").select("label")
+    models = spark.createDataFrame(
+        [
+            (i, m.name, m.features.max_features, list(m.features.ngram_range), len(m.vocabulary.terms))
+            for i, m in enumerate(run.models)
+        ],
+        "model_rank int, model string, max_features int, ngram_range array<int>, n_terms int",
+    )
     return one_json_document(
         {
             "experiment": settings,
-            "dataset": dataset_summary(run.corpus.rows, "label", "split"),
+            "dataset": dataset_summary(run.corpus.rows.where("copy is null"), "label", "split"),
+            "models": models.orderBy("model_rank"),
             "results": run.comparison.orderBy("model_rank"),
             "best_models": metrics.best_model(run.comparison),
             "key_insights": metrics.key_insights(run.comparison, imbalance_ratio(tested)),
@@ -89,9 +101,6 @@ CSV_RESULTS = {
     "f1_score double, support double, file string",
     "confusion_matrices": "model_rank int, model string, label string, prediction string, "
     "n bigint, file string",
-    "predictions": "model_rank int, model string, {key} bigint, text string, true_label int, "
-    "true_label_name string, predicted_label int, predicted_label_name string, correct int, "
-    "file string",
 }
 JSON_RESULTS = {
     "error_rates": "model_rank int, model string, scope string, label string, n bigint, "
@@ -108,12 +117,19 @@ def read_results(
     key_type: str = "bigint",
     models: Sequence[str] | None = None,
 ) -> dict[str, DataFrame]:
-    """The result tables that ``write_results`` wrote, for the chosen models."""
+    """The result tables that ``write_results`` wrote, for the chosen models.
+
+    The table of predictions, with a row per document, is Parquet; its CSV is for export.
+    """
 
     def schema(text: str) -> str:
         return text.replace("{key} bigint", f"`{key}` {key_type}")
 
-    found = {name: read_csv(spark, f"{folder}/{name}", schema(s)) for name, s in CSV_RESULTS.items()}
+    found = {
+        name: read_csv(spark, f"{folder}/{name}", schema(s), line_breaks=True)
+        for name, s in CSV_RESULTS.items()
+    }
+    found["predictions"] = spark.read.parquet(f"{folder}/predictions")
     for name, s in JSON_RESULTS.items():
         found[name] = spark.read.schema(schema(s)).json(f"{folder}/{name}")
     if models is None:
@@ -142,10 +158,12 @@ def write_results(
     write_json(documents.coalesce(1), f"{folder}/reports_json", partition_by=("file",))
     matrices = metrics.confusion_matrix(run.cells).withColumn("file", file_name)
     write_csv(matrices.coalesce(1), f"{folder}/confusion_matrices", partition_by=("file",))
-    table = errors.prediction_table(run.predictions, texts, run.corpus.classes, key, "text")
-    write_csv(
-        table.withColumn("file", file_name), f"{folder}/predictions", partition_by=("file",)
+    table = errors.prediction_table(run.predictions, texts, run.corpus.class_table(), key, "text")
+    table.withColumn("file", file_name).write.mode("overwrite").partitionBy("file").parquet(
+        f"{folder}/predictions"
     )
+    rows = spark.read.parquet(f"{folder}/predictions")
+    write_csv(rows, f"{folder}/predictions_csv", partition_by=("file",))
     write_json(errors.error_rates(run.cells).coalesce(1), f"{folder}/error_rates")
     samples = errors.error_samples(run.predictions, texts, key, "text")
     write_json(samples.coalesce(1), f"{folder}/error_samples")

@@ -8,8 +8,7 @@ read the staged vectors.
 from __future__ import annotations
 
 import json
-import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass
 from multiprocessing.pool import ThreadPool
 
@@ -21,12 +20,16 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candor.functions.arrays import let
 from candor.functions.stopwords import ENGLISH
 from candor.functions.text import clean_tokens
+from candor.operators.augment import SYNONYMS, oversample
 from candor.operators.labels import (
+    balanced,
     class_table,
     class_weights,
     encode_labels,
@@ -34,18 +37,21 @@ from candor.operators.labels import (
 )
 from candor.operators.metrics import confusion_cells, model_comparison
 from candor.operators.splits import assign_folds, nested_split, stratified_split
-from candor.operators.tfidf import TextFeatures, Vocabulary, fit_vocabulary, tfidf_vectors
+from candor.operators.tfidf import (
+    TextFeatures,
+    Vocabulary,
+    chosen_terms,
+    corpus_term_counts,
+    tfidf_vectors,
+)
 from candor.sources.staging import stage
+from candor.sources.tables import spread_over_cores
 
-# Stop when the gradient's norm falls to this share of the loss.
-TOLERANCE = 1e-3
-
-# Every solver iteration is one job over the cached training rows.  Few rows per
-# task would make it all scheduling; trees do far more work per row.
-ROWS_PER_TASK = 20_000
-ROWS_PER_TREE_TASK = 250
+# Stop when the loss or the gradient changes by less than this share.
+TOLERANCE = 1e-4
 
-MAX_CLASSES = 10_000
+# Binary fits of one model that run side by side; models run side by side as well.
+BINARY_FITS = 2
 
 # Given the number of training rows, build an unfitted classifier.  Balanced
 # weights sum to that number, so the penalty 1 / (c * rows) equals inverse
@@ -54,32 +60,34 @@ ClassifierRule = Callable[[int], Estimator]
 COLUMNS = {"featuresCol": "features", "labelCol": "label_id", "weightCol": "weight"}
 
 
-def logistic(c: float = 1.0, max_iter: int = 1000) -> ClassifierRule:
+def logistic(c: float = 1.0, max_iter: int = 1000, tol: float = TOLERANCE) -> ClassifierRule:
     def make(rows: int) -> Estimator:
         return LogisticRegression(
-            family="multinomial", regParam=1.0 / (c * rows), maxIter=max_iter, tol=TOLERANCE,
+            family="multinomial", regParam=1.0 / (c * rows), maxIter=max_iter, tol=tol,
             standardization=False, **COLUMNS,
         )
 
     return make
 
 
-def logistic_one_vs_rest(c: float = 1.0, max_iter: int = 1000) -> ClassifierRule:
+def logistic_one_vs_rest(
+    c: float = 1.0, max_iter: int = 1000, tol: float = TOLERANCE
+) -> ClassifierRule:
     def make(rows: int) -> Estimator:
         binary = LogisticRegression(
-            regParam=1.0 / (c * rows), maxIter=max_iter, tol=TOLERANCE, standardization=False
+            regParam=1.0 / (c * rows), maxIter=max_iter, tol=tol, standardization=False
         )
-        return OneVsRest(classifier=binary, parallelism=4, **COLUMNS)
+        return OneVsRest(classifier=binary, parallelism=BINARY_FITS, **COLUMNS)
 
     return make
 
 
-def linear_svm(c: float = 1.0, max_iter: int = 1000) -> ClassifierRule:
+def linear_svm(c: float = 1.0, max_iter: int = 1000, tol: float = TOLERANCE) -> ClassifierRule:
     def make(rows: int) -> Estimator:
         binary = LinearSVC(
-            regParam=1.0 / (c * rows), maxIter=max_iter, tol=TOLERANCE, standardization=False
+            regParam=1.0 / (c * rows), maxIter=max_iter, tol=tol, standardization=False
         )
-        return OneVsRest(classifier=binary, parallelism=4, **COLUMNS)
+        return OneVsRest(classifier=binary, parallelism=BINARY_FITS, **COLUMNS)
 
     return make
 
@@ -98,7 +106,6 @@ class ModelSpec:
     name: str
     features: TextFeatures
     classifier: ClassifierRule
-    rows_per_task: int = ROWS_PER_TASK
 
 
 def baseline_a(max_features: int = 5000) -> ModelSpec:
@@ -124,12 +131,13 @@ def proposed(max_features: int = 5000) -> ModelSpec:
 
 def proposed_multinomial(max_features: int = 4000) -> ModelSpec:
     """The same features with a stronger penalty and one multinomial regression."""
-    return ModelSpec("Proposed", TextFeatures(max_features, **ENHANCED), logistic(0.5, 2000))
+    features = TextFeatures(max_features, **ENHANCED)
+    return ModelSpec("Proposed_Multinomial", features, logistic(0.5, 2000))
 
 
 def forest(max_features: int = 2000) -> ModelSpec:
     features = TextFeatures(max_features, (1, 2))
-    return ModelSpec("RandomForest", features, random_forest(), ROWS_PER_TREE_TASK)
+    return ModelSpec("RandomForest", features, random_forest())
 
 
 def three_models() -> list[ModelSpec]:
@@ -142,15 +150,33 @@ def four_models() -> list[ModelSpec]:
 
 @dataclass(frozen=True)
 class Corpus:
-    """Staged (key, label, label_id, split, tokens) and the class table."""
+    """Staged (key, label, label_id, split, tokens, copy), and what all models share.
+
+    ``classes`` are the labels by id, ``weights`` the class weights of the train rows and
+    ``n_train`` their number.  ``copy`` is null but for varied copies of train rows.
+    """
 
     rows: DataFrame
-    classes: DataFrame
+    classes: tuple[str, ...]
+    weights: DataFrame
+    n_train: int
     key: str
 
     def split(self, name: str) -> DataFrame:
         return self.rows.where(F.col("split") == name)
 
+    def class_table(self) -> DataFrame:
+        pairs = [(c, i) for i, c in enumerate(self.classes)]
+        return self.rows.sparkSession.createDataFrame(pairs, "label string, label_id int")
+
+
+def corpus_of(rows: DataFrame, classes: DataFrame, key: str) -> Corpus:
+    """Count the train rows once, for the weights and the penalties of all models."""
+    counts = class_weights(rows.where("split = 'train'").select("label"))
+    n_train = counts.agg(F.sum("n")).first()[0] or 0
+    names = tuple(r["label"] for r in sorted(classes.collect(), key=lambda r: r["label_id"]))
+    return Corpus(rows, names, counts.select("label", "weight"), n_train, key)
+
 
 def prepare_corpus(
     df: DataFrame,
@@ -161,11 +187,14 @@ def prepare_corpus(
     test_size: float = 0.2,
     val_size: float = 0.15,
     seed: int = 42,
+    copies: int = 0,
+    synonyms: Mapping[str, Sequence[str]] = SYNONYMS,
 ) -> Corpus:
-    """Drop blank labels, clean and tokenize, encode labels, split, and stage.
+    """Drop blank labels, split, vary, clean and tokenize, encode labels, and stage.
 
     Without a test table, test and validation rows are both held out of ``df``;
-    with one, only validation rows are.
+    with one, only validation rows are.  ``copies`` varied copies of the smallest class
+    are added to the train rows, after the split, so none of them is ever tested on.
     """
 
     def shaped(frame: DataFrame) -> DataFrame:
@@ -181,10 +210,16 @@ def prepare_corpus(
             "test", "val", subset="split"
         )
         rows = held_out.unionByName(shaped(test).withColumn("split", F.lit("test")))
+    rows = rows.withColumn("copy", F.lit(None).cast("bigint"))
+    if copies:
+        train = rows.where("split = 'train'").drop("copy")
+        varied = oversample(train, key, "text", n_samples=copies, synonyms=synonyms, seed=seed)
+        varied = varied.withColumnRenamed("sample_id", "copy").where("copy is not null")
+        rows = rows.unionByName(varied)
     classes = class_table(known)
     encoded = encode_labels(rows, classes)
     tokens = encoded.withColumn("tokens", clean_tokens("text")).drop("text")
-    return Corpus(stage(tokens, "corpus", "split", spread=True), classes, key)
+    return corpus_of(stage(tokens, "corpus", "split", spread=True), classes, key)
 
 
 @dataclass(frozen=True)
@@ -197,17 +232,42 @@ class TextModel:
     classes: tuple[str, ...]
     classifier: Transformer
 
-    def predict_vectors(self, df: DataFrame, key: str) -> DataFrame:
-        """(key, label, prediction) as class names, from staged vectors."""
+    def score_vectors(self, df: DataFrame, *keep: str) -> DataFrame:
+        """(keep, prediction, probabilities): the class name, and one number per class in order.
+
+        Models without probabilities of their own (one against the rest) get theirs from
+        the logistic function of each class's margin, made to add up to one.  For the SVM
+        these are scores and no calibrated probabilities.
+        """
         names = F.array(*[F.lit(c) for c in self.classes])
         scored = self.classifier.transform(df)
+        if "probability" in scored.columns:
+            shares = vector_to_array("probability")
+        else:
+            margins = vector_to_array("rawPrediction")
+            shares = let(
+                F.transform(margins, lambda m: 1 / (1 + F.exp(-m))),
+                lambda p: let(
+                    F.aggregate(p, F.lit(0.0), lambda a, x: a + x),
+                    lambda total: F.transform(p, lambda x: x / total),
+                ),
+            )
         chosen = F.element_at(names, F.col("prediction").cast("int") + 1)
-        return scored.select(key, "label", chosen.alias("prediction"))
+        return scored.select(*keep, chosen.alias("prediction"), shares.alias("probabilities"))
 
-    def predict(self, df: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
-        """(key, label, prediction) for token arrays."""
+    def predict_vectors(self, df: DataFrame, key: str) -> DataFrame:
+        """(key, label, prediction) as class names, from staged vectors."""
+        return self.score_vectors(df, key, "label").drop("probabilities")
+
+    def predict_tokens(self, df: DataFrame, *keep: str, tokens: str = "tokens") -> DataFrame:
+        """(keep, prediction, probabilities) for token arrays."""
         vectors = tfidf_vectors(df, self.vocabulary, tokens, self.features)
-        return self.predict_vectors(vectors, key)
+        return self.score_vectors(vectors, *keep)
+
+    def predict(self, df: DataFrame, key: str, text: str = "text") -> DataFrame:
+        """(key, prediction, probabilities) for raw texts, labelled or not; null is empty."""
+        tokens = df.select(key, clean_tokens(text).alias("tokens"))
+        return self.predict_tokens(tokens, key)
 
     def save(self, spark: SparkSession, path: str) -> None:
         description = {
@@ -248,53 +308,35 @@ class Features:
 
 def stage_features(corpus: Corpus, spec: TextFeatures) -> Features:
     """Fit the vocabulary on the train split and stage the vectors of all splits."""
-    vocabulary = Vocabulary.from_table(fit_vocabulary(corpus.split("train"), "tokens", spec))
-    weights = class_weights(corpus.split("train").select("label"))
+    vocabulary = Vocabulary.fit(corpus.split("train"), "tokens", spec, corpus.n_train)
     vectors = tfidf_vectors(corpus.rows, vocabulary, "tokens", spec).drop("tokens")
-    weighted = vectors.join(weights.select("label", "weight"), "label", "left")
+    weighted = vectors.join(corpus.weights, "label", "left")
     return Features(stage(weighted, "features", "split"), vocabulary)
 
 
-def _class_names(classes: DataFrame) -> tuple[str, ...]:
-    """Labels by id.  A linear model holds one weight vector per class on the driver."""
-    rows = classes.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    return tuple(r["label"] for r in sorted(rows, key=lambda r: r["label_id"]))
-
-
-def spread(df: DataFrame, rows: int, rows_per_task: int) -> DataFrame:
-    """Bring a small table to the number of tasks its rows deserve.
-
-    A table with a task for every core or more is only ever merged down.
-    """
-    wanted = max(1, math.ceil(rows / rows_per_task))
-    have = df.rdd.getNumPartitions()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if wanted < have:
-        return df.coalesce(wanted)
-    return df.repartition(min(wanted, cores)) if have < min(wanted, cores) else df
-
-
 def in_parallel(spark: SparkSession, work: Callable, items: Sequence, threads: int) -> list:
     """Run independent jobs side by side, so that the cluster need not idle between them."""
     with ThreadPool(max(1, min(threads, len(items)))) as pool:
         return pool.map(inheritable_thread_target(spark)(work), items)
 
 
+def train_rows(features: Features) -> DataFrame:
+    """The train vectors with a partition for every core, or as many as the files have."""
+    return spread_over_cores(features.split("train"))
+
+
 def fit_model(corpus: Corpus, features: Features, spec: ModelSpec) -> TextModel:
-    train = features.split("train")
-    rows = train.count()
-    classifier = spec.classifier(rows).fit(spread(train, rows, spec.rows_per_task))
-    return TextModel(
-        spec.name, spec.features, features.vocabulary, _class_names(corpus.classes), classifier
-    )
+    classifier = spec.classifier(corpus.n_train).fit(train_rows(features))
+    return TextModel(spec.name, spec.features, features.vocabulary, corpus.classes, classifier)
 
 
 def train_all(
     corpus: Corpus, specs: Sequence[ModelSpec], parallelism: int = 4
 ) -> tuple[list[TextModel], dict[TextFeatures, Features]]:
     """Fit every model; features are staged once per distinct specification."""
+    names = [spec.name for spec in specs]
+    if len(set(names)) < len(names):
+        raise ValueError(f"two models have one name: {sorted(names)}")
     spark = corpus.rows.sparkSession
     distinct = list(dict.fromkeys(spec.features for spec in specs))
     vectors = in_parallel(spark, lambda f: stage_features(corpus, f), distinct, parallelism)
@@ -322,20 +364,22 @@ def predict_split(
     return stage(union, "predictions")
 
 
-def cross_validate(
+def cross_validated_predictions(
     df: DataFrame,
     key: str,
     text: str,
     features: TextFeatures,
-    candidates: dict[str, ClassifierRule],
+    candidates: Mapping[str, ClassifierRule],
     label: str = "label",
     k: int = 5,
     parallelism: int = 4,
     seed: int = 42,
 ) -> DataFrame:
-    """(candidate, accuracy, f1_score) over k stratified folds, each row scored once.
+    """Staged (model_rank, model, fold, key, label, prediction): each row scored once per candidate.
 
-    The vocabulary and the class weights of a fold come from the other folds only.
+    The vocabulary and the class weights of a fold come from the other folds only.  Terms
+    are counted once per fold, and a fold's vocabulary is what the others add up to;
+    vectors are made for the fit and the scoring and are not written.
     """
     rows = valid_labels(df, label).select(
         key, F.col(label).alias("label"), F.col(text).alias("text")
@@ -344,21 +388,74 @@ def cross_validate(
     folds = assign_folds(encode_labels(rows, classes), key, "label", k, seed=seed)
     tokens = folds.withColumn("tokens", clean_tokens("text")).drop("text")
     staged = stage(tokens, "folds", "fold", spread=True)
+    counts = stage(corpus_term_counts(staged, features.terms("tokens"), ["fold"]), "fold-terms")
+    per_class = stage(staged.groupBy("fold", "label").agg(F.count("*").alias("n")), "fold-classes")
+    names = tuple(r["label"] for r in sorted(classes.collect(), key=lambda r: r["label_id"]))
 
     def run(fold: int) -> list[DataFrame]:
-        split = F.when(F.col("fold") == fold, "test").otherwise("train")
-        corpus = Corpus(staged.withColumn("split", split).drop("fold"), classes, key)
-        vectors = stage_features(corpus, features)
-        return [
-            fit_model(corpus, vectors, ModelSpec(name, features, rule))
-            .predict_vectors(vectors.split("test"), key)
-            .select(F.lit(rank).alias("model_rank"), F.lit(name).alias("model"), key, "label", "prediction")
-            for rank, (name, rule) in enumerate(candidates.items())
-        ]
+        others = counts.where(F.col("fold") != fold).groupBy("term").agg(
+            F.sum("tf").alias("tf"), F.sum("df").alias("df")
+        )
+        sizes = per_class.where(F.col("fold") != fold).groupBy("label").agg(F.sum("n").alias("n"))
+        n_train = sizes.agg(F.sum("n")).first()[0]
+        weights = balanced(sizes).select("label", "weight")
+        vocabulary = Vocabulary.from_arrow(chosen_terms(others, n_train, features))
+        train = staged.where(F.col("fold") != fold).join(weights, "label")
+        vectors = tfidf_vectors(spread_over_cores(train), vocabulary, "tokens", features)
+        held_out = staged.where(F.col("fold") == fold)
+        frames = []
+        for rank, (name, rule) in enumerate(candidates.items()):
+            classifier = rule(n_train).fit(vectors.drop("tokens"))
+            model = TextModel(name, features, vocabulary, names, classifier)
+            scored = model.predict_tokens(held_out, "fold", key, "label").drop("probabilities")
+            frames.append(scored.select(F.lit(rank).alias("model_rank"), F.lit(name).alias("model"), "*"))
+        return frames
 
     scored = in_parallel(df.sparkSession, run, range(k), parallelism)
     frames = [frame for fold in scored for frame in fold]
     union = frames[0]
     for frame in frames[1:]:
         union = union.unionByName(frame)
-    return model_comparison(confusion_cells(union))
+    return stage(union, "cross-validated")
+
+
+def cross_validate(
+    df: DataFrame,
+    key: str,
+    text: str,
+    features: TextFeatures,
+    candidates: Mapping[str, ClassifierRule],
+    **options,
+) -> DataFrame:
+    """(candidate, accuracy, f1_score) over k stratified folds."""
+    scored = cross_validated_predictions(df, key, text, features, candidates, **options)
+    return model_comparison(confusion_cells(scored))
+
+
+def tune(
+    df: DataFrame,
+    key: str,
+    text: str,
+    features: TextFeatures,
+    candidates: Mapping[str, ClassifierRule],
+    metric: str = "f1_score",
+    label: str = "label",
+    **options,
+) -> tuple[DataFrame, TextModel]:
+    """The candidates' scores, and the best one fitted on all rows; on a tie the first."""
+    scores = cross_validate(df, key, text, features, candidates, label=label, **options)
+    best = max(scores.collect(), key=lambda r: (r[metric], -r["model_rank"]))["model"]
+    known = valid_labels(df, label).select(key, F.col(label).alias("label"), F.col(text).alias("text"))
+    classes = class_table(known)
+    tokens = encode_labels(known, classes).withColumn("tokens", clean_tokens("text")).drop("text")
+    rows = stage(tokens.withColumn("split", F.lit("train")), "tuned", spread=True)
+    corpus = corpus_of(rows, classes, key)
+    staged = stage_features(corpus, features)
+    return scores, fit_model(corpus, staged, ModelSpec(best, features, candidates[best]))
+
+
+def score_saved(
+    spark: SparkSession, path: str, df: DataFrame, key: str, text: str = "text"
+) -> DataFrame:
+    """Load a saved model and score raw texts with it."""
+    return TextModel.load(spark, path).predict(df, key, text)

@@ -317,7 +317,7 @@ WITH {LABELLED},
   copies AS (SELECT sample_id, doc_id, text, label FROM samples JOIN pool USING (idx)),
   {varied('copies', 'sample_id', 'text').strip()}
 SELECT doc_id, sample_id, varied.text AS text, label FROM copies JOIN varied ON k = sample_id
-UNION ALL SELECT doc_id, NULL, {cleaned('text')}, label FROM labelled"""
+UNION ALL SELECT doc_id, NULL, {cleaned('text')}, label FROM documents LEFT JOIN lab USING (doc_id)"""
 
 # --- class statistics ------------------------------------------------------------------
 
@@ -429,8 +429,9 @@ SELECT 'by_accuracy' AS criterion, model, accuracy, f1_score FROM ranked WHERE a
 UNION ALL SELECT 'by_f1_score', model, accuracy, f1_score FROM ranked WHERE f = 1"""
 
 ORACLE["key_insights"] = f"""
-WITH {PREDICTIONS}, {VOTES.strip()}, {scores('everyone').strip()}, cmp AS ({COMPARISON}),
-  sizes AS (SELECT count(*) AS n FROM lab GROUP BY label)
+WITH {NESTED_CUT}, {PREDICTIONS.removeprefix(LABELS + ",").strip()},
+  {VOTES.strip()}, {scores('everyone').strip()}, cmp AS ({COMPARISON}),
+  sizes AS (SELECT count(*) AS n FROM nested WHERE split = 'test' GROUP BY label)
 SELECT max(accuracy) AS best_accuracy, min(f1_score) AS f1_min, max(f1_score) AS f1_max,
        max(accuracy) FILTER (model = 'Ensemble') > max(accuracy) FILTER (model <> 'Ensemble') AS ensemble_improved,
        (SELECT round(max(n) / min(n), 4) FROM sizes) AS imbalance_ratio
@@ -553,3 +554,53 @@ FROM exps"""
 ORACLE["batch_scoring"] = f"""
 WITH s AS ({ORACLE["softmax_argmax"].strip()})
 SELECT vec_id, prediction, probability FROM s WHERE class_id = prediction"""
+
+# --- models ----------------------------------------------------------------------------
+
+# No solver is repeated here: which rows are scored, by which models, with known classes.
+
+
+def scored(split: str, *models: str) -> str:
+    named = ", ".join(f"({i}, '{m}')" for i, m in enumerate(models))
+    return f"""
+WITH {NESTED_CUT}, m(model_rank, model) AS (VALUES {named})
+SELECT model_rank::INT AS model_rank, model, label, count(*) AS n, count(*) AS n_known, true AS agrees
+FROM nested, m WHERE split = '{split}' GROUP BY ALL"""
+
+
+ORACLE["baseline_a"] = scored("test", "Baseline_A")
+ORACLE["baseline_c"] = scored("test", "Baseline_C")
+ORACLE["proposed"] = scored("test", "Proposed")
+ORACLE["random_forest"] = scored("test", "RandomForest")
+ORACLE["train_all"] = scored("val", "Baseline_A", "Baseline_C", "Proposed")
+ORACLE["evaluate_all"] = scored(
+    "test", "Baseline_A", "Baseline_C", "Proposed_Multinomial", "RandomForest", "Ensemble"
+)
+
+ORACLE["cross_validate"] = f"""
+WITH folds AS ({ORACLE["kfold_assign"].strip()}), m(model_rank, model) AS (VALUES (0, 'C=0.5'), (1, 'C=1.0'))
+SELECT model_rank::INT AS model_rank, model, fold, count(*) AS n, count(*) AS n_documents
+FROM folds, m GROUP BY ALL"""
+
+ORACLE["model_roundtrip"] = f"""
+WITH {NESTED_CUT} SELECT doc_id, label, true AS same, true AS known FROM nested WHERE split = 'test'"""
+
+ORACLE["score_documents"] = f"""
+WITH {LABELS} SELECT doc_id, true AS known, (SELECT count(DISTINCT label) FROM lab)::INT AS n_classes,
+       1.0::DOUBLE AS total FROM documents"""
+
+# --- files -----------------------------------------------------------------------------
+
+ORACLE["csv_roundtrip"] = f"""
+WITH {LABELS} SELECT doc_id, lang, source, label FROM documents LEFT JOIN lab USING (doc_id)"""
+
+ORACLE["json_roundtrip"] = "SELECT doc_id, text FROM documents"
+
+ORACLE["json_document"] = f"""
+WITH {RANKED} SELECT (row_number() OVER (ORDER BY label DESC) - 1)::INT AS place, label, n,
+       round(n / total * 100, 4) AS percent FROM sized"""
+
+ORACLE["file_safe_names"] = """
+WITH n AS (SELECT DISTINCT 'Model Of ' || upper(lang[1]) || lang[2:] || ' ' || upper(source[1]) || source[2:] AS name
+           FROM documents)
+SELECT name, replace(lower(name), ' ', '_') AS file FROM n"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -26,7 +25,8 @@ from candor.operators import (
 from candor.operators import labels as lab
 from candor.operators.lookup import small_table
 from candor.plans import models as plan
-from candor.sources.staging import shared_folder, stage
+from candor.sources.staging import fresh_path, stage
+from candor.sources.tables import one_json_document, read_csv, write_csv, write_json
 from catalog import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -272,19 +272,20 @@ def debug_subset(spark, sf_dir):
 
 @query
 def class_weights(spark, sf_dir):
-    return lab.class_weights(t.labels(spark, sf_dir)).select(
+    return lab.class_weights(t.maybe_labelled(spark, sf_dir)).select(
         "label", "n", F.round("weight", 6).alias("weight")
     )
 
 
 @query
 def minority_class(spark, sf_dir):
-    return lab.minority_class(t.labels(spark, sf_dir))
+    return lab.minority_class(t.maybe_labelled(spark, sf_dir))
 
 
 @query
 def augment_minority(spark, sf_dir):
-    rows = t.labelled(spark, sf_dir).withColumn("text", txt.clean_text("text"))
+    rows = t.maybe_labelled(spark, sf_dir).select("doc_id", "text", "label")
+    rows = rows.withColumn("text", txt.clean_text("text"))
     return augment.oversample(rows, "doc_id", "text", n_samples=200, synonyms=SYNONYMS)
 
 
@@ -383,7 +384,9 @@ def _with_vote(spark, sf_dir):
 def key_insights(spark, sf_dir):
     cells = small_table(metrics.confusion_cells(_with_vote(spark, sf_dir)))
     comparison = metrics.model_comparison(cells)
-    return metrics.key_insights(comparison, lab.imbalance_ratio(t.labels(spark, sf_dir)))
+    split = splits.nested_split(t.labels(spark, sf_dir), "doc_id", "label")
+    tested = split.where("split = 'test'")
+    return metrics.key_insights(comparison, lab.imbalance_ratio(tested))
 
 
 @query
@@ -503,62 +506,154 @@ def _corpus(spark, sf_dir):
     return plan.prepare_corpus(t.labelled(spark, sf_dir), "doc_id", "text")
 
 
-def _compared(spark, sf_dir, specs, split="test"):
+def _scored(spark, sf_dir, specs, split="test"):
     corpus = _corpus(spark, sf_dir)
     fitted, staged = plan.train_all(corpus, specs)
-    scored = plan.predict_split(fitted, staged, "doc_id", split)
+    return corpus, plan.predict_split(fitted, staged, "doc_id", split)
+
+
+def compared(spark, sf_dir, specs, split="test"):
+    """The models' comparison rows."""
+    _, scored = _scored(spark, sf_dir, specs, split)
     return metrics.model_comparison(metrics.confusion_cells(scored))
 
 
+def _accounted(corpus, scored):
+    """(model_rank, model, label, n, n_known, agrees): what holds for any solver.
+
+    Rows scored, rows with a class of the corpus, and whether the reported accuracy is
+    the one recomputed from the rows.
+    """
+    right = (F.col("label") == F.col("prediction")).cast("double")
+    direct = scored.groupBy(*metrics.MODEL).agg(F.round(F.avg(right), 4).alias("direct"))
+    reported = metrics.model_comparison(metrics.confusion_cells(scored))
+    agrees = reported.join(direct, metrics.MODEL).select(
+        *metrics.MODEL, (F.col("accuracy") == F.col("direct")).alias("agrees")
+    )
+    known = F.count_if(F.col("prediction").isin(*corpus.classes))
+    per_label = scored.groupBy(*metrics.MODEL, "label").agg(
+        F.count("*").alias("n"), known.alias("n_known")
+    )
+    return per_label.join(agrees, metrics.MODEL)
+
+
 @query
 def baseline_a(spark, sf_dir):
-    return _compared(spark, sf_dir, [plan.baseline_a()])
+    return _accounted(*_scored(spark, sf_dir, [plan.baseline_a()]))
 
 
 @query
 def baseline_c(spark, sf_dir):
-    return _compared(spark, sf_dir, [plan.baseline_c()])
+    return _accounted(*_scored(spark, sf_dir, [plan.baseline_c()]))
 
 
 @query
 def proposed(spark, sf_dir):
-    return _compared(spark, sf_dir, [plan.proposed()])
+    return _accounted(*_scored(spark, sf_dir, [plan.proposed()]))
 
 
 @query
 def random_forest(spark, sf_dir):
-    return _compared(spark, sf_dir, [plan.forest()])
+    return _accounted(*_scored(spark, sf_dir, [plan.forest()]))
 
 
 @query
 def train_all(spark, sf_dir):
-    return _compared(spark, sf_dir, plan.three_models(), split="val")
+    return _accounted(*_scored(spark, sf_dir, plan.three_models(), split="val"))
 
 
 @query
 def evaluate_all(spark, sf_dir):
-    corpus = _corpus(spark, sf_dir)
     specs = plan.four_models()
-    fitted, staged = plan.train_all(corpus, specs)
-    scored = plan.predict_split(fitted, staged, "doc_id", "test")
-    voted = voting.with_ensemble(scored, "doc_id", len(specs))
-    return metrics.model_comparison(metrics.confusion_cells(voted))
+    corpus, scored = _scored(spark, sf_dir, specs)
+    return _accounted(corpus, stage(voting.with_ensemble(scored, "doc_id", len(specs)), "voted"))
 
 
 @query
 def cross_validate(spark, sf_dir):
+    """Rows and distinct documents scored, by candidate and fold."""
     candidates = {f"C={c}": plan.logistic(c) for c in (0.5, 1.0)}
-    return plan.cross_validate(
+    scored = plan.cross_validated_predictions(
         t.labelled(spark, sf_dir), "doc_id", "text", tfidf.TextFeatures(3000), candidates
     )
+    return scored.groupBy(*metrics.MODEL, "fold").agg(
+        F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_documents")
+    )
 
 
-@query
-def model_roundtrip(spark, sf_dir):
-    """Predictions of a model that was saved and loaded again."""
+def _saved(spark, sf_dir):
     corpus = _corpus(spark, sf_dir)
     [model], _ = plan.train_all(corpus, [plan.baseline_a(3000)])
-    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "model")
     model.save(spark, path)
-    loaded = plan.TextModel.load(spark, path)
-    return loaded.predict(corpus.split("test"), "doc_id")
+    return corpus, model, path
+
+
+@query
+def model_roundtrip(spark, sf_dir):
+    """Whether a model that was saved and loaded again predicts the same known class."""
+    corpus, model, path = _saved(spark, sf_dir)
+    test = corpus.split("test")
+    loaded = plan.TextModel.load(spark, path).predict_tokens(test, "doc_id")
+    first = model.predict_tokens(test, "doc_id", "label")
+    again = loaded.select("doc_id", F.col("prediction").alias("again"))
+    return first.join(again, "doc_id").select(
+        "doc_id", "label", (F.col("prediction") == F.col("again")).alias("same"),
+        F.col("again").isin(*corpus.classes).alias("known"),
+    )
+
+
+@query
+def score_documents(spark, sf_dir):
+    """All documents, labelled or not, scored from raw text by a saved model."""
+    corpus, _, path = _saved(spark, sf_dir)
+    scored = plan.score_saved(spark, path, t.table(spark, sf_dir, "documents"), "doc_id")
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, p: a + p)
+    return scored.select(
+        "doc_id", F.col("prediction").isin(*corpus.classes).alias("known"),
+        F.size("probabilities").alias("n_classes"), F.round(total, 6).alias("total"),
+    )
+
+
+# --- files -----------------------------------------------------------------------------
+
+
+@query
+def csv_roundtrip(spark, sf_dir):
+    df = t.maybe_labelled(spark, sf_dir).select("doc_id", "lang", "source", "label")
+    path = fresh_path(spark, "csv")
+    write_csv(df, path, partition_by=("lang",))
+    back = read_csv(spark, path, "doc_id bigint, source string, label string, lang string")
+    return back.select("doc_id", "lang", "source", "label")
+
+
+@query
+def json_roundtrip(spark, sf_dir):
+    df = t.table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = fresh_path(spark, "json")
+    write_json(df, path)
+    return spark.read.schema("doc_id bigint, text string").json(path)
+
+
+@query
+def json_document(spark, sf_dir):
+    """Classes in falling order, through one JSON document and back."""
+    rows = t.labels(spark, sf_dir)
+    document = one_json_document(
+        {
+            "sizes": lab.imbalance_ratio(rows),
+            "classes": lab.class_distribution(rows).orderBy(F.desc("label")),
+        }
+    )
+    kind = "classes array<struct<label:string,n:bigint,percent:double>>"
+    classes = F.from_json("document", kind)["classes"]
+    return document.select(F.posexplode(classes).alias("place", "c")).select("place", "c.*")
+
+
+@query
+def file_safe_names(spark, sf_dir):
+    docs = t.table(spark, sf_dir, "documents")
+    title = F.initcap(F.concat_ws(" ", F.lit("model of"), "lang", "source"))
+    return docs.select(title.alias("name")).distinct().select(
+        "name", txt.file_safe_name("name").alias("file")
+    )

@@ -213,3 +213,35 @@ def test_error_by_length(spark):
     assert rows(errors.error_by_length(df, lengths, "doc_id", "n", 50)) == [
         (0, "m", 0, 5, 3, 0.6), (0, "m", 50, 5, 2, 0.4),
     ]
+
+
+def test_models_of_one_name_are_kept_apart(spark):
+    data = [(0, "P", i, "a", "a") for i in range(4)] + [(1, "P", i, "a", "b" if i else "a") for i in range(4)]
+    df = spark.createDataFrame(data, "model_rank int, model string, doc_id int, label string, prediction string")
+    cells = metrics.confusion_cells(df)
+    shares = {(r["model_rank"], r["prediction"]): r["share"] for r in metrics.confusion_normalized(cells).where("label = 'a'").collect()}
+    assert shares == {(0, "a"): 1.0, (1, "a"): 0.25, (1, "b"): 0.75}
+    places = [(r["model_rank"], r["place"]) for r in metrics.top_classes_by_f1(cells).collect()]
+    assert sorted(places) == [(0, 1), (1, 1), (1, 2)]
+    rates = errors.error_rates(cells).where("scope = 'model'").collect()
+    assert [(r["model_rank"], r["errors"]) for r in rates] == [(1, 3)]
+    texts = df.select("doc_id", F.lit("t").alias("text")).distinct()
+    assert errors.error_samples(df, texts, "doc_id", k=2).count() == 2
+
+
+def test_a_missing_prediction_is_an_error(spark):
+    data = [(0, "m", 1, "a", "a"), (0, "m", 2, "a", None), (0, "m", 3, "b", None), (0, "m", 4, "b", "a"), (0, "m", 5, "b", "b")]
+    df = spark.createDataFrame(data, "model_rank int, model string, doc_id int, label string, prediction string")
+    cells = metrics.confusion_cells(df)
+    [overall] = errors.error_rates(cells).where("scope = 'model'").collect()
+    assert (overall["n"], overall["errors"], overall["error_rate"]) == (5, 3, 0.6)
+    assert metrics.model_comparison(cells).first()["accuracy"] == 0.4
+    assert {r["class"] for r in metrics.class_scores(cells).collect()} == {"a", "b"}
+    assert errors.misclassified(df).count() == 3
+    classes = spark.createDataFrame([("a", 0), ("b", 1)], "label string, label_id int")
+    texts = df.select("doc_id", F.lit("t").alias("text"))
+    table = errors.prediction_table(df, texts, classes, "doc_id")
+    assert sorted((r["doc_id"], r["correct"]) for r in table.collect()) == [(1, 1), (2, 0), (3, 0), (4, 0), (5, 1)]
+    more = df.unionByName(df.withColumns({"model_rank": F.lit(1), "prediction": F.lit(None).cast("string")}))
+    vote = {r["doc_id"]: r["prediction"] for r in voting.majority_vote(more, "doc_id").collect()}
+    assert vote == {1: "a", 2: None, 3: None, 4: "a", 5: "b"}

@@ -40,15 +40,18 @@ SPECS = {
     "svm": plan.ModelSpec("SVM", TextFeatures(500, (1, 2)), plan.linear_svm(max_iter=50)),
     "ovr": plan.proposed(500),
     "multinomial": plan.proposed_multinomial(500),
-    "forest": plan.ModelSpec("RF", TextFeatures(300), plan.random_forest(20, 5), 250),
+    "forest": plan.ModelSpec("RF", TextFeatures(300), plan.random_forest(20, 5)),
 }
 
 
-@pytest.mark.parametrize("name", SPECS)
+REGISTERED = {s.name: s for s in [*plan.three_models(), *plan.four_models()[2:]]}
+
+
+@pytest.mark.parametrize("name", [*SPECS, *REGISTERED])
 def test_model_learns_and_predicts_known_classes(corpus, name):
-    models, staged = plan.train_all(corpus, [SPECS[name]])
+    models, staged = plan.train_all(corpus, [SPECS.get(name) or REGISTERED[name]])
     scored = {s: plan.predict_split(models, staged, "doc_id", s) for s in ("train", "test")}
-    known = {r["label"] for r in corpus.classes.collect()}
+    known = set(corpus.classes)
     for split, df in scored.items():
         assert rows(df.select("doc_id")) == rows(corpus.split(split).select("doc_id"))
         assert {r["prediction"] for r in df.collect()} <= known
@@ -65,10 +68,48 @@ def test_save_and_load_give_equal_predictions(spark, corpus, tmp_path):
         model.save(spark, str(tmp_path / model.name))
         loaded = plan.TextModel.load(spark, str(tmp_path / model.name))
         test = corpus.split("test")
-        assert rows(loaded.predict(test, "doc_id")) == rows(model.predict(test, "doc_id"))
+        got = rows(loaded.predict_tokens(test, "doc_id", "label"))
+        assert got == rows(model.predict_tokens(test, "doc_id", "label"))
         assert loaded.features == model.features and loaded.vocabulary == model.vocabulary
         vectors = staged[model.features].split("test")
-        assert rows(model.predict_vectors(vectors, "doc_id")) == rows(model.predict(test, "doc_id"))
+        assert rows(model.predict_vectors(vectors, "doc_id")) == [r[:3] for r in got]
+
+
+@pytest.mark.parametrize("name", ["lr", "svm", "ovr", "forest"])
+def test_raw_texts_without_labels_are_scored(spark, corpus, tmp_path, name):
+    [model], _ = plan.train_all(corpus, [SPECS[name]])
+    model.save(spark, str(tmp_path / "m"))
+    texts = spark.createDataFrame([(1, "Some new text of the of"), (2, None), (3, "")], "i int, t string")
+    scored = plan.score_saved(spark, str(tmp_path / "m"), texts, "i", "t").orderBy("i").collect()
+    assert [r["i"] for r in scored] == [1, 2, 3]
+    for r in scored:
+        assert r["prediction"] in corpus.classes
+        assert len(r["probabilities"]) == len(corpus.classes)
+        assert sum(r["probabilities"]) == pytest.approx(1) and min(r["probabilities"]) >= 0
+        assert corpus.classes[int(np.argmax(r["probabilities"]))] == r["prediction"]
+    assert scored[1]["probabilities"] == scored[2]["probabilities"]
+
+
+def test_two_models_of_one_name_are_refused(corpus):
+    with pytest.raises(ValueError):
+        plan.train_all(corpus, [plan.baseline_a(50), plan.baseline_a(60)])
+
+
+def test_linear_models_are_fitted_by_several_tasks(spark, corpus):
+    vectors = plan.stage_features(corpus, TextFeatures(50))
+    assert plan.train_rows(vectors).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_copies_are_train_rows_only(labelled):
+    grown = plan.prepare_corpus(labelled, "doc_id", "text", copies=30)
+    plain = plan.prepare_corpus(labelled, "doc_id", "text")
+    copies = grown.rows.where("copy is not null")
+    assert copies.count() == 30 and {r["split"] for r in copies.collect()} == {"train"}
+    trained = {r["doc_id"] for r in plain.split("train").collect()}
+    assert {r["doc_id"] for r in copies.collect()} <= trained
+    originals = grown.rows.where("copy is null").select("doc_id", "split", "label")
+    assert rows(originals) == rows(plain.rows.select("doc_id", "split", "label"))
+    assert grown.n_train == plain.n_train + 30
 
 
 def test_features_are_staged_once_per_specification(corpus):
@@ -87,6 +128,28 @@ def test_cross_validation_scores_every_row_once(labelled):
     assert all(0 < r["accuracy"] <= 1 for r in scores)
 
 
+def test_the_best_candidate_is_fitted_on_all_rows(labelled):
+    candidates = {"weak": plan.logistic(1e-6, 20), "strong": plan.logistic(1.0, 20)}
+    scores, model = plan.tune(labelled, "doc_id", "text", TextFeatures(200), candidates, k=3)
+    best = max(scores.collect(), key=lambda r: (r["f1_score"], -r["model_rank"]))
+    assert model.name == best["model"]
+    scored = model.predict(labelled, "doc_id")
+    assert scored.count() == labelled.count()
+
+
+def test_fold_vocabularies_equal_those_of_the_other_folds(spark, labelled):
+    from candor.functions.text import clean_tokens
+    from candor.operators import tfidf
+
+    docs = labelled.select("doc_id", (F.col("doc_id") % 3).alias("fold"), clean_tokens("text").alias("tokens"))
+    counts = tfidf.corpus_term_counts(docs, "tokens", ["fold"])
+    others = counts.where("fold <> 1").groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    rest = docs.where("fold <> 1")
+    spec = TextFeatures(150, min_df=2)
+    want = tfidf.fit_terms(rest, "tokens", spec)
+    assert tfidf.chosen_terms(others, rest.count(), spec).to_pydict() == want.to_pydict()
+
+
 def test_experiment_writes_every_result(spark, labelled, tmp_path):
     specs = [SPECS["lr"], SPECS["forest"]]
     run = experiment.run_experiment(labelled, "doc_id", "text", specs=specs)
@@ -112,9 +175,11 @@ def test_experiment_writes_every_result(spark, labelled, tmp_path):
     by_model = table.groupBy("model").agg(F.round(F.avg("correct"), 4).alias("accuracy"))
     assert rows(by_model) == rows(run.comparison.select("model", "accuracy"))
     summary = json.loads(spark.read.text(f"{folder}/summary").first()[0])
+    assert [m["model"] for m in summary["models"]] == ["Baseline_A", "RF"]
+    assert [r["model"] for r in summary["results"]] == ["Baseline_A", "RF", "Ensemble"]
     assert summary["dataset"][0]["total_samples"] == 399
     assert {r["criterion"] for r in summary["best_models"]} == {"by_accuracy", "by_f1_score"}
-    for part in ("reports", "reports_json", "confusion_matrices", "predictions"):
+    for part in ("reports", "reports_json", "confusion_matrices", "predictions", "predictions_csv"):
         assert (tmp_path / "out" / part / "file=baseline_a").is_dir()
     for part in ("model_comparison", "validation", "error_rates", "error_samples", "models"):
         assert (tmp_path / "out" / part).is_dir()
@@ -128,13 +193,6 @@ def test_reported_metrics_follow_from_the_predictions(corpus):
     assert row["accuracy"] == round(sum(a == b for a, b in pairs) / len(pairs), 4)
 
 
-def test_spread_only_merges_large_tables(spark):
-    df = spark.range(1000).repartition(20)
-    assert plan.spread(df, 1000, 10).rdd.getNumPartitions() == 20
-    assert plan.spread(df, 1000, 200).rdd.getNumPartitions() == 5
-    assert plan.spread(df.coalesce(1), 1000, 200).rdd.getNumPartitions() == 5
-
-
 def test_linear_head(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1000.0])], "i int, v array<float>")
     got = scoring.predict_linear(df, "v", [[1, 0], [0, 1], [1, 0]], [0, 0, 0]).orderBy("i").collect()

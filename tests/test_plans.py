@@ -74,6 +74,34 @@ def test_top_k_windows_are_cut_before_the_shuffle(spark, small_dir):
     assert "WindowGroupLimit" in plan and ", Partial" in plan
 
 
+def test_votes_are_hashed_and_not_sorted(spark, small_dir):
+    plan = physical(queries()["majority_vote"](spark, small_dir))
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+@pytest.mark.parametrize("name", ["tfidf_sublinear", "tfidf_apply", "tfidf_l2"])
+def test_long_weights_take_no_detour_through_json(spark, small_dir, name):
+    assert "json" not in physical(queries()[name](spark, small_dir)).lower()
+
+
+def test_the_corpus_package_can_be_taken_out(tmp_path):
+    """Without the llm folder and the pipeline, the entry point has all other queries."""
+    import shutil
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    for part in ("candor", "catalog"):
+        shutil.copytree(root / part, tmp_path / part, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), sum(k.startswith('op') for k in e.queries()))"
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, check=False
+    )
+    assert done.returncode == 0, done.stderr[-2000:]
+    total, dealt = map(int, done.stdout.split())
+    assert total > 60 and dealt == 0
+
+
 def test_entry(spark):
     [row] = entry(spark).collect()
     assert row["model"] == "Baseline_A" and 0 < row["accuracy"] <= 1
@@ -94,6 +122,21 @@ def test_load_dataset(spark, small_dir, tmp_path):
         load_dataset(spark, "doc_id", str(tmp_path), test_path=blank)
 
 
+def test_command_line_takes_a_folder(spark, small_dir, tmp_path):
+    rows = t.labelled(spark, small_dir).withColumnsRenamed(
+        {"label": "evasion_label", "text": "interview_question"}
+    )
+    for split in ("train", "test"):
+        rows.write.parquet(str(tmp_path / f"{split}-00000-of-00001.parquet"))
+    command = [
+        sys.executable, "-m", "candor", "--base", str(tmp_path), "--key", "doc_id",
+        "--models", "three", "--copies", "5", "--out", str(tmp_path / "out"),
+    ]
+    done = subprocess.run(command, capture_output=True, text=True, timeout=600, check=False)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert "Ensemble" in done.stdout
+
+
 def test_command_line(spark, small_dir, tmp_path):
     t.labelled(spark, small_dir).write.parquet(str(tmp_path / "train"))
     command = [
