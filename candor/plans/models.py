@@ -45,7 +45,6 @@ from candor.operators.tfidf import (
     tfidf_vectors,
 )
 from candor.sources.staging import stage
-from candor.sources.tables import spread_over_cores
 
 # Stop when the loss or the gradient changes by less than this share.
 TOLERANCE = 1e-4
@@ -320,9 +319,22 @@ def in_parallel(spark: SparkSession, work: Callable, items: Sequence, threads: i
         return pool.map(inheritable_thread_target(spark)(work), items)
 
 
+# The solvers work on blocks of this size, and sum up over four tasks in one stage.
+SOLVER_BLOCK = 1024 * 1024
+LEAST_TASKS = 4
+
+
 def train_rows(features: Features) -> DataFrame:
-    """The train vectors with a partition for every core, or as many as the files have."""
-    return spread_over_cores(features.split("train"))
+    """The train vectors in at least LEAST_TASKS partitions.
+
+    There are as many as the files have, but no more than a block of the solver fills:
+    an iteration is a job over all of them, and tasks with less are mere scheduling.
+    """
+    train = features.split("train")
+    size = train._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    wanted = max(LEAST_TASKS, -(-size // SOLVER_BLOCK))
+    have = train.rdd.getNumPartitions()
+    return train.coalesce(wanted) if have >= wanted else train.repartition(max(have, LEAST_TASKS))
 
 
 def fit_model(corpus: Corpus, features: Features, spec: ModelSpec) -> TextModel:
@@ -401,7 +413,7 @@ def cross_validated_predictions(
         weights = balanced(sizes).select("label", "weight")
         vocabulary = Vocabulary.from_arrow(chosen_terms(others, n_train, features))
         train = staged.where(F.col("fold") != fold).join(weights, "label")
-        vectors = tfidf_vectors(spread_over_cores(train), vocabulary, "tokens", features)
+        vectors = tfidf_vectors(train, vocabulary, "tokens", features)
         held_out = staged.where(F.col("fold") == fold)
         frames = []
         for rank, (name, rule) in enumerate(candidates.items()):
