@@ -116,7 +116,8 @@ def document_stats(text: Column) -> Column:
             [pa.array(c, pa.int64()) for c in columns], fields=list(fields)
         )
 
-    return stats(text)
+    # Marked so that a filter on the statistics does not make Spark take them twice.
+    return stats.asNondeterministic()(text)
 
 
 def base_failed(stats: Column) -> Column:
