@@ -324,17 +324,23 @@ SOLVER_BLOCK = 1024 * 1024
 LEAST_TASKS = 4
 
 
-def train_rows(features: Features) -> DataFrame:
-    """The train vectors in at least LEAST_TASKS partitions.
+def fit_partitions(train: DataFrame) -> DataFrame:
+    """A staged table in at least LEAST_TASKS partitions.
 
     There are as many as the files have, but no more than a block of the solver fills:
     an iteration is a job over all of them, and tasks with less are mere scheduling.
     """
-    train = features.split("train")
     size = train._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     wanted = max(LEAST_TASKS, -(-size // SOLVER_BLOCK))
     have = train.rdd.getNumPartitions()
-    return train.coalesce(wanted) if have >= wanted else train.repartition(max(have, LEAST_TASKS))
+    if have > wanted:
+        return train.coalesce(wanted)
+    return train.repartition(LEAST_TASKS) if have < LEAST_TASKS else train
+
+
+def train_rows(features: Features) -> DataFrame:
+    """The train vectors as the solvers read them."""
+    return fit_partitions(features.split("train"))
 
 
 def fit_model(corpus: Corpus, features: Features, spec: ModelSpec) -> TextModel:
@@ -412,7 +418,7 @@ def cross_validated_predictions(
         n_train = sizes.agg(F.sum("n")).first()[0]
         weights = balanced(sizes).select("label", "weight")
         vocabulary = Vocabulary.from_arrow(chosen_terms(others, n_train, features))
-        train = staged.where(F.col("fold") != fold).join(weights, "label")
+        train = fit_partitions(staged.where(F.col("fold") != fold)).join(weights, "label")
         vectors = tfidf_vectors(train, vocabulary, "tokens", features)
         held_out = staged.where(F.col("fold") == fold)
         frames = []
