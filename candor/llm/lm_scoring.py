@@ -50,8 +50,20 @@ def token_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(ASCII_LOWER).split()
 
 
+def packed_runs(symbols: np.ndarray, width: int) -> np.ndarray:
+    """Each run of ``width`` symbols as one number, from the halves of the run."""
+    if width == 1:
+        return symbols
+    low = width // 2
+    high = width - low
+    left = packed_runs(symbols, high)
+    right = left if low == high else packed_runs(symbols, low)
+    n = len(symbols) - width + 1
+    return (left[:n] << (SYMBOL_BITS * low)) | right[high : high + n]
+
+
 def windows(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed windows of ORDER + 1 symbols of all documents, and the document of each."""
+    """Packed windows of ORDER + 1 symbols of all documents, and how many each has."""
     texts = [b" ".join(words) for words in docs]
     lengths = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(np.r_[0, lengths + ORDER + 1])
@@ -61,24 +73,21 @@ def windows(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     shift = starts[:-1] + ORDER - (ends - lengths)
     symbols[np.repeat(shift, lengths) + np.arange(len(raw))] = raw
     symbols[starts[:-1] + ORDER + lengths] = END
-    n = len(symbols) - ORDER
-    packed = np.zeros(max(0, n), np.int64)
-    for j in range(ORDER + 1):
-        packed = (packed << SYMBOL_BITS) | symbols[j : j + n]
-    return packed[symbols[ORDER:] != 0], np.repeat(np.arange(len(docs)), lengths + 1)
+    packed = packed_runs(symbols, ORDER + 1)
+    return packed[symbols[ORDER:] != 0], lengths + 1
 
 
-def blocks(docs: list[list[bytes]]) -> Iterator[tuple[int, int]]:
-    """Ranges of documents with about BLOCK_SYMBOLS symbols; a longer text is a range of its own."""
+def blocks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about BLOCK_SYMBOLS symbols; a longer text is a range of its own."""
     begin, held = 0, 0
-    for i, words in enumerate(docs):
-        size = sum(map(len, words)) + len(words) + ORDER
+    for i, text in enumerate(texts):
+        size = len(text or b"") + ORDER + 1
         if i > begin and held + size > BLOCK_SYMBOLS:
             yield begin, i
             begin, held = i, 0
         held += size
-    if begin < len(docs):
-        yield begin, len(docs)
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,9 +132,9 @@ class Tally:
             self.count()
 
     def count(self) -> None:
-        packed, owner = windows(self.docs)
+        packed, sizes = windows(self.docs)
         codes, distinct = pd.factorize(packed)
-        weights = np.array(self.train, np.float64)[owner]
+        weights = np.repeat(np.array(self.train, np.float64), sizes)
         self.keys.append(distinct)
         self.counts.append(np.bincount(codes, weights, len(distinct)).astype(np.int64))
         self.docs, self.train, self.symbols = [], [], 0
@@ -348,33 +357,39 @@ ANSWERS = pa.schema(
 
 def score_chunk(texts: list[bytes | None], told: dict[int, tuple[np.ndarray, np.ndarray]], buckets: int):
     """Per text: tokens, known tokens, sum of log10(c + 1), log10 probability."""
-    docs = [token_words(t) for t in texts]
-    per_bucket: list[set[bytes]] = [set() for _ in range(buckets)]
-    for word in set().union(*docs, [b""]):
-        per_bucket[word_bucket(word, buckets)].add(word)
+    vocabulary, seen = {b""}, []
+    for a, z in blocks(texts):
+        docs = [token_words(t) for t in texts[a:z]]
+        vocabulary.update(*docs)
+        packed, sizes = windows(docs)
+        codes, distinct = pd.factorize(packed)
+        seen.append((a, z, codes.astype(np.int32), distinct, sizes))
+    # The answers follow the chunk's distinct words and windows in order, by bucket.
+    per_bucket: list[list[bytes]] = [[] for _ in range(buckets)]
+    for word in vocabulary:
+        per_bucket[word_bucket(word, buckets)].append(word)
     count: dict[bytes, int] = {}
     for b, words in enumerate(per_bucket):
         if words:
             count.update(zip(sorted(words), told[b][0].tolist(), strict=True))
-    tokens = np.array([len(d) + 1 for d in docs], np.int64)
-    known, word_logs = np.zeros(len(docs), np.int64), np.zeros(len(docs))
-    for i, words in enumerate(docs):
-        c = np.array([count[w] for w in words] + [count[b""]], np.int64)
-        known[i], word_logs[i] = (c > 0).sum(), np.log10(c + 1).sum()
-    ranges = list(blocks(docs))
-    # First the chunk's distinct windows, which the answers follow in order; then the sums.
-    keys = np.unique(np.concatenate([pd.unique(windows(docs[a:z])[0]) for a, z in ranges]))
+    keys = np.unique(np.concatenate([distinct for _, _, _, distinct, _ in seen]))
     of = gram_buckets(keys, buckets)
     value = np.zeros(len(keys))
     for b in np.unique(of):
         value[of == b] = told[int(b)][1]
     index = pd.Index(keys)
-    score = np.zeros(len(docs))
-    for a, z in ranges:
-        packed, owner = windows(docs[a:z])
-        codes, found = pd.factorize(packed)
-        logs = value[index.get_indexer(found)][codes]
-        score[a:z] = np.bincount(owner, logs, z - a)
+    tokens, known = (np.zeros(len(texts), np.int64) for _ in range(2))
+    word_logs, score = (np.zeros(len(texts)) for _ in range(2))
+    end = count[b""]
+    for a, z, codes, distinct, sizes in seen:
+        logs = value[index.get_indexer(distinct)][codes]
+        score[a:z] = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
+        for i in range(a, z):
+            words = token_words(texts[i])
+            c = np.fromiter(map(count.__getitem__, words), np.int64, len(words))
+            tokens[i] = len(words) + 1
+            known[i] = np.count_nonzero(c) + (end > 0)
+            word_logs[i] = np.log10(c + 1).sum() + np.log10(end + 1)
     return tokens, known, word_logs, score
 
 
