@@ -1,11 +1,11 @@
-"""Repeated runs of lines: winnowed fingerprints, extended to runs, of which the first stays.
+"""Repeated runs of lines: windows grouped by hash, of which the first stays.
 
 A run counts from ``MIN_LINES`` lines or ``MIN_WORDS`` words on; lines without a word are skipped.
-From every line starts the shortest window that counts, and the smallest line hash in it is
-its fingerprint.  Equal windows have equal fingerprints at equal places, so two places that
-share a run share a fingerprint.  Only fingerprints that occur twice are followed up: each
-is extended to both sides over the windows that chose it, and windows whose
-text came earlier are deleted.  Their union is every later repeat of a run, in full length.
+From every line starts the shortest window that counts.  Repeats are found by grouping whole
+windows by their hash, and windows whose text came earlier are deleted; their union is every
+later repeat of a run, in full length.  The smallest line hash in a window (``seed``) only
+filters before that: equal windows have equal minima, so a window whose minimum occurs once has
+no repeat.  No positions are selected by it, and no match is extended.
 """
 
 from __future__ import annotations
