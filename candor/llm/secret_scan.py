@@ -30,7 +30,7 @@ PATTERNS = (
 )
 RANDOM = "random"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{12,}"
-LEAST_TESTED = 20
+LEAST_TESTED = 12
 
 # Encoding -> (its characters, its size), the first that fits.
 ENCODINGS = (
@@ -42,7 +42,7 @@ ENCODINGS = (
     ("base64", r"", 64),
 )
 # Length classes by their least length.
-LENGTHS = (20, 24, 32, 48)
+LENGTHS = (12, 16, 20, 24, 32, 48)
 FALSE_DISCOVERY = 0.001
 # One-sided 0.1 % bound for the tests against a flat alphabet.
 COMPATIBLE = 3.09

@@ -79,6 +79,24 @@ def test_random_strings_are_found_and_words_left_alone(spark):
         assert got == ([secrets[i]] if i in secrets else [])
 
 
+def test_short_random_strings_are_tested(spark):
+    """Keys of 16 characters without a keyword; ordinary runs of 12 to 19 letters stay."""
+    rng = random.Random(12)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    syllables = "th er in on an re he st en at nd ti es or te of ed is it al".split()
+    rows, secrets = [], {}
+    for i in range(200):
+        words = ["".join(rng.choices(syllables, k=rng.choice([2, 3, 7, 8]))) for _ in range(100)]
+        if i % 4 == 0:
+            secrets[i] = "".join(rng.choices(alphabet, k=16))
+            words.insert(50, secrets[i])
+        rows.append((i, " ".join(words), "s"))
+    found = {r["doc_id"]: [x["text"] for x in r["spans"]] for r in ss.scan_secrets(documents(spark, rows)).collect()}
+    hit = sum(secrets.get(i) in texts for i, texts in found.items())
+    assert hit >= 0.5 * len(secrets)
+    assert not [t for i, texts in found.items() for t in texts if t != secrets.get(i)]
+
+
 def test_normal_tail_against_numbers(spark):
     from math import erfc, sqrt
 
