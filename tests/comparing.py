@@ -50,3 +50,8 @@ def compare(spark_table, duck_table) -> str | None:
     if not got:
         return "both are empty"
     return None
+
+
+def rows(df):
+    """Rows as a sorted list of tuples."""
+    return sorted(map(tuple, df.collect()), key=repr)

@@ -30,8 +30,3 @@ def small_dir():
 @pytest.fixture(scope="session")
 def sf_dir():
     return "/root/testdata/sf0.01"
-
-
-def rows(df):
-    """Rows as a sorted list of tuples."""
-    return sorted(map(tuple, df.collect()), key=repr)

@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import rows
+from comparing import rows
 from pyspark.sql import functions as F
 
 from candor.operators import augment, labels

@@ -4,7 +4,7 @@ from collections import Counter
 from itertools import product
 
 import pytest
-from conftest import rows
+from comparing import rows
 from pyspark.sql import functions as F
 
 from candor.operators import errors, metrics, voting

@@ -3,7 +3,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import rows
+from comparing import rows
 from pyspark.sql import functions as F
 
 from candor.operators import metrics, scoring

@@ -6,7 +6,7 @@ import sys
 import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from comparing import compare, connect
-from conftest import rows
+from comparing import rows
 
 from candor.plans.loading import load_dataset
 from catalog import tables as t

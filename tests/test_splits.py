@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from comparing import rows
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 

@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import rows
+from comparing import rows
 from pyspark.sql import functions as F
 
 from candor.functions.text import clean_tokens

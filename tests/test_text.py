@@ -3,7 +3,7 @@ import re
 from functools import reduce
 
 import pytest
-from conftest import rows
+from comparing import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.ml.feature import StopWordsRemover

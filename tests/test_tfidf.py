@@ -2,7 +2,7 @@ import math
 from collections import Counter
 
 import pytest
-from conftest import rows
+from comparing import rows
 from pyspark.sql import functions as F
 
 from candor.functions.text import clean_text, tokenize
