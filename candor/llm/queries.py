@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candor.llm import (
+    byte_bpe,
     decontamination,
     line_dedup,
     lm_scoring,
     mixing,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -19,7 +22,7 @@ from candor.llm import (
     simhash,
     url_filter,
 )
-from candor.llm.shared import key_fold, text_crc32
+from candor.llm.shared import GAP, key_fold, text_crc32
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,3 +163,46 @@ def op6_decontaminate(spark, sf_dir):
         "doc_id", (F.size("leaks") > 0).alias("contaminated"),
         F.size("leaks").cast("bigint").alias("n_leaks"), F.array_join(leak, ",").alias("leaks"),
     )
+
+
+@query
+def op11_byte_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    bpe = byte_bpe.ByteBpe(spark, byte_bpe.Vocabulary.read(path, public_tokenizers.PATTERN))
+    docs = table(spark, sf_dir, "documents")
+    coded = docs.select("doc_id", bpe.encode(F.col("text")).alias("ids"))
+    decoded = coded.select("doc_id", "ids", bpe.decode(F.col("ids")).alias("decoded"))
+    return decoded.select(
+        "doc_id", byte_bpe.token_count(F.col("ids")).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def made_periodic(key: Column, text: Column) -> Column:
+    """The texts of one key in ten made to repeat from some word on; the others as they are."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
+    n, h = F.size(words), F.crc32(key.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
+    period = F.slice(words, a + 1, p)
+    repeated = F.slice(F.flatten(F.array_repeat(period, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    changed = F.array_join(F.concat(F.slice(words, F.lit(1), a), repeated), " ")
+    return F.when((h % 10 == 0) & (n > 0), changed).otherwise(text)
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", made_periodic(F.col("doc_id"), F.col("text")).alias("text")
+    )
+    found = docs.select("doc_id", periodic_runs.periodic_runs(F.col("text")).alias("found"))
+    top = periodic_runs.greatest_run(F.col("found.runs"))
+    rows = found.select("doc_id", "found", top.alias("top"))
+    return rows.select(
+        "doc_id", F.size("found.runs").cast("bigint").alias("n_runs"),
+        "top.start", "top.length", "top.period",
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(periodic_runs.run_lines(F.col("found.runs")), 256).alias("runs_sha256"),
+        F.sha2("found.collapsed", 256).alias("collapsed_sha256"),
+    )
