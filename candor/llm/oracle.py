@@ -122,3 +122,52 @@ SELECT page_id, host, path, rule,
        host || path IN (SELECT key FROM listed) AS listed
 FROM matched WHERE nth = 1
 """
+
+
+# CRC-32 bit by bit: a byte is taken in with the first of eight steps.
+_CRC32 = """(xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(
+  range(1, length({0}) + 1), lambda i: [ascii(substr({0}, i, 1)), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)))))"""
+
+# Prefixes are named by a hash of the turns so far; a subtree's nodes are those whose smallest
+# conversation passes through its top.
+ORACLE["op13_prefix_trie"] = rf"""
+WITH ordered AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, count(*) AS n, {_CRC32.format("c::VARCHAR")} % 4 AS h FROM ordered GROUP BY c
+), shares AS (
+  SELECT v.c, v.h, v.c - v.c % 20 AS base, least(v.h, coalesce(b.n, 0)) AS taken
+  FROM convs v LEFT JOIN convs b ON b.c = v.c - v.c % 20
+), rebuilt AS (
+  SELECT s.c, t.i, t.role, t.text FROM shares s JOIN ordered t ON t.c = s.base AND t.i <= s.h
+  UNION ALL
+  SELECT s.c, t.i - s.h + s.taken, t.role, t.text FROM shares s JOIN ordered t ON t.c = s.c AND t.i > s.h
+), paths AS (
+  SELECT c, i AS depth, {_WORDS.format("text")} AS words,
+         sha256(string_agg(sha256(strlen(role) || ':' || role || text), '' ORDER BY i)
+                OVER (PARTITION BY c ORDER BY i)) AS id
+  FROM rebuilt
+  UNION ALL SELECT c, 0, 0, '' FROM convs
+), linked AS (
+  SELECT *, lag(id) OVER (PARTITION BY c ORDER BY depth) AS parent,
+         depth = max(depth) OVER (PARTITION BY c) AS is_end
+  FROM paths
+), nodes AS (
+  SELECT id, min(c) AS conv_id, any_value(depth) AS depth, any_value(parent) AS parent, count(*) AS n_convs,
+         any_value(words) AS words, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (is_end) AS ends
+  FROM linked GROUP BY id
+), children AS (
+  SELECT parent AS id, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), subtrees AS (
+  SELECT p.id, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((v.n_convs - 1) * v.words) AS saved
+  FROM nodes v JOIN paths p ON p.c = v.conv_id AND p.depth <= v.depth LEFT JOIN children k ON k.id = v.id
+  GROUP BY p.id
+)
+SELECT v.conv_id, v.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n, 0) AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM nodes v JOIN subtrees s USING (id) LEFT JOIN children k USING (id) LEFT JOIN nodes u ON u.id = v.parent
+"""

@@ -15,6 +15,7 @@ from candor.llm import (
     lm_scoring,
     mixing,
     periodic_runs,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -206,3 +207,40 @@ def op12_periodic_runs(spark, sf_dir):
         F.sha2(periodic_runs.run_lines(F.col("found.runs")), 256).alias("runs_sha256"),
         F.sha2("found.collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def with_shared_heads(blocks: DataFrame, family: int = 20, most: int = 3) -> DataFrame:
+    """Blocks of conversations whose first h turns, h <= ``most``, are those of the first of their family.
+
+    That is conversation c - c % family; h is crc32 of c as text modulo ``most`` + 1.  All
+    of its turns are taken if it has fewer, and none if it is not there.  Blocks hold
+    ``most`` turns at least.
+    """
+    conv, start = F.col("conv"), F.col("start")
+    heads = blocks.where((conv % family == 0) & (start == 0)).select(
+        conv.alias("base"), F.slice("digests", 1, most).alias("head"), F.slice("words", 1, most).alias("head_words")
+    )
+    h = F.pmod(F.crc32(conv.cast("string").cast("binary")), F.lit(most + 1)).cast("int")
+    taken = F.least(h, F.coalesce(F.size("head"), F.lit(0)))
+    joined = blocks.withColumn("base", conv - conv % family).join(heads, "base", "left").withColumns(
+        {"h": h, "taken": F.when(F.col("head").isNull(), 0).otherwise(taken)}
+    )
+    left = F.greatest(F.size("digests") - F.col("h"), F.lit(0))
+
+    def headed(own: str, head: str) -> Column:
+        none = F.array().cast(dict(blocks.dtypes)[own])
+        first = F.when(F.col("taken") > 0, F.slice(F.col(head), F.lit(1), F.col("taken"))).otherwise(none)
+        rest = F.when(left > 0, F.slice(F.col(own), F.col("h") + 1, left)).otherwise(none)
+        return F.when(start == 0, F.concat(first, rest)).otherwise(F.col(own)).alias(own)
+
+    return joined.select(
+        "conv", F.when(start == 0, start).otherwise(start - F.col("h") + F.col("taken")).alias("start"),
+        (F.col("taken") + F.greatest(F.col("total") - F.col("h"), F.lit(0))).alias("total"),
+        headed("digests", "head"), headed("words", "head_words"),
+    )
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    blocks = prefix_trie.turn_blocks(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(with_shared_heads(blocks))
