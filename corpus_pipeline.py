@@ -12,8 +12,8 @@ from candor.llm.shared import keep
 from candor.llm.simhash import drop_near_duplicates
 
 SHARDS = 24
-SHINGLE = 5
-SIMILARITY = 0.8
+SHINGLE = 3
+RADIUS = 3
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles agree to 0.8 or more."""
-    return drop_near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY)
+    """One document of each group whose fingerprints of SHINGLE words link at RADIUS bits."""
+    return drop_near_duplicates(docs, radius=RADIUS, shingle=SHINGLE)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
