@@ -4,10 +4,6 @@ Two fingerprints at most ``radius`` bits apart, cut into m parts, agree to withi
 some part i whenever the t_i + 1 add up to radius + 1.  Bits that vary together are put into
 one part, and a dynamic programme shares the thresholds out by the number of candidates that
 each part and threshold would bring, estimated over all fingerprints.
-
-Texts of a given Jaccard similarity are too far apart for that.  For them 256-bit fingerprints
-of distinct shingles are probed on many sampled parts, and candidates are verified by
-counting the shingles they share.
 """
 
 from __future__ import annotations
@@ -30,20 +26,6 @@ RADIUS = 3
 # Fingerprints of one bucket that are compared in one step; larger buckets are cut into blocks.
 BLOCK = 1024
 
-# Search for similar texts: words of 64 bits in a long fingerprint, fingerprints that agree on a
-# part by chance, the share of pairs just at the similarity that may agree on no part,
-# neighbours a fingerprint is verified with besides the spanning forest, and one in how many
-# fingerprints is counted to size the blocks.
-LONG_WORDS = 4
-PART_ROWS = 256
-MISSED = 0.001
-NEAREST = 4
-SIZE_SAMPLE = 8
-NEVER = 60_000
-_ODD = np.array(
-    [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64
-)
-
 
 def text_fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """64-bit SimHash over word shingles, repeats included, A-Z lower-cased.
@@ -280,6 +262,14 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK)
     return rows.mapInArrow(verify, "a bigint, b bigint")
 
 
+def fingerprint_roots(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """(fp, root) for distinct fingerprints: the smallest one reachable over links."""
+    links = keep(fingerprint_links(fps, radius, block), "fingerprint-links")
+    roots = components(links, "a", "b")
+    joined = fps.join(roots, fps["fp"] == roots["node"], "left")
+    return joined.select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(
     df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, block: int = BLOCK,
     shingle: int = SHINGLE,
@@ -294,248 +284,35 @@ def near_duplicates(
     marked = df.select(column(key).alias("key"), fingerprint(column(text), shingle).alias("fp"))
     marked = keep(marked, "fingerprints")
     groups = keep(marked.groupBy("fp").agg(F.min("key").alias("least")), "fingerprint-groups")
-    links = keep(fingerprint_links(groups.select("fp"), radius, block), "fingerprint-links")
-    roots = components(links, "a", "b")
-    linked = groups.join(roots, groups["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    linked = groups.join(fingerprint_roots(groups.select("fp"), radius, block), "fp")
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = linked.join(ids, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
-# --- similar texts ----------------------------------------------------------------------
-
-
-def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
-    """Hashes of the distinct word shingles in rising order, A-Z lower-cased; none without words."""
-    words = (text or "").encode().translate(ASCII_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    width = min(shingle, len(words))
-    n = len(words) - width + 1
-    digest = xxhash.xxh64_intdigest
-    columns = [words[j : j + n] for j in range(width)]
-    return np.unique(np.fromiter((digest(b" ".join(s), seed) for s in zip(*columns)), np.uint64, n))
-
-
-def long_fingerprint(hashes: np.ndarray) -> bytes:
-    """SimHash of ``LONG_WORDS`` x 64 bits over distinct shingles, so that it follows their Jaccard."""
-    votes = np.zeros(LONG_WORDS * BITS, np.int64)
-    for at in range(0, len(hashes), 4096):
-        part = hashes[at : at + 4096, None] * _ODD + _ODD
-        part ^= part >> np.uint64(32)
-        part *= np.uint64(0xD6E8FEB86659FD93)
-        part ^= part >> np.uint64(32)
-        votes += np.unpackbits(part.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * votes > len(hashes)).tobytes()
-
-
-def sketch(text: Column, shingle: int) -> Column:
-    """(node, fp): a hash of the lower-cased words, and the long fingerprint."""
-
-    @F.arrow_udf("struct<node:bigint,fp:binary>")
-    def of(texts: pa.Array) -> pa.Array:
-        nodes, fps = [], []
-        for t in texts:
-            plain = (t.as_py() or "").encode().translate(ASCII_LOWER).split()
-            nodes.append(signed(xxhash.xxh64_intdigest(b" ".join(plain), SEED)))
-            fps.append(long_fingerprint(shingle_hashes(t.as_py(), shingle)))
-        return pa.StructArray.from_arrays(
-            [pa.array(nodes, pa.int64()), pa.array(fps, pa.binary())], ["node", "fp"]
-        )
-
-    return of(text)
-
-
-def differing_share(similarity: float) -> float:
-    """Expected share of differing bits of two sets with that Jaccard; equal sizes differ most."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def long_radius(similarity: float) -> int:
-    """Differing bits that pairs of the similarity stay within, by four standard deviations."""
-    p, bits = differing_share(similarity), LONG_WORDS * BITS
-    return int(np.ceil(bits * p + 4 * np.sqrt(bits * p * (1 - p))))
-
-
-def sampled_parts(n: int, similarity: float) -> np.ndarray:
-    """Bits of each part to probe (parts x bits of a part) for n fingerprints.
-
-    A part is so wide that about ``PART_ROWS`` fingerprints agree on it by chance, and
-    there are so many parts that all of them differ for ``MISSED`` of the pairs just at the
-    similarity, if bits differ independently.  Parts come from shuffles of all bits.
-    """
-    width = max(1, int(np.ceil(np.log2(max(2, n) / PART_ROWS))))
-    agree = (1 - differing_share(similarity)) ** width
-    count = int(np.ceil(np.log(MISSED) / np.log1p(-agree)))
-    rng = np.random.default_rng(SEED)
-    bits = LONG_WORDS * BITS
-    each = bits // width
-    shuffles = [rng.permutation(bits)[: each * width].reshape(each, width) for _ in range(-(-count // each))]
-    return np.concatenate(shuffles)[:count]
-
-
-def near_pairs(values: np.ndarray, radius: int, nearest: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of a spanning forest of least distances, and of each row's nearest.
-
-    At any distance the forest joins what all pairs within that distance join; there are at
-    most 1 + ``nearest`` pairs a row, however many rows are close to each other.
-    """
-    n = len(values)
-    d = np.zeros((n, n), np.uint16)
-    for word in values.T:
-        d += np.bitwise_count(word[:, None] ^ word)
-    np.fill_diagonal(d, NEVER)
-    own = np.flatnonzero((d <= radius).any(axis=1))
-    if not len(own):
-        return own, own
-    d = d[np.ix_(own, own)]
-    a, b = [], []
-    least, origin = np.full(len(own), NEVER, np.uint16), np.zeros(len(own), np.int64)
-    todo = np.ones(len(own), bool)
-    for _ in range(len(own)):
-        at = int(np.where(todo, least, NEVER + 1).argmin())
-        if least[at] <= radius:
-            a.append(origin[at])
-            b.append(at)
-        todo[at] = False
-        closer = todo & (d[at] < least)
-        least[closer], origin[closer] = d[at][closer], at
-    k = min(nearest, len(own) - 1)
-    close = np.argpartition(d, k - 1, axis=1)[:, :k]
-    i = np.repeat(np.arange(len(own)), k)
-    j = close.ravel()
-    hit = d[i, j] <= radius
-    return own[np.r_[a, i[hit]].astype(np.int64)], own[np.r_[b, j[hit]].astype(np.int64)]
-
-
-def similar_candidates(groups: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """(a, b): pairs of nodes to verify; ``groups`` has one row (node, fp) per node."""
-    parts = sampled_parts(groups.count(), similarity)
-    radius = long_radius(similarity)
-    weights = 1 << np.arange(parts.shape[1], dtype=np.int64)
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # A few thousand rows at once: each gives a row for every part.
-            for at in range(0, batch.num_rows, 2048):
-                some = batch.slice(at, 2048)
-                fps = some.column("fp").to_pylist()
-                nodes = some.column("node").to_numpy()
-                bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1)
-                row = [n.tobytes() + f for n, f in zip(nodes, fps)]
-                for part, own in enumerate(parts):
-                    place = bits[:, own].astype(np.int64) @ weights + (part << 40)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(place), some.column("node"), pa.array(row, pa.binary())], ["place", "node", "row"]
-                    )
-
-    probes = groups.select("node", "fp").mapInArrow(probe, "place bigint, node bigint, row binary")
-    # The places' sizes only say into how many blocks to cut; a sample of the rows is enough.
-    sample = groups.where(F.pmod(F.xxhash64("node"), F.lit(SIZE_SAMPLE)) == 0).select("node", "fp")
-    sizes = sample.mapInArrow(probe, "place bigint, node bigint, row binary").groupBy("place").count()
-    cut = F.ceil(F.col("count") * SIZE_SAMPLE / block).cast("int")
-    hot = keep(sizes.select("place", cut.alias("blocks")).where("blocks > 1"), "hot-places")
-    cut = F.coalesce("blocks", F.lit(1))
-    spread = probes.join(hot, "place", "left").select(
-        "place", "row", cut.alias("blocks"), F.pmod(F.xxhash64("node"), cut).cast("int").alias("own")
-    )
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = spread.withColumn("other", others).select(
-        "place", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "row"
-    )
-    rows = met.groupBy("place", "x", "y").agg(F.collect_list("row").alias("rows"))
-    rows = rows.where(F.size("rows") > 1).select("rows")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for own in batch.column(0):
-                values = np.frombuffer(b"".join(own.as_py()), np.uint64).reshape(-1, 1 + LONG_WORDS)
-                i, j = near_pairs(values[:, 1:], radius)
-                if len(i):
-                    a, b = values[i, 0].view(np.int64), values[j, 0].view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]
-                    )
-
-    return rows.mapInArrow(compare, "a bigint, b bigint").distinct()
-
-
-def similar_links(
-    texts: DataFrame, groups: DataFrame, similarity: float, shingle: int, block: int = BLOCK
-) -> DataFrame:
-    """(a, b): candidates whose shingles' Jaccard similarity is at least ``similarity``.
-
-    ``texts`` has (key, text), ``groups`` one row (node, fp, least) per node, with ``least`` the
-    key of one of its texts.
-    """
-    pairs = keep(similar_candidates(groups, similarity, block), "similar-candidates")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = keep(groups.join(nodes, "node").select("node", F.col("least").alias("key")), "similar-nodes")
-
-    @F.arrow_udf("array<bigint>")
-    def hashes(found: pa.Array) -> pa.Array:
-        return pa.array([shingle_hashes(t.as_py(), shingle).view(np.int64) for t in found], pa.list_(pa.int64()))
-
-    sets = texts.join(wanted, "key").select("node", "text").dropDuplicates(["node"])
-    sets = keep(sets.select("node", hashes("text").alias("s")), "similar-shingles")
-    left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    share = both / (F.size("sa") + F.size("sb") - both)
-    return pairs.join(left, "a").join(right, "b").where(share >= similarity).select("a", "b")
-
-
-def similar_documents(
-    df: DataFrame, key: str, text: str, shingle: int, similarity: float, block: int = BLOCK
-) -> DataFrame:
-    """One row (key, component_id) per row: the smallest key reachable over similar texts.
-
-    Texts with equal lower-cased words are linked, and candidates of the fingerprints whose
-    distinct word shingles have a Jaccard similarity of at least ``similarity``, counted
-    exactly.  Rows with equal keys must have equal texts.  Null and blank texts are
-    texts without words.
-    """
-    texts = df.select(column(key).alias("key"), column(text).alias("text"))
-    marked = texts.withColumn("x", sketch(F.col("text"), shingle)).select("key", "x.node", "x.fp")
-    marked = keep(marked, "sketches")
-    groups = marked.groupBy("node").agg(F.min("key").alias("least"), F.first("fp").alias("fp"))
-    groups = keep(groups, "sketch-groups")
-    links = keep(similar_links(texts, groups, similarity, shingle, block), "similar-links")
-    roots = components(links, "a", "b").withColumnRenamed("node", "member")
-    linked = groups.join(roots, groups["node"] == roots["member"], "left").select(
-        "node", "least", F.coalesce("root", "node").alias("root")
-    )
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = linked.join(ids, "root").select("node", "component_id")
-    return marked.join(classes, "node").select(F.col("key").alias(key), "component_id")
-
-
 def drop_near_duplicates(
-    df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS,
-    shingle: int = SHINGLE, similarity: float | None = None,
+    df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE
 ) -> DataFrame:
     """The rows of ``df`` without near-duplicates: each group keeps its smallest key.
 
-    Without ``similarity`` fingerprints of ``shingle`` words link at ``radius`` bits; with it
-    texts link if their shingles' Jaccard similarity is at least that, and radius does not count.
-    Of rows that share the kept key the one with the smallest content hash stays, and one
-    of rows that are equal in all columns.  Column names and types do not change.
+    Fingerprints of ``shingle`` words link at ``radius`` bits.  Of rows that share the kept key the one
+    with the smallest content hash stays, and one of rows that are equal in all columns.
+    Rows are told apart by 128 bits of content hash, so that repeated and null keys stay
+    distinct.  Column names and types do not change.
     """
-    [row] = fresh(df.columns, "row")
+    row = fresh(df.columns, "row_a", "row_b")
     plain = [column(c) for c, kind in df.dtypes if not kind.startswith("map")]
-    hashed = df.withColumn(row, F.xxhash64(*plain))
-    narrow = hashed.select(column(key).alias("key"), column(text).alias("text"), column(row).alias("row"))
-    # Rows are told apart by their hash, so that repeated and null keys stay distinct.
-    if similarity is None:
-        found = near_duplicates(narrow, "row", "text", radius, shingle=shingle)
-    else:
-        found = similar_documents(narrow, "row", "text", shingle, similarity)
-    keys = hashed.select(column(row).alias("row"), column(key).alias("key")).distinct()
-    members = found.select("row", "component_id").distinct().join(keys, "row")
-    best = members.groupBy("component_id").agg(
-        F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("best")
+    hashed = df.withColumns(dict(zip(row, (F.xxhash64(*plain), F.xxhash64(F.lit("b"), *plain)))))
+    marked = keep(
+        hashed.select(
+            column(key).alias("key"), fingerprint(column(text), shingle).alias("fp"),
+            *[column(r).alias(f"row{i}") for i, r in enumerate(row)],
+        ),
+        "fingerprints",
+    )
+    fps = keep(marked.select("fp").distinct(), "fingerprint-groups")
+    best = marked.join(fingerprint_roots(fps, radius), "fp").groupBy("root").agg(
+        F.min(F.struct(F.col("key").isNull(), "key", "row0", "row1")).alias("best")
     )
-    kept = keep(best.select(F.col("best.row").alias(row)), "kept-rows")
-    return hashed.join(kept, row, "left_semi").dropDuplicates([row]).drop(row)
+    kept = keep(best.select(*[F.col(f"best.row{i}").alias(r) for i, r in enumerate(row)]), "kept-rows")
+    return hashed.join(kept, row, "left_semi").dropDuplicates(row).drop(*row)

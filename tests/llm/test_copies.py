@@ -186,120 +186,3 @@ def test_near_duplicates_of_odd_rows(spark):
     assert len(texts) == 5 and texts.count("Alpha beta gamma delta. " * 3) == 1 and None in texts
     assert sh.drop_near_duplicates(docs.limit(0)).count() == 0
     assert sh.near_duplicates(docs.limit(0)).count() == 0
-
-
-# --- similar texts ----------------------------------------------------------------------
-
-
-def five_words(text):
-    words = (text or "").translate(LOWER).encode().split()
-    k = min(5, len(words))
-    return {b" ".join(words[j : j + k]) for j in range(len(words) - k + 1)} if words else set()
-
-
-def similar_pairs(docs, similarity=0.8):
-    """Pairs of keys of different texts that are similar, found through their rarest shingles."""
-    sets = [(i, five_words(t)) for i, t in docs]
-    count = {}
-    for _, s in sets:
-        for x in s:
-            count[x] = count.get(x, 0) + 1
-    seen, out = {}, []
-    for at, (i, s) in enumerate(sets):
-        rare = sorted(s, key=lambda x: (count[x], x))[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]
-        for j in {j for x in rare for j in seen.get(x, ())}:
-            both = len(s & sets[j][1])
-            if both / (len(s) + len(sets[j][1]) - both) >= similarity:
-                out.append((sets[j][0], i))
-        for x in rare:
-            seen.setdefault(x, []).append(at)
-    return out
-
-
-def copy_with(rng, words, changes):
-    words = list(words)
-    for at in rng.sample(range(len(words)), changes):
-        words[at] = f"new{rng.getrandbits(40)}"
-    return words
-
-
-def test_similar_pairs_of_whole_tables_are_linked(spark, sf_dir):
-    docs = [(d["doc_id"], d["text"]) for d in read(sf_dir, "documents")]
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = {r["doc_id"]: r["component_id"] for r in sh.similar_documents(df, "doc_id", "text", 5, 0.8).collect()}
-    pairs = similar_pairs(docs)
-    assert len(pairs) > 5 and all(got[a] == got[b] for a, b in pairs)
-    near = {i for pair in pairs for i in pair}
-    assert all(got[i] == i for i in got if i not in near)
-
-
-def test_stage_drops_similar_and_keeps_less_similar_texts(spark):
-    """One changed word in 50 leaves 41 of 51 shingles equal (0.804), two leave 36 of 56 (0.643)."""
-    import corpus_pipeline as cp
-
-    rng = random.Random(4)
-    rows, left = [], []
-    for i in range(0, 300, 3):
-        words = [f"w{rng.randrange(10**6)}" for _ in range(50)]
-        near, far = list(words), list(words)
-        near[25] = "other"
-        far[15], far[35] = "one", "two"
-        rows += [(i, " ".join(words), "s"), (i + 1, " ".join(near).upper(), "s"), (i + 2, " ".join(far), "s")]
-        left += [i, i + 2]
-    assert len(similar_pairs([r[:2] for r in rows])) == 100
-    kept = cp.distinct_documents(spark, documents(spark, rows), "").collect()
-    assert sorted(r["doc_id"] for r in kept) == left
-
-
-def test_similar_texts_of_odd_rows(spark):
-    docs = documents(spark, odd_rows())
-    kept = sh.drop_near_duplicates(docs, shingle=5, similarity=0.8)
-    assert kept.columns == docs.columns
-    texts = [r["text"] for r in kept.collect()]
-    assert len(texts) == 5 and None in texts
-    assert sh.drop_near_duplicates(docs.limit(0), shingle=5, similarity=0.8).count() == 0
-
-
-def test_parts_of_many_fingerprints_reach_pairs_at_the_similarity():
-    """As many and as wide parts as 15 million documents get: 250 words, 6 of them changed."""
-    rng = random.Random(5)
-    parts, hit, total = sh.sampled_parts(15_000_000, 0.8), 0, 0
-    while total < 300:
-        words = [str(rng.getrandbits(40)) for _ in range(250)]
-        texts = [" ".join(w) for w in (words, copy_with(rng, words, 6))]
-        a, b = map(five_words, texts)
-        if not 0.79 <= len(a & b) / len(a | b) <= 0.82:
-            continue
-        fps = [np.frombuffer(sh.long_fingerprint(sh.shingle_hashes(t, 5)), np.uint8) for t in texts]
-        equal = np.unpackbits(fps[0] ^ fps[1]) == 0
-        total += 1
-        hit += equal[parts].all(axis=1).any() and (~equal).sum() <= sh.long_radius(0.8)
-    assert hit / total > 0.97
-
-
-def test_near_pairs_span_what_all_pairs_join():
-    rng = np.random.default_rng(3)
-    centres = rng.integers(0, 2**63, (4, 4)).astype(np.uint64)
-    values = np.repeat(centres, 60, axis=0)
-    for row in values:
-        for bit in rng.integers(0, 256, rng.integers(0, 40)):
-            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-    distance = np.bitwise_count(values[:, None] ^ values).sum(axis=2)
-
-    def classes(edges):
-        root = list(range(len(values)))
-
-        def find(i):
-            while root[i] != i:
-                i = root[i]
-            return i
-
-        for i, j in edges:
-            a, b = find(int(i)), find(int(j))
-            root[max(a, b)] = min(a, b)
-        return [find(i) for i in root]
-
-    for radius in (20, 40, 62):
-        i, j = sh.near_pairs(values, radius)
-        assert (distance[i, j] <= radius).all() and len(i) <= 5 * len(values)
-        assert classes(zip(i, j)) == classes(np.argwhere(distance <= radius))
