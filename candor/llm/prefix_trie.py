@@ -52,11 +52,11 @@ def turn_blocks(
     df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
     size: int = BLOCK_TURNS,
 ) -> DataFrame:
-    """(conv, start, total, digests, words): conversations as blocks of up to ``size`` turns.
+    """(conv, start, first, total, digests, words): conversations as blocks of up to ``size`` turns.
 
     Turns are ordered by ``turn``, null first, and equal ones by their digest.  ``start`` is the number
     of turns before the block and ``total`` that of the conversation.  Every conversation
-    has a block with start 0.  Rows without a conversation are in none.
+    has one block that is ``first``.  Rows without a conversation are in none.
 
     Turns are sorted by ranges, so a conversation of any length is spread over tasks; only the
     first and the last conversation of a task can go on in another, and their offsets
@@ -128,7 +128,7 @@ def turn_blocks(
     parted = numbered.where(f"not ({whole})").join(across.unionByName(inside), ["conv", "part"]).select(
         "conv", (F.col("offset") + F.col("nth") * size).alias("start"), "total", "digests", "words"
     )
-    return alone.unionByName(parted)
+    return alone.unionByName(parted).withColumn("first", F.col("start") == 0)
 
 
 # --- nodes ------------------------------------------------------------------------------
@@ -156,25 +156,24 @@ def carried(blocks: DataFrame) -> DataFrame:
 
     A conversation of one block carries nothing.  Of the others one row a block is summed.
     """
-    alone = "start = 0 and size(digests) = total"
+    alone = "first and size(digests) = total"
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            convs, starts, digests = (batch.column(i).to_pylist() for i in range(3))
+            starts, digests = batch.column("start").to_pylist(), batch.column("digests").to_pylist()
             hashes = [block_hash(s, d) for s, d in zip(starts, digests)]
-            limbs = [[h >> 32 * i & LIMB for h in hashes] for i in range(4)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (convs, starts, *limbs)], ["conv", "start", *LIMBS]
-            )
+            limbs = [pa.array([h >> 32 * i & LIMB for h in hashes], pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *limbs], ["conv", "start", "first", *LIMBS])
 
     parted = blocks.where(f"not ({alone})")
-    of_block = parted.select("conv", "start", "digests").mapInArrow(
-        sums, "conv bigint, start bigint, " + ", ".join(f"{x} bigint" for x in LIMBS)
+    of_block = parted.select("conv", "start", "first", "digests").mapInArrow(
+        sums, "conv bigint, start bigint, first boolean, " + ", ".join(f"{x} bigint" for x in LIMBS)
     )
+    # A first block without turns has the start of the second, and adds nothing.
     before = Window.partitionBy("conv").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    carry = of_block.select("conv", "start", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x) for x in LIMBS])
+    carry = of_block.select("conv", "start", "first", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x) for x in LIMBS])
     zero = {x: F.lit(0).cast("bigint") for x in LIMBS}
-    return blocks.where(alone).withColumns(zero).unionByName(parted.join(carry, ["conv", "start"]))
+    return blocks.where(alone).withColumns(zero).unionByName(parted.join(carry, ["conv", "start", "first"]))
 
 
 ROWS = pa.schema([(x, pa.int64()) for x in ("a", "b", "pa", "pb", "depth", "conv", "words", "below")])
@@ -190,10 +189,10 @@ def prefixes(blocks: DataFrame) -> DataFrame:
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for batch in batches:
-            for conv, start, total, digests, words, *limbs in zip(*(c.to_pylist() for c in batch.columns)):
+            for conv, start, first, total, digests, words, *limbs in zip(*(c.to_pylist() for c in batch.columns)):
                 at = sum(limb << 32 * i for i, limb in enumerate(limbs)) % (1 << 128)
                 here = signed(at >> 64), signed(at & (1 << 64) - 1)
-                if start == 0:
+                if first:
                     out.append((ROOT, ROOT, ROOT, ROOT, 0, conv, 0, total + 1))
                 for depth, (digest, n) in enumerate(zip(digests, words), start + 1):
                     at = (at + place_hash(depth, digest)) % (1 << 128)
@@ -205,7 +204,7 @@ def prefixes(blocks: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=ROWS)
 
-    return carried(blocks).select("conv", "start", "total", "digests", "words", *LIMBS).mapInArrow(expand, ROWS_DDL)
+    return carried(blocks).select("conv", "start", "first", "total", "digests", "words", *LIMBS).mapInArrow(expand, ROWS_DDL)
 
 
 def trie_nodes(rows: DataFrame) -> DataFrame:

@@ -213,29 +213,35 @@ def with_shared_heads(blocks: DataFrame, family: int = 20, most: int = 3) -> Dat
     """Blocks of conversations whose first h turns, h <= ``most``, are those of the first of their family.
 
     That is conversation c - c % family; h is crc32 of c as text modulo ``most`` + 1.  All
-    of its turns are taken if it has fewer, and none if it is not there.  Blocks hold
-    ``most`` turns at least.
+    of its turns are taken if it has fewer, and none if it is not there.
     """
     conv, start = F.col("conv"), F.col("start")
-    heads = blocks.where((conv % family == 0) & (start == 0)).select(
-        conv.alias("base"), F.slice("digests", 1, most).alias("head"), F.slice("words", 1, most).alias("head_words")
-    )
+    # The first turns can lie in several blocks; at most ``most`` of a conversation's begin that early.
+    near = blocks.where((conv % family == 0) & (start < most) & (F.size("digests") > 0))
+    pairs = F.arrays_zip(F.slice("digests", 1, most).alias("digest"), F.slice("words", 1, most).alias("n"))
+    heads = near.groupBy(conv.alias("base")).agg(
+        F.array_sort(F.collect_list(F.struct("start", pairs.alias("p")))).alias("b")
+    )
+    head = F.slice(F.flatten(F.col("b.p")), 1, most)
+    heads = heads.select("base", head["digest"].alias("head"), head["n"].alias("head_words"))
     h = F.pmod(F.crc32(conv.cast("string").cast("binary")), F.lit(most + 1)).cast("int")
-    taken = F.least(h, F.coalesce(F.size("head"), F.lit(0)))
-    joined = blocks.withColumn("base", conv - conv % family).join(heads, "base", "left").withColumns(
-        {"h": h, "taken": F.when(F.col("head").isNull(), 0).otherwise(taken)}
-    )
-    left = F.greatest(F.size("digests") - F.col("h"), F.lit(0))
+    taken = F.when(F.col("head").isNull(), 0).otherwise(F.least(F.col("h"), F.size("head")))
+    joined = blocks.withColumns({"base": conv - conv % family, "h": h}).join(heads, "base", "left")
+    joined = joined.withColumn("taken", taken)
+    # Of the block's own turns those up to the h-th of the conversation go.
+    gone = F.greatest(F.col("h") - start, F.lit(0)).cast("int")
+    left = F.greatest(F.size("digests") - gone, F.lit(0))
 
     def headed(own: str, head: str) -> Column:
         none = F.array().cast(dict(blocks.dtypes)[own])
-        first = F.when(F.col("taken") > 0, F.slice(F.col(head), F.lit(1), F.col("taken"))).otherwise(none)
-        rest = F.when(left > 0, F.slice(F.col(own), F.col("h") + 1, left)).otherwise(none)
-        return F.when(start == 0, F.concat(first, rest)).otherwise(F.col(own)).alias(own)
-
-    return joined.select(
-        "conv", F.when(start == 0, start).otherwise(start - F.col("h") + F.col("taken")).alias("start"),
-        (F.col("taken") + F.greatest(F.col("total") - F.col("h"), F.lit(0))).alias("total"),
+        before = F.when(F.col("first") & (F.col("taken") > 0), F.slice(F.col(head), F.lit(1), F.col("taken")))
+        rest = F.when(left > 0, F.slice(F.col(own), gone + 1, left))
+        return F.concat(F.coalesce(before, none), F.coalesce(rest, none)).alias(own)
+
+    moved = F.greatest(start - F.col("h"), F.lit(0)) + F.col("taken")
+    return joined.where(F.col("first") | (left > 0)).select(
+        "conv", F.when(F.col("first"), F.lit(0)).otherwise(moved).cast("bigint").alias("start"), "first",
+        (F.col("taken") + F.greatest(F.col("total") - F.col("h"), F.lit(0))).cast("bigint").alias("total"),
         headed("digests", "head"), headed("words", "head_words"),
     )
 

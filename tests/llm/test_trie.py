@@ -105,12 +105,17 @@ def test_shared_heads(spark):
     # The head's own conversation is shorter than the heads taken of it.
     rows = [r for r in rows if r[0] != 40] + [(40, 0, "u", "only")] + [(c, t, "a", f"own {t}") for c in (41, 42, 43, 44) for t in (1, 2)]
     convs = rebuilt(in_order(rows))
-    for size in (4, 1024):
-        blocks = with_shared_heads(pt.turn_blocks(spark.createDataFrame(rows, SCHEMA), size=size)).collect()
+    # Blocks of one turn, as the edges of tasks make them too.
+    for size in (1, 2, 1024):
+        blocks = with_shared_heads(pt.turn_blocks(spark.createDataFrame(rows, SCHEMA), size=size))
+        found = blocks.collect()
         for c, turns in convs.items():
-            own = sorted((r for r in blocks if r["conv"] == c), key=lambda r: (r["start"], len(r["digests"])))
+            own = sorted((r for r in found if r["conv"] == c), key=lambda r: (r["start"], len(r["digests"])))
             assert [bytes(d) for r in own for d in r["digests"]] == [digest(*t) for t in turns]
-            assert {r["total"] for r in own} == {len(turns)}
+            assert {r["total"] for r in own} == {len(turns)} and [r["first"] for r in own].count(True) == 1
+            assert [r["start"] for r in own[1:]] == [r["start"] + len(r["digests"]) for r in own[:-1]]
+        if size == 1:
+            assert trie_rows(pt.prefix_trie(blocks, 6)) == brute_trie(convs)
 
 
 def test_trie_of_odd_rows(spark):
