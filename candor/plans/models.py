@@ -14,12 +14,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel, Transformer
-from pyspark.ml.classification import (
-    LinearSVC,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +30,14 @@ from candor.operators.labels import (
     encode_labels,
     valid_labels,
 )
+from candor.operators.linear import (
+    LOGISTIC,
+    MULTINOMIAL,
+    SQUARED_HINGE,
+    LinearModel,
+    NewtonClassifier,
+    PackedRows,
+)
 from candor.operators.metrics import confusion_cells, model_comparison
 from candor.operators.splits import assign_folds, nested_split, stratified_split
 from candor.operators.tfidf import (
@@ -49,13 +52,10 @@ from candor.sources.staging import stage
 # Stop when the loss or the gradient changes by less than this share.
 TOLERANCE = 1e-4
 
-# Binary fits of one model that run side by side; models run side by side as well.
-BINARY_FITS = 2
-
 # Given the number of training rows, build an unfitted classifier.  Balanced
-# weights sum to that number, so the penalty 1 / (c * rows) equals inverse
+# weights sum to that number, so the penalty 1 / (c * rows) of MLlib equals inverse
 # strength c on the unscaled loss.
-ClassifierRule = Callable[[int], Estimator]
+ClassifierRule = Callable[[int], Estimator | NewtonClassifier]
 COLUMNS = {"featuresCol": "features", "labelCol": "label_id", "weightCol": "weight"}
 
 
@@ -70,25 +70,20 @@ def logistic(c: float = 1.0, max_iter: int = 1000, tol: float = TOLERANCE) -> Cl
 
 
 def logistic_one_vs_rest(
-    c: float = 1.0, max_iter: int = 1000, tol: float = TOLERANCE
+    c: float = 1.0, max_iter: int = 100, tol: float = TOLERANCE
 ) -> ClassifierRule:
-    def make(rows: int) -> Estimator:
-        binary = LogisticRegression(
-            regParam=1.0 / (c * rows), maxIter=max_iter, tol=tol, standardization=False
-        )
-        return OneVsRest(classifier=binary, parallelism=BINARY_FITS, **COLUMNS)
+    """A logistic regression per class against the rest, the intercept penalised like a feature."""
+    return lambda rows: NewtonClassifier(LOGISTIC, c, tol, max_iter)
 
-    return make
 
+def linear_svm(c: float = 1.0, max_iter: int = 100, tol: float = TOLERANCE) -> ClassifierRule:
+    """A squared-hinge SVM per class against the rest, the intercept penalised like a feature."""
+    return lambda rows: NewtonClassifier(SQUARED_HINGE, c, tol, max_iter)
 
-def linear_svm(c: float = 1.0, max_iter: int = 1000, tol: float = TOLERANCE) -> ClassifierRule:
-    def make(rows: int) -> Estimator:
-        binary = LinearSVC(
-            regParam=1.0 / (c * rows), maxIter=max_iter, tol=tol, standardization=False
-        )
-        return OneVsRest(classifier=binary, parallelism=BINARY_FITS, **COLUMNS)
 
-    return make
+def softmax_newton(c: float = 1.0, max_iter: int = 100, tol: float = TOLERANCE) -> ClassifierRule:
+    """The objective of ``logistic``, by Newton's method, which can start from a weaker penalty's model."""
+    return lambda rows: NewtonClassifier(MULTINOMIAL, c, tol, max_iter)
 
 
 def random_forest(trees: int = 100, depth: int = 15, seed: int = 42) -> ClassifierRule:
@@ -229,7 +224,7 @@ class TextModel:
     features: TextFeatures
     vocabulary: Vocabulary
     classes: tuple[str, ...]
-    classifier: Transformer
+    classifier: Transformer | LinearModel
 
     def score_vectors(self, df: DataFrame, *keep: str) -> DataFrame:
         """(keep, prediction, probabilities): the class name, and one number per class in order.
@@ -240,17 +235,21 @@ class TextModel:
         """
         names = F.array(*[F.lit(c) for c in self.classes])
         scored = self.classifier.transform(df)
-        if "probability" in scored.columns:
-            shares = vector_to_array("probability")
-        else:
-            margins = vector_to_array("rawPrediction")
+        if isinstance(self.classifier, LinearModel):
+            if self.classifier.kind == MULTINOMIAL:
+                # From the largest margin down, so that none overflows.
+                raised = F.transform("margins", lambda m: F.exp(m - F.array_max("margins")))
+            else:
+                raised = F.transform("margins", lambda m: 1 / (1 + F.exp(-m)))
             shares = let(
-                F.transform(margins, lambda m: 1 / (1 + F.exp(-m))),
+                raised,
                 lambda p: let(
                     F.aggregate(p, F.lit(0.0), lambda a, x: a + x),
                     lambda total: F.transform(p, lambda x: x / total),
                 ),
             )
+        else:
+            shares = vector_to_array("probability")
         chosen = F.element_at(names, F.col("prediction").cast("int") + 1)
         return scored.select(*keep, chosen.alias("prediction"), shares.alias("probabilities"))
 
@@ -271,12 +270,16 @@ class TextModel:
     def save(self, spark: SparkSession, path: str) -> None:
         description = {
             "name": self.name, "features": asdict(self.features), "classes": list(self.classes),
+            "linear": isinstance(self.classifier, LinearModel),
         }
         meta = spark.createDataFrame([(json.dumps(description),)], "description string")
         meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/description")
         vocabulary = self.vocabulary.table(spark)
         vocabulary.coalesce(1).write.mode("overwrite").parquet(f"{path}/vocabulary")
-        PipelineModel([self.classifier]).write().overwrite().save(f"{path}/classifier")
+        if description["linear"]:
+            self.classifier.save(spark, f"{path}/classifier")
+        else:
+            PipelineModel([self.classifier]).write().overwrite().save(f"{path}/classifier")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TextModel:
@@ -285,12 +288,16 @@ class TextModel:
         spec = description["features"]
         spec["ngram_range"] = tuple(spec["ngram_range"])
         spec["stop_words"] = tuple(spec["stop_words"])
+        if description["linear"]:
+            classifier = LinearModel.load(spark, f"{path}/classifier")
+        else:
+            classifier = PipelineModel.load(f"{path}/classifier").stages[0]
         return cls(
             description["name"],
             TextFeatures(**spec),
             Vocabulary.from_table(spark.read.parquet(f"{path}/vocabulary")),
             tuple(description["classes"]),
-            PipelineModel.load(f"{path}/classifier").stages[0],
+            classifier,
         )
 
 
