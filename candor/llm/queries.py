@@ -170,12 +170,10 @@ def op6_decontaminate(spark, sf_dir):
 def op11_byte_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     bpe = byte_bpe.ByteBpe(spark, byte_bpe.Vocabulary.read(path, public_tokenizers.PATTERN))
-    docs = table(spark, sf_dir, "documents")
-    coded = docs.select("doc_id", bpe.encode(F.col("text")).alias("ids"))
-    decoded = coded.select("doc_id", "ids", bpe.decode(F.col("ids")).alias("decoded"))
-    return decoded.select(
-        "doc_id", byte_bpe.token_count(F.col("ids")).alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    coded = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip(F.col("text")).alias("x"))
+    return coded.select(
+        "doc_id", byte_bpe.token_count(F.col("x.ids")).alias("n_tokens"),
+        F.sha2("x.ids", 256).alias("ids_sha256"), F.sha2("x.decoded", 256).alias("decoded_sha256"),
     )
 
 

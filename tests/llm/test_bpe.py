@@ -58,9 +58,20 @@ def test_every_code_point_is_cut_as_the_library_cuts_it(vocabulary, library):
 def test_pieces_are_right_after_they_are_forgotten(vocabulary, library, monkeypatch):
     monkeypatch.setattr(bb, "KNOWN_PIECES", 3)
     encoder = bb.Encoder(vocabulary.ranks, vocabulary.pattern)
-    text = "uncached unseenish wordlets repeatedly repeatedlyish unseenish wordlets " * 5
-    assert bb.split_ids(encoder.encode(text)) == library.encode_ordinary(text)
-    assert len(encoder) <= 3
+    for text in ["uncached unseenish wordlets repeatedlyish " * 5, "quizzically otherwordlet", "", "unseenish" * 20]:
+        assert bb.split_ids(encoder.encode(text)) == library.encode_ordinary(text)
+        # What is left is of the last texts only, and nothing long.
+        assert len(encoder) <= 8 and all(len(p.encode()) <= bb.KNOWN_BYTES for p in encoder)
+
+
+def test_trees_side_by_side_equal_single_trees(vocabulary):
+    pairs, rng = bb.PairRanks(vocabulary.ranks), random.Random(5)
+    longest = max(map(len, vocabulary.ranks))
+    for size in (1, 2, 8, 64):
+        pieces = ["".join(rng.choices("abcdeée東 ", k=size)).encode()[: rng.randint(1, size)] for _ in range(300)]
+        ids, counts = bb.merged_together(pieces, pairs, size)
+        want = [[vocabulary.ranks[t] for t in bb.merged(p, vocabulary.ranks, longest)] for p in pieces]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
 def test_another_vocabulary_merges_by_its_own_ranks():
@@ -76,11 +87,13 @@ def test_encoding_of_odd_rows(spark, vocabulary, library):
     docs = documents(spark, odd_rows()).withColumnRenamed("n_chars", "ids")
     bpe = bb.ByteBpe(spark, vocabulary)
     coded = docs.select("*", bpe.encode(F.col("text")).alias("packed"))
-    rows = coded.select("text", "packed", bpe.decode(F.col("packed")).alias("back")).collect()
+    both = bpe.round_trip(F.col("text")).alias("both")
+    rows = coded.select("text", "packed", bpe.decode(F.col("packed")).alias("back"), both).collect()
     assert len(rows) == len(odd_rows())
     for r in rows:
         assert bb.split_ids(r["packed"]) == library.encode_ordinary(r["text"] or "")
         assert bytes(r["back"]).decode() == (r["text"] or "")
+        assert r["both"]["ids"] == r["packed"] and r["both"]["decoded"] == r["back"]
     assert coded.limit(0).count() == 0
 
 
