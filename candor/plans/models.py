@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -389,6 +390,98 @@ def predict_split(
     return stage(union, "predictions")
 
 
+# A candidate of a cross-validation: how texts become vectors, and how vectors are learned.
+Candidate = tuple[TextFeatures, ClassifierRule]
+
+
+@dataclass(frozen=True)
+class Folds:
+    """Labelled rows in folds: staged tokens, and what each fold needs to know of the others.
+
+    ``rows`` has (key, label, label_id, fold, tokens); terms are counted once per fold and kind of features.
+    """
+
+    rows: DataFrame
+    per_class: DataFrame
+    counts: dict[TextFeatures, DataFrame]
+    classes: tuple[str, ...]
+    key: str
+
+    @classmethod
+    def of(
+        cls, df: DataFrame, key: str, text: str, label: str, features: Sequence[TextFeatures], k: int, seed: int
+    ) -> Folds:
+        rows = valid_labels(df, label).select(key, F.col(label).alias("label"), F.col(text).alias("text"))
+        classes = class_table(rows)
+        folds = assign_folds(encode_labels(rows, classes), key, "label", k, seed=seed)
+        tokens = folds.withColumn("tokens", clean_tokens("text")).drop("text")
+        staged = stage(tokens, "folds", "fold", spread=True)
+        counts = {
+            spec: stage(corpus_term_counts(staged, spec.terms("tokens"), ["fold"]), "fold-terms")
+            for spec in dict.fromkeys(features)
+        }
+        per_class = stage(staged.groupBy("fold", "label").agg(F.count("*").alias("n")), "fold-classes")
+        names = tuple(r["label"] for r in sorted(classes.collect(), key=lambda r: r["label_id"]))
+        return cls(staged, per_class, counts, names, key)
+
+    def others(self, fold: int, spec: TextFeatures) -> tuple[DataFrame, Vocabulary, int]:
+        """Staged vectors of all rows by the vocabulary of the other folds, with their class weights."""
+        terms = self.counts[spec].where(F.col("fold") != fold).groupBy("term").agg(
+            F.sum("tf").alias("tf"), F.sum("df").alias("df")
+        )
+        sizes = self.per_class.where(F.col("fold") != fold).groupBy("label").agg(F.sum("n").alias("n"))
+        n_train = sizes.agg(F.sum("n")).first()[0]
+        vocabulary = Vocabulary.from_arrow(chosen_terms(terms, n_train, spec))
+        weighted = self.rows.join(balanced(sizes).select("label", "weight"), "label", "left")
+        vectors = tfidf_vectors(weighted, vocabulary, "tokens", spec).drop("tokens")
+        held = vectors.withColumn("held_out", F.col("fold") == fold)
+        return stage(held, "fold-vectors", "held_out"), vocabulary, n_train
+
+    def scored(self, fold: int, spec: TextFeatures, rules: Mapping[str, ClassifierRule]) -> DataFrame:
+        """(model, fold, key, label, prediction) of the fold's rows, by models of one kind of features.
+
+        Vectors are made once.  Newton classifiers share one packed table, and those of one objective
+        are fitted from the strongest penalty on, each from the one before.
+        """
+        vectors, vocabulary, n_train = self.others(fold, spec)
+        train, held_out = vectors.where("not held_out"), vectors.where("held_out")
+        unfitted = {name: rule(n_train) for name, rule in rules.items()}
+        fitted: dict[str, Transformer | LinearModel] = {}
+        paths = [(name, u) for name, u in unfitted.items() if isinstance(u, NewtonClassifier)]
+        if paths:
+            packed = PackedRows.of(train)
+            try:
+                last: dict[str, LinearModel] = {}
+                for name, u in sorted(paths, key=lambda p: p[1].c):
+                    fitted[name] = last[u.kind] = replace(u, start=last.get(u.kind)).fit_rows(packed)
+            finally:
+                packed.release()
+        for name, u in unfitted.items():
+            if name not in fitted:
+                fitted[name] = u.fit(fit_partitions(train))
+        frames = [
+            TextModel(name, spec, vocabulary, self.classes, classifier)
+            .score_vectors(held_out, "fold", self.key, "label")
+            .select(F.lit(name).alias("model"), "fold", self.key, "label", "prediction")
+            for name, classifier in fitted.items()
+        ]
+        return reduce(DataFrame.unionByName, frames)
+
+    def run(
+        self, candidates: Mapping[str, Candidate], names: Sequence[str], folds: Sequence[int], parallelism: int
+    ) -> DataFrame:
+        """Staged (model_rank, model, fold, key, label, prediction) of some candidates on some folds."""
+        work = [
+            (fold, spec, {n: candidates[n][1] for n in names if candidates[n][0] == spec})
+            for spec in dict.fromkeys(candidates[n][0] for n in names)
+            for fold in folds
+        ]
+        frames = in_parallel(self.rows.sparkSession, lambda w: self.scored(*w), work, parallelism)
+        rank = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(candidates) for x in (n, i)]), F.col("model"))
+        union = reduce(DataFrame.unionByName, frames)
+        return stage(union.select(rank.alias("model_rank"), "*"), "cross-validated")
+
+
 def cross_validated_predictions(
     df: DataFrame,
     key: str,
@@ -404,44 +497,11 @@ def cross_validated_predictions(
 
     The vocabulary and the class weights of a fold come from the other folds only.  Terms
     are counted once per fold, and a fold's vocabulary is what the others add up to;
-    vectors are made for the fit and the scoring and are not written.
+    a fold's vectors are written once for all candidates.
     """
-    rows = valid_labels(df, label).select(
-        key, F.col(label).alias("label"), F.col(text).alias("text")
-    )
-    classes = class_table(rows)
-    folds = assign_folds(encode_labels(rows, classes), key, "label", k, seed=seed)
-    tokens = folds.withColumn("tokens", clean_tokens("text")).drop("text")
-    staged = stage(tokens, "folds", "fold", spread=True)
-    counts = stage(corpus_term_counts(staged, features.terms("tokens"), ["fold"]), "fold-terms")
-    per_class = stage(staged.groupBy("fold", "label").agg(F.count("*").alias("n")), "fold-classes")
-    names = tuple(r["label"] for r in sorted(classes.collect(), key=lambda r: r["label_id"]))
-
-    def run(fold: int) -> list[DataFrame]:
-        others = counts.where(F.col("fold") != fold).groupBy("term").agg(
-            F.sum("tf").alias("tf"), F.sum("df").alias("df")
-        )
-        sizes = per_class.where(F.col("fold") != fold).groupBy("label").agg(F.sum("n").alias("n"))
-        n_train = sizes.agg(F.sum("n")).first()[0]
-        weights = balanced(sizes).select("label", "weight")
-        vocabulary = Vocabulary.from_arrow(chosen_terms(others, n_train, features))
-        train = fit_partitions(staged.where(F.col("fold") != fold)).join(weights, "label")
-        vectors = tfidf_vectors(train, vocabulary, "tokens", features)
-        held_out = staged.where(F.col("fold") == fold)
-        frames = []
-        for rank, (name, rule) in enumerate(candidates.items()):
-            classifier = rule(n_train).fit(vectors.drop("tokens"))
-            model = TextModel(name, features, vocabulary, names, classifier)
-            scored = model.predict_tokens(held_out, "fold", key, "label").drop("probabilities")
-            frames.append(scored.select(F.lit(rank).alias("model_rank"), F.lit(name).alias("model"), "*"))
-        return frames
-
-    scored = in_parallel(df.sparkSession, run, range(k), parallelism)
-    frames = [frame for fold in scored for frame in fold]
-    union = frames[0]
-    for frame in frames[1:]:
-        union = union.unionByName(frame)
-    return stage(union, "cross-validated")
+    folds = Folds.of(df, key, text, label, [features], k, seed)
+    pairs = {name: (features, rule) for name, rule in candidates.items()}
+    return folds.run(pairs, list(pairs), range(k), parallelism)
 
 
 def cross_validate(
@@ -457,6 +517,67 @@ def cross_validate(
     return model_comparison(confusion_cells(scored))
 
 
+def best_name(scores: DataFrame, metric: str) -> str:
+    """The candidate with the best score, on a tie the first."""
+    return max(scores.collect(), key=lambda r: (r[metric], -r["model_rank"]))["model"]
+
+
+def halving_rungs(k: int) -> list[list[int]]:
+    """Folds in rungs: one, one, two, four, ... until all k are used."""
+    rungs, at, size = [], 0, 1
+    while at < k:
+        rungs.append(list(range(at, min(k, at + size))))
+        at += size
+        size = max(1, at)
+    return rungs
+
+
+def halving_search(
+    df: DataFrame,
+    key: str,
+    text: str,
+    candidates: Mapping[str, Candidate],
+    metric: str = "f1_score",
+    label: str = "label",
+    k: int = 5,
+    keep: float = 0.5,
+    parallelism: int = 4,
+    seed: int = 42,
+) -> tuple[DataFrame, DataFrame]:
+    """Successive halving over folds, for a grid of features and classifiers.
+
+    All candidates are scored on the first fold; after every rung of folds the share ``keep`` that is best on all
+    rows scored so far goes on, at least one.  Returns the staged predictions with the rung that made
+    them, and the comparison of the candidates that were scored on all folds.
+    """
+    if not 0 < keep <= 1 or not candidates:
+        raise ValueError("keep a share of at least one candidate")
+    folds = Folds.of(df, key, text, label, [spec for spec, _ in candidates.values()], k, seed)
+    alive, done = list(candidates), []
+    rungs = halving_rungs(k)
+    for rung, own in enumerate(rungs):
+        done.append(folds.run(candidates, alive, own, parallelism).withColumn("rung", F.lit(rung)))
+        so_far = reduce(DataFrame.unionByName, done).where(F.col("model").isin(alive))
+        scores = model_comparison(confusion_cells(so_far.drop("rung")))
+        if rung + 1 < len(rungs):
+            best = sorted(scores.collect(), key=lambda r: (-r[metric], r["model_rank"]))
+            alive = [r["model"] for r in best[: max(1, round(keep * len(alive)))]]
+    return reduce(DataFrame.unionByName, done), scores
+
+
+def fit_best(
+    df: DataFrame, key: str, text: str, name: str, candidate: Candidate, label: str = "label"
+) -> TextModel:
+    """One candidate fitted on all rows."""
+    spec, rule = candidate
+    known = valid_labels(df, label).select(key, F.col(label).alias("label"), F.col(text).alias("text"))
+    classes = class_table(known)
+    tokens = encode_labels(known, classes).withColumn("tokens", clean_tokens("text")).drop("text")
+    rows = stage(tokens.withColumn("split", F.lit("train")), "tuned", spread=True)
+    corpus = corpus_of(rows, classes, key)
+    return fit_model(corpus, stage_features(corpus, spec), ModelSpec(name, spec, rule))
+
+
 def tune(
     df: DataFrame,
     key: str,
@@ -469,14 +590,23 @@ def tune(
 ) -> tuple[DataFrame, TextModel]:
     """The candidates' scores, and the best one fitted on all rows; on a tie the first."""
     scores = cross_validate(df, key, text, features, candidates, label=label, **options)
-    best = max(scores.collect(), key=lambda r: (r[metric], -r["model_rank"]))["model"]
-    known = valid_labels(df, label).select(key, F.col(label).alias("label"), F.col(text).alias("text"))
-    classes = class_table(known)
-    tokens = encode_labels(known, classes).withColumn("tokens", clean_tokens("text")).drop("text")
-    rows = stage(tokens.withColumn("split", F.lit("train")), "tuned", spread=True)
-    corpus = corpus_of(rows, classes, key)
-    staged = stage_features(corpus, features)
-    return scores, fit_model(corpus, staged, ModelSpec(best, features, candidates[best]))
+    best = best_name(scores, metric)
+    return scores, fit_best(df, key, text, best, (features, candidates[best]), label)
+
+
+def tune_grid(
+    df: DataFrame,
+    key: str,
+    text: str,
+    candidates: Mapping[str, Candidate],
+    metric: str = "f1_score",
+    label: str = "label",
+    **options,
+) -> tuple[DataFrame, TextModel]:
+    """The same over features as well, by successive halving."""
+    _, scores = halving_search(df, key, text, candidates, metric, label, **options)
+    best = best_name(scores, metric)
+    return scores, fit_best(df, key, text, best, candidates[best], label)
 
 
 def score_saved(

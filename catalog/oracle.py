@@ -582,6 +582,14 @@ WITH folds AS ({ORACLE["kfold_assign"].strip()}), m(model_rank, model) AS (VALUE
 SELECT model_rank::INT AS model_rank, model, fold, count(*) AS n, count(*) AS n_documents
 FROM folds, m GROUP BY ALL"""
 
+# Four candidates meet the first fold, two the second, one the others.
+ORACLE["halving_search"] = f"""
+WITH folds AS ({ORACLE["kfold_assign"].strip()}),
+  r(fold, rung, n_candidates) AS (VALUES (0, 0, 4), (1, 1, 2), (2, 2, 1), (3, 2, 1), (4, 3, 1))
+SELECT rung::INT AS rung, n_candidates::BIGINT AS n_candidates, count(*) AS n_documents,
+       sum(n_candidates)::BIGINT AS n
+FROM folds JOIN r USING (fold) GROUP BY ALL"""
+
 ORACLE["model_roundtrip"] = f"""
 WITH {NESTED_CUT} SELECT doc_id, label, true AS same, true AS known FROM nested WHERE split = 'test'"""
 

@@ -572,7 +572,7 @@ def evaluate_all(spark, sf_dir):
 @query
 def cross_validate(spark, sf_dir):
     """Rows and distinct documents scored, by candidate and fold."""
-    candidates = {f"C={c}": plan.logistic(c) for c in (0.5, 1.0)}
+    candidates = {f"C={c}": plan.softmax_newton(c) for c in (0.5, 1.0)}
     scored = plan.cross_validated_predictions(
         t.labelled(spark, sf_dir), "doc_id", "text", tfidf.TextFeatures(3000), candidates
     )
@@ -581,6 +581,26 @@ def cross_validate(spark, sf_dir):
     )
 
 
+GRID = {
+    f"{kind} C={c}": (features, rule(c))
+    for kind, features, rule in (
+        ("svm", tfidf.TextFeatures(1000), plan.linear_svm),
+        ("ovr", tfidf.TextFeatures(1000, sublinear_tf=True), plan.logistic_one_vs_rest),
+    )
+    for c in (0.1, 1.0)
+}
+
+
+@query
+def halving_search(spark, sf_dir):
+    """Candidates and documents scored in each rung of folds."""
+    scored, _ = plan.halving_search(t.labelled(spark, sf_dir), "doc_id", "text", GRID)
+    return scored.groupBy("rung").agg(
+        F.count_distinct("model").alias("n_candidates"), F.count_distinct("doc_id").alias("n_documents"),
+        F.count("*").alias("n"),
+    )
+
+
 def _saved(spark, sf_dir):
     corpus = _corpus(spark, sf_dir)
     [model], _ = plan.train_all(corpus, [plan.baseline_a(3000)])

@@ -6,7 +6,7 @@ import pytest
 from comparing import rows
 from pyspark.sql import functions as F
 
-from candor.operators import metrics, scoring
+from candor.operators import linear, metrics, scoring
 from candor.operators.tfidf import TextFeatures
 from candor.plans import experiment
 from candor.plans import models as plan
@@ -130,6 +130,33 @@ def test_cross_validation_scores_every_row_once(labelled):
     assert all(0 < r["accuracy"] <= 1 for r in scores)
 
 
+GRID = {
+    f"{n} {c}": (TextFeatures(n), plan.logistic_one_vs_rest(c)) for n in (30, 300) for c in (1e-4, 1.0)
+}
+
+
+def test_halving_finds_the_winner_of_the_full_grid(labelled):
+    scored, scores = plan.halving_search(labelled, "doc_id", "text", GRID, k=3)
+    _, full = plan.halving_search(labelled, "doc_id", "text", GRID, k=3, keep=1.0)
+    assert full.count() == len(GRID)
+    assert plan.best_name(scores, "f1_score") == plan.best_name(full, "f1_score")
+    per_rung = scored.groupBy("rung").agg(F.count_distinct("model").alias("m"), F.count_distinct("fold").alias("f"))
+    assert sorted(map(tuple, per_rung.collect())) == [(0, 4, 1), (1, 2, 1), (2, 1, 1)]
+    assert plan.halving_rungs(5) == [[0], [1], [2, 3], [4]] and plan.halving_rungs(1) == [[0]]
+    with pytest.raises(ValueError):
+        plan.halving_search(labelled, "doc_id", "text", {})
+
+
+def test_a_path_of_penalties_ends_where_each_fit_alone_ends(corpus):
+    staged = plan.stage_features(corpus, TextFeatures(200))
+    rows = linear.PackedRows.of(plan.train_rows(staged))
+    alone = linear.NewtonClassifier(linear.MULTINOMIAL, 1.0).fit_rows(rows)
+    before = linear.NewtonClassifier(linear.MULTINOMIAL, 0.1).fit_rows(rows)
+    after = linear.NewtonClassifier(linear.MULTINOMIAL, 1.0, start=before).fit_rows(rows)
+    rows.release()
+    assert np.abs(alone.coefficients - after.coefficients).max() < 2e-3
+
+
 def test_the_best_candidate_is_fitted_on_all_rows(labelled):
     candidates = {"weak": plan.logistic(1e-6, 20), "strong": plan.logistic(1.0, 20)}
     scores, model = plan.tune(labelled, "doc_id", "text", TextFeatures(200), candidates, k=3)
