@@ -51,4 +51,5 @@ def run_lengths(values: Column, value_name: str, count_name: str) -> Column:
             ),
         )
 
-    return let(F.array_sort(values), runs)
+    # sort_array compares in the JVM's own order; array_sort would run a comparator lambda.
+    return let(F.sort_array(values), runs)

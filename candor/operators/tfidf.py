@@ -11,7 +11,9 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import (
     Binarizer,
     CountVectorizerModel,
@@ -61,7 +63,8 @@ def corpus_term_counts(
     the aggregation.
     """
     terms = F.col(tokens) if isinstance(tokens, str) else tokens
-    counted = df.select(*by, F.inline(term_counts(terms)))
+    # The outer form keeps Spark from adding a filter that would count every row twice.
+    counted = df.select(*by, F.inline_outer(term_counts(terms))).where(F.col("term").isNotNull())
     return counted.groupBy(*by, "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
@@ -84,9 +87,66 @@ def chosen_terms(counts: DataFrame, n_docs: int, spec: TextFeatures) -> pa.Table
     return kept.append_column("term_id", ids).select(["term", "term_id", "tf", "df", "idf"])
 
 
+# Totals of so many buckets of terms are kept on the driver; and how many buckets per wanted
+# term are looked into first.
+TERM_BUCKETS = 1 << 18
+BUCKETS_PER_TERM = 4
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def bucket_totals(df: DataFrame, terms: Column) -> np.ndarray:
+    """Occurrences of all terms of each bucket: a bound on the count of each of its terms.
+
+    A summary of fixed size that tasks and tables can add up; no term is shuffled.
+    """
+    buckets = df.select(F.explode_outer(F.transform(terms, term_bucket)).alias("b")).where("b is not null")
+    counted = buckets.groupBy("b").count().toArrow()
+    totals = np.zeros(TERM_BUCKETS, np.int64)
+    totals[counted["b"].to_numpy()] = counted["count"].to_numpy()
+    return totals
+
+
+def in_buckets(terms: Column, chosen: np.ndarray) -> Column:
+    """The terms whose bucket is chosen (a truth value per bucket)."""
+    words = F.lit(np.packbits(chosen, bitorder="little").view(np.int64).tolist()).cast("array<bigint>")
+
+    def test(term: Column) -> Column:
+        return let(
+            term_bucket(term),
+            lambda b: F.bit_get(F.get(words, F.shiftright(b, 6)), b.bitwiseAND(F.lit(63))) == 1,
+        )
+
+    return F.filter(terms, test)
+
+
+def top_terms(
+    df: DataFrame, terms: Column, n_docs: int, spec: TextFeatures, totals: np.ndarray
+) -> pa.Table:
+    """``chosen_terms`` of the whole count, from an exact count of the terms in heavy buckets only.
+
+    A term outside has fewer occurrences than ``least``.  If the last term chosen has ``least`` or more,
+    no other can precede it.  If not, its count is a bound that all of the true choice
+    meet, and a second count with it is final.
+    """
+    wanted = min(TERM_BUCKETS, BUCKETS_PER_TERM * spec.max_features)
+    least = int(np.partition(totals, TERM_BUCKETS - wanted)[TERM_BUCKETS - wanted])
+    while True:
+        heavy = in_buckets(terms, totals >= least) if least > 1 else terms
+        kept = chosen_terms(corpus_term_counts(df, heavy), n_docs, spec)
+        last = pc.min(kept["tf"]).as_py() if kept.num_rows == spec.max_features else 0
+        if least <= 1 or last >= least:
+            return kept
+        least = last
+
+
 def fit_terms(df: DataFrame, tokens: str, spec: TextFeatures, n_docs: int | None = None) -> pa.Table:
+    """The vocabulary of the documents: what ``chosen_terms`` makes of all counts."""
     n_docs = df.count() if n_docs is None else n_docs
-    return chosen_terms(corpus_term_counts(df, spec.terms(tokens)), n_docs, spec)
+    terms = spec.terms(tokens)
+    return top_terms(df, terms, n_docs, spec, bucket_totals(df, terms))
 
 
 def fit_vocabulary(df: DataFrame, tokens: str, spec: TextFeatures) -> DataFrame:

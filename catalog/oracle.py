@@ -260,6 +260,8 @@ ORACLE["vocab_fit"] = f"""
 WITH {TOKENS}, {tfidf('toks', 'toks', True, 3000, True).strip()}
 SELECT term, (row_number() OVER (ORDER BY term) - 1)::INT AS term_id, tf, df FROM vocab"""
 
+ORACLE["vocab_incremental"] = ORACLE["vocab_fit"]
+
 ORACLE["term_counts"] = f"""
 WITH {TOKENS}, e AS (SELECT doc_id, unnest(t) AS term FROM toks)
 SELECT doc_id, term, count(*) AS tf FROM e GROUP BY ALL"""

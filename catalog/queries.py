@@ -24,6 +24,7 @@ from candor.operators import (
 )
 from candor.operators import labels as lab
 from candor.operators.lookup import small_table
+from candor.operators.term_state import TermState
 from candor.plans import models as plan
 from candor.sources.staging import fresh_path, stage
 from candor.sources.tables import one_json_document, read_csv, write_csv, write_json
@@ -208,6 +209,19 @@ def vocab_fit(spark, sf_dir):
     )
 
 
+@query
+def vocab_incremental(spark, sf_dir):
+    """The vocabulary of all documents, from the state of half of them and the other half."""
+    docs = t.tokens(spark, sf_dir)
+    first, second = (docs.where(F.pmod("doc_id", F.lit(2)) == i) for i in (0, 1))
+    half = TermState.create(first, "tokens", ENHANCED, fresh_path(spark, "terms"), buckets=8)
+    state = half.add(second, "tokens", fresh_path(spark, "terms"))
+    chosen = spark.createDataFrame(state.vocabulary()).select("term", "term_id", "tf", "df")
+    for one in (half, state):
+        one.drop()
+    return chosen
+
+
 @query
 def term_counts(spark, sf_dir):
     counted = t.tokens(spark, sf_dir).select("doc_id", txt.term_counts("tokens").alias("c"))
