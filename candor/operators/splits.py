@@ -25,6 +25,8 @@ from candor.operators.lookup import small_table
 # Rows that share a hash prefix, on average.
 ROWS_PER_PREFIX = 4096
 MAX_PREFIX_BITS = 30
+# Prefixes of prefixes, of which the driver adds up the rows.
+TOP_BITS = 10
 
 CutRule = Callable[[DataFrame], DataFrame]
 
@@ -220,6 +222,25 @@ def debug_subset(
     return blocks.where("block = 0").drop("block")
 
 
+def prefix_offsets(histogram: DataFrame, bits: int) -> DataFrame:
+    """``histogram`` (_bucket, _count) plus ``_off``, the rows in the prefixes before.
+
+    In two levels: at most 2 ** TOP_BITS prefixes of prefixes are added up on the driver, and every
+    one of them adds up its own, so no task sees all prefixes.
+    """
+    shift = max(0, bits - TOP_BITS)
+    tops = histogram.groupBy(F.shiftright("_bucket", shift).alias("_top")).agg(F.sum("_count").alias("n")).collect()
+    before, starts = 0, []
+    for row in sorted(tops):
+        starts.append((row["_top"], before))
+        before += row["n"]
+    known = histogram.sparkSession.createDataFrame(starts, "_top int, _start bigint")
+    earlier = Window.partitionBy("_top").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = histogram.withColumn("_top", F.shiftright("_bucket", shift)).join(F.broadcast(known), "_top")
+    inside = F.coalesce(F.sum("_count").over(earlier), F.lit(0))
+    return placed.withColumn("_off", F.col("_start") + inside).drop("_top", "_start")
+
+
 def ranked_rows(df: DataFrame, key: str, ranks: DataFrame, *, seed: int = 42, n: int) -> DataFrame:
     """``ranks`` (with a column ``idx`` from 0 to n - 1) plus the key that has that rank.
 
@@ -232,9 +253,7 @@ def ranked_rows(df: DataFrame, key: str, ranks: DataFrame, *, seed: int = 42, n:
         "_bucket", _bucket(F.col("_h"), bits)
     )
     histogram = hashed.groupBy("_bucket").agg(F.count("*").alias("_count"))
-    # One row per prefix, n / ROWS_PER_PREFIX of them.
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    spans = histogram.withColumn("_off", F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
+    spans = prefix_offsets(histogram, bits)
     width = -(-n // 2**bits)
 
     def cell(rank: Column) -> Column:

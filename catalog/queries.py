@@ -79,7 +79,7 @@ def standardize_columns(spark, sf_dir):
 
 @query
 def fewest_distinct_column(spark, sf_dir):
-    return roles.fewest_distinct(roles.distinct_counts(t.table(spark, sf_dir, "documents")))
+    return roles.fewest_distinct_column(t.table(spark, sf_dir, "documents"))
 
 
 @query

@@ -113,3 +113,15 @@ def test_the_data_is_not_shuffled_to_split_it(spark, tmp_path):
     physical = plan[plan.index("== Physical Plan =="):]
     assert "BroadcastHashJoin" in physical
     assert "hashpartitioning" not in physical and "SinglePartition" not in physical
+
+
+@pytest.mark.parametrize("bits, top", [(1, 10), (9, 3), (12, 10)])
+def test_prefix_offsets_in_two_levels(spark, monkeypatch, bits, top):
+    monkeypatch.setattr(splits, "TOP_BITS", top)
+    counts = {b: 1 + b * 7 % 5 for b in range(0, 2**bits, 3)}
+    df = spark.createDataFrame(list(counts.items()), "_bucket int, _count bigint")
+    found = splits.prefix_offsets(df, bits)
+    got = {r["_bucket"]: (r["_count"], r["_off"]) for r in found.collect()}
+    assert got == {b: (n, sum(m for c, m in counts.items() if c < b)) for b, n in counts.items()}
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+    assert splits.prefix_offsets(df.limit(0), bits).count() == 0

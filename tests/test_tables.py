@@ -57,6 +57,31 @@ def test_choice_of_the_text_column(spark):
     assert roles.select_text_column(neither) == "x"
 
 
+def test_fewest_distinct_by_sketches_equals_the_whole_count(spark, monkeypatch):
+    df = spark.range(20_000).select(
+        "id", (F.col("id") % 5000).alias("a"), (F.col("id") % 4990).cast("string").alias("b.c"),
+        F.when(F.col("id") % 2 == 0, F.col("id") % 5000).alias("half"), F.sha2(F.col("id").cast("string"), 512).alias("t"),
+    )
+    counted = []
+    whole = roles.distinct_counts
+    monkeypatch.setattr(roles, "distinct_counts", lambda d, c: counted.append(c) or whole(d, c))
+    for columns, best in ((None, ("half", 2500)), (["id", "a", "b.c"], ("b.c", 4990)), (["a", "id"], ("a", 5000))):
+        assert tuple(roles.fewest_distinct_column(df, columns).first()) == best
+        assert best == tuple(roles.fewest_distinct(whole(df, columns)).first())
+    # Columns of nearly as few values are counted too, others are not.
+    assert counted == [["half"], ["a", "b.c"], ["a"]]
+    bounds = roles.distinct_bounds(df)
+    assert all(low <= n <= high for (low, high), n in zip(bounds.values(), (20_000, 5000, 4990, 2500, 20_000)))
+
+
+def test_fewest_distinct_of_nulls_ties_and_nothing(spark):
+    df = spark.createDataFrame([(1, "x", None), (2, "x", None), (2, None, None)], "a int, b string, n string")
+    assert tuple(roles.fewest_distinct_column(df).first()) == ("n", 0)
+    assert tuple(roles.fewest_distinct_column(df, ["a", "b"]).first()) == ("b", 1)
+    assert tuple(roles.fewest_distinct_column(df.withColumn("c", F.col("b")), ["c", "b"]).first()) == ("c", 1)
+    assert roles.detect_label_column(df, "n") == "b"
+
+
 def test_distinct_counts_with_nulls_and_long_values(spark):
     df = frame(spark, "a string, b int", ("x" * 500, 1), ("x" * 500, None), ("x" * 499, 1))
     assert rows(roles.distinct_counts(df).select("column", "n_distinct")) == [("a", 2), ("b", 1)]
