@@ -33,11 +33,11 @@ ORDER = 5
 SYMBOL_BITS = 9
 END = 257
 ALPHABET = 257
-CHUNK_BYTES = 16 * 1024 * 1024
+CHUNK_BYTES = 10 * 1024 * 1024
 # Symbols that are looked at in one step.
 BLOCK_SYMBOLS = 2_000_000
 # Distinct words and windows that a task holds before it passes them on.
-HELD_ENTRIES = 3_000_000
+HELD_ENTRIES = 1_500_000
 PRIME = 1_000_003
 
 TALLY = "chunk bigint, bucket int, words array<binary>, word_n array<bigint>, grams array<bigint>, gram_n array<bigint>"
