@@ -8,14 +8,14 @@ total), and symbols that a longer context could have coded are excluded from the
 The model is trained before it scores, so the probability of a symbol depends on its window
 alone, and each distinct window is worked out once.
 
-Documents are handled in chunks.  A chunk asks for its distinct words and windows in buckets,
-every bucket answers all chunks, and the answers meet the chunk's texts.  No table of the model
-is broadcast or held whole in a task.
+Documents are handled in chunks of about CHUNK_BYTES.  A document's chunk is written next to it
+before anything is counted, so that it is the same whatever tasks read it later.  A chunk asks
+for its distinct words and windows in buckets, every bucket answers all chunks, and the answers
+meet the chunk's texts.  No table of the model is broadcast or held whole in a task.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,6 +23,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +35,10 @@ ORDER = 5
 SYMBOL_BITS = 9
 END = 257
 ALPHABET = 257
-CHUNK_BYTES = 10 * 1024 * 1024
+# More text in a chunk shares more words and windows, and takes more memory: about 30 bytes a byte.
+CHUNK_BYTES = 4 * 1024 * 1024
 # Symbols that are looked at in one step.
-BLOCK_SYMBOLS = 2_000_000
-# Distinct words and windows that a task holds before it passes them on.
-HELD_ENTRIES = 1_500_000
+BLOCK_SYMBOLS = 1_000_000
 PRIME = 1_000_003
 
 TALLY = "chunk bigint, bucket int, words array<binary>, word_n array<bigint>, grams array<bigint>, gram_n array<bigint>"
@@ -50,35 +51,54 @@ def token_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(ASCII_LOWER).split()
 
 
-def windows(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed windows of ORDER + 1 symbols of all documents, and the document of each."""
-    texts = [b" ".join(words) for words in docs]
+def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed windows of ORDER + 1 symbols of all texts, and where each text's begin."""
     lengths = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(np.r_[0, lengths + ORDER + 1])
     symbols = np.zeros(int(starts[-1]), np.int64)
-    raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
-    ends = np.cumsum(lengths)
-    shift = starts[:-1] + ORDER - (ends - lengths)
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    shift = starts[:-1] + ORDER - (np.cumsum(lengths) - lengths)
     symbols[np.repeat(shift, lengths) + np.arange(len(raw))] = raw
+    symbols[symbols.nonzero()] += 1
     symbols[starts[:-1] + ORDER + lengths] = END
-    n = len(symbols) - ORDER
-    packed = np.zeros(max(0, n), np.int64)
-    for j in range(ORDER + 1):
-        packed = (packed << SYMBOL_BITS) | symbols[j : j + n]
-    return packed[symbols[ORDER:] != 0], np.repeat(np.arange(len(docs)), lengths + 1)
+    return packed_windows(symbols)[symbols[ORDER:] != 0], np.cumsum(np.r_[0, lengths[:-1] + 1])
 
 
-def blocks(docs: list[list[bytes]]) -> Iterator[tuple[int, int]]:
-    """Ranges of documents with about BLOCK_SYMBOLS symbols; a longer text is a range of its own."""
-    begin, held = 0, 0
+def packed_windows(symbols: np.ndarray) -> np.ndarray:
+    n = max(0, len(symbols) - ORDER)
+    packed = symbols[:n].copy()
+    for j in range(1, ORDER + 1):
+        packed <<= SYMBOL_BITS
+        packed |= symbols[j : j + n]
+    return packed
+
+
+def blocks(docs: list[list[bytes]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first document, windows, starts) of runs of documents with about BLOCK_SYMBOLS symbols.
+
+    A longer text comes in several pieces, each as a run of one document.
+    """
+    texts: list[bytes] = []
+    first = held = 0
     for i, words in enumerate(docs):
-        size = sum(map(len, words)) + len(words) + ORDER
-        if i > begin and held + size > BLOCK_SYMBOLS:
-            yield begin, i
-            begin, held = i, 0
-        held += size
-    if begin < len(docs):
-        yield begin, len(docs)
+        text = b" ".join(words)
+        if texts and held + len(text) > BLOCK_SYMBOLS:
+            yield first, *windows(texts)
+            texts, held = [], 0
+        if len(text) > BLOCK_SYMBOLS:
+            for a in range(0, len(text) + 1, BLOCK_SYMBOLS):
+                before = np.frombuffer(text[max(0, a - ORDER) : a + BLOCK_SYMBOLS], np.uint8).astype(np.int64) + 1
+                edge = [np.zeros(max(0, ORDER - a), np.int64), before]
+                if a + BLOCK_SYMBOLS > len(text):
+                    edge.append(np.array([END], np.int64))
+                yield i, packed_windows(np.concatenate(edge)), np.zeros(1, np.int64)
+            continue
+        if not texts:
+            first = i
+        texts.append(text)
+        held += len(text) + ORDER + 1
+    if texts:
+        yield first, *windows(texts)
 
 
 def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,60 +120,38 @@ def word_bucket(word: bytes, buckets: int) -> int:
 # --- what the corpus says ---------------------------------------------------------------
 
 
-class Tally:
-    """Distinct words and windows of one chunk, with their counts in training documents.
+def tally_rows(chunk: int, docs: list[list[bytes]], train: list[bool], buckets: int) -> list[dict]:
+    """A chunk's distinct words and windows by bucket, with their counts in training documents.
 
     The end of a document is the word b"".
     """
-
-    def __init__(self) -> None:
-        self.words: Counter[bytes] = Counter()
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.docs: list[list[bytes]] = []
-        self.train: list[bool] = []
-        self.symbols = 0
-
-    def add(self, words: list[bytes], train: bool) -> None:
-        self.words.update([*words, b""] if train else dict.fromkeys([*words, b""], 0))
-        self.docs.append(words)
-        self.train.append(train)
-        self.symbols += sum(map(len, words)) + len(words)
-        if self.symbols > BLOCK_SYMBOLS:
-            self.count()
-
-    def count(self) -> None:
-        packed, owner = windows(self.docs)
+    words: Counter[bytes] = Counter()
+    for own, learns in zip(docs, train):
+        words.update([*own, b""] if learns else dict.fromkeys([*own, b""], 0))
+    learns = np.array(train, np.float64)
+    keys, values = [], []
+    for first, packed, starts in blocks(docs):
         codes, distinct = pd.factorize(packed)
-        weights = np.array(self.train, np.float64)[owner]
-        self.keys.append(distinct)
-        self.counts.append(np.bincount(codes, weights, len(distinct)).astype(np.int64))
-        self.docs, self.train, self.symbols = [], [], 0
-        if len(self.keys) > 4:
-            keys, counts = summed(self.keys, self.counts)
-            self.keys, self.counts = [keys], [counts]
-
-    def entries(self) -> int:
-        return len(self.words) + sum(map(len, self.keys))
-
-    def rows(self, chunk: int, buckets: int) -> Iterator[dict]:
-        if self.docs:
-            self.count()
-        grams, counts = summed(self.keys, self.counts)
-        of = gram_buckets(grams, buckets)
-        order = np.argsort(of, kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(buckets + 1))
-        per_bucket: list[list[bytes]] = [[] for _ in range(buckets)]
-        for word in self.words:
-            per_bucket[word_bucket(word, buckets)].append(word)
-        for b, words in enumerate(per_bucket):
-            own = order[cuts[b] : cuts[b + 1]]
-            if len(own) or words:
-                yield {
-                    "chunk": chunk, "bucket": b, "words": words,
-                    "word_n": [self.words[w] for w in words],
-                    "grams": grams[own], "gram_n": counts[own],
-                }
+        weights = np.repeat(learns[first : first + len(starts)], np.diff(np.r_[starts, len(packed)]))
+        keys.append(distinct)
+        values.append(np.bincount(codes, weights, len(distinct)).astype(np.int64))
+    grams, counts = summed(keys, values)
+    of = gram_buckets(grams, buckets)
+    order = np.argsort(of, kind="stable")
+    cuts = np.searchsorted(of[order], np.arange(buckets + 1))
+    per_bucket: dict[int, list[bytes]] = {}
+    for word in words:
+        per_bucket.setdefault(word_bucket(word, buckets), []).append(word)
+    rows = []
+    for b in np.union1d(np.unique(of), np.array(list(per_bucket), np.int64)).tolist():
+        own, named = order[cuts[b] : cuts[b + 1]], per_bucket.get(b, [])
+        rows.append(
+            {
+                "chunk": chunk, "bucket": b, "words": named, "word_n": [words[w] for w in named],
+                "grams": grams[own], "gram_n": counts[own],
+            }
+        )
+    return rows
 
 
 ROWS = pa.schema(
@@ -165,25 +163,43 @@ ROWS = pa.schema(
 )
 
 
-def tally_chunks(marked: DataFrame, buckets: int) -> DataFrame:
-    """One row per chunk and bucket (more if a task had to pass on what it held)."""
+def in_chunks(narrow: DataFrame, chunk_bytes: int) -> DataFrame:
+    """The rows with the number of their chunk, written; a task's rows fill one chunk after the other."""
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Tally] = {}
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            chunks = []
+            for size in pc.binary_length(batch.column("text")).to_pylist():
+                if held and held + size > chunk_bytes:
+                    chunk, held = chunk + 1, 0
+                held += size + 1
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(chunks, pa.int64())], [*batch.schema.names, "chunk"]
+            )
+
+    kind = narrow.schema["key"].dataType.simpleString()
+    numbered = narrow.mapInArrow(number, f"key {kind}, text binary, train boolean, chunk bigint")
+    return keep(numbered, "lm-documents")
 
-        def emptied() -> Iterator[pa.RecordBatch]:
-            for chunk, one in held.items():
-                rows = list(one.rows(chunk, buckets))
-                yield pa.RecordBatch.from_pylist(rows, ROWS)
-            held.clear()
 
+def tally_chunks(marked: DataFrame, buckets: int) -> DataFrame:
+    """One row per chunk and bucket; more where a chunk's rows are read by several tasks."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, docs, train = None, [], []
         for batch in batches:
-            chunks, train = batch.column("chunk").to_pylist(), batch.column("train").to_pylist()
-            for chunk, text, learns in zip(chunks, batch.column("text"), train):
-                held.setdefault(chunk, Tally()).add(token_words(text.as_py()), learns)
-            if sum(one.entries() for one in held.values()) > HELD_ENTRIES:
-                yield from emptied()
-        yield from emptied()
+            chunks, learn = batch.column("chunk").to_pylist(), batch.column("train").to_pylist()
+            for chunk, text, learns in zip(chunks, batch.column("text"), learn):
+                if chunk != current:
+                    if docs:
+                        yield pa.RecordBatch.from_pylist(tally_rows(current, docs, train, buckets), ROWS)
+                    current, docs, train = chunk, [], []
+                docs.append(token_words(text.as_py()))
+                train.append(learns)
+        if docs:
+            yield pa.RecordBatch.from_pylist(tally_rows(current, docs, train, buckets), ROWS)
 
     return marked.select("chunk", "text", "train").mapInArrow(tally, TALLY)
 
@@ -334,14 +350,14 @@ def answers(tallies: DataFrame, scores: DataFrame, buckets: int) -> DataFrame:
     keyed = scores.withColumn("bucket", F.pmod(F.pmod("gram", F.lit(PRIME)), F.lit(buckets)).cast("int"))
     asked = tallies.select("chunk", "bucket", "words", "word_n", "grams")
     return asked.groupBy("bucket").cogroup(keyed.groupBy("bucket")).applyInArrow(
-        answer, "chunk bigint, bucket int, counts array<bigint>, scores array<float>"
+        answer, "chunk bigint, bucket int, counts array<bigint>, scores array<double>"
     )
 
 
 ANSWERS = pa.schema(
     [
         ("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.list_(pa.int64())),
-        ("scores", pa.list_(pa.float32())),
+        ("scores", pa.list_(pa.float64())),
     ]
 )
 
@@ -361,31 +377,27 @@ def score_chunk(texts: list[bytes | None], told: dict[int, tuple[np.ndarray, np.
     for i, words in enumerate(docs):
         c = np.array([count[w] for w in words] + [count[b""]], np.int64)
         known[i], word_logs[i] = (c > 0).sum(), np.log10(c + 1).sum()
-    ranges = list(blocks(docs))
-    # First the chunk's distinct windows, which the answers follow in order; then the sums.
-    keys = np.unique(np.concatenate([pd.unique(windows(docs[a:z])[0]) for a, z in ranges]))
+    # The windows once, as numbers into the distinct ones of their block; the answers follow
+    # the chunk's distinct windows in order.
+    coded = []
+    for first, packed, starts in blocks(docs):
+        codes, distinct = pd.factorize(packed)
+        coded.append((first, starts, codes.astype(np.int32), distinct))
+    keys = np.unique(np.concatenate([distinct for *_, distinct in coded]))
     of = gram_buckets(keys, buckets)
-    value = np.zeros(len(keys))
-    for b in np.unique(of):
-        value[of == b] = told[int(b)][1]
-    index = pd.Index(keys)
+    order = np.argsort(of, kind="stable")
+    value = np.empty(len(keys))
+    value[order] = np.concatenate([told[b][1] for b in np.unique(of).tolist()])
     score = np.zeros(len(docs))
-    for a, z in ranges:
-        packed, owner = windows(docs[a:z])
-        codes, found = pd.factorize(packed)
-        logs = value[index.get_indexer(found)][codes]
-        score[a:z] = np.bincount(owner, logs, z - a)
+    for first, starts, codes, distinct in coded:
+        logs = value[np.searchsorted(keys, distinct)][codes]
+        score[first : first + len(starts)] += np.add.reduceat(logs, starts)
     return tokens, known, word_logs, score
 
 
-def in_files(df: DataFrame) -> bool:
-    """Whether the rows come straight from files, so that partitions are the same each time."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    moved = r"\b(Join|Aggregate|Repartition|RepartitionByExpression|Sort|Window|Union|Limit|Sample|LocalRelation|LogicalRDD|InMemoryRelation)\b"
-    return not re.search(moved, plan)
-
-
-def score_documents(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_documents(
+    df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
     """One row per row: key, train, n_tokens, n_known, train_tokens, base_score, score.
 
     ``train`` says from which rows to learn.  ``base_score`` is the log10 probability under
@@ -400,13 +412,8 @@ def score_documents(df: DataFrame, train: Column, key: str = "doc_id", text: str
         column(key).alias("key"), F.coalesce(column(text), F.lit("")).cast("binary").alias("text"),
         F.coalesce(train, F.lit(False)).alias("train"),
     )
-    if not in_files(narrow):
-        narrow = keep(narrow, "lm-documents")
-    conf = df.sparkSession._jsparkSession.sessionState().conf()
-    parts = max(1, -(-conf.filesMaxPartitionBytes() // CHUNK_BYTES))
-    buckets = max(1, narrow.rdd.getNumPartitions()) * parts
-    inside = F.pmod(F.xxhash64("key", F.crc32("text")), F.lit(parts))
-    marked = narrow.withColumn("chunk", F.spark_partition_id().cast("bigint") * parts + inside)
+    marked = in_chunks(narrow, chunk_bytes)
+    buckets = max(1, marked.select("chunk").distinct().count())
     tallies = keep(tally_chunks(marked, buckets), "lm-tallies")
     train_tokens, train_types = word_totals(tallies)
     counts = keep(window_counts(tallies), "lm-windows")
