@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +36,16 @@ ORDER = 5
 SYMBOL_BITS = 9
 END = 257
 ALPHABET = 257
-# More text in a chunk shares more words and windows, and takes more memory: about 30 bytes a byte.
-CHUNK_BYTES = 4 * 1024 * 1024
+# More text in a chunk shares more words and windows, and takes more memory: some 30 bytes a byte.
+CHUNK_BYTES = 8 * 1024 * 1024
 # Symbols that are looked at in one step.
 BLOCK_SYMBOLS = 1_000_000
 PRIME = 1_000_003
 
-TALLY = "chunk bigint, bucket int, words array<binary>, word_n array<bigint>, grams array<bigint>, gram_n array<bigint>"
+# Windows with equal first symbols share a bucket, so that sorted ones differ little.
+PREFIX_BITS = 3 * SYMBOL_BITS
+
+TALLY = "chunk bigint, bucket int, words binary, word_n binary, grams binary, gram_n binary"
 
 
 # --- symbols ----------------------------------------------------------------------------
@@ -110,7 +114,27 @@ def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def gram_buckets(grams: np.ndarray, buckets: int) -> np.ndarray:
-    return grams % PRIME % buckets
+    return (grams >> PREFIX_BITS) % PRIME % buckets
+
+
+def pack(values: np.ndarray) -> bytes:
+    """64-bit numbers as compressed differences, byte by byte of equal weight; few bytes if sorted."""
+    steps = np.diff(values.view(np.int64), prepend=np.int64(0))
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack(data: bytes, kind: type = np.int64) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel()).view(kind)
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    """Words hold no space.  The empty word can be among them, so no word at all is the empty string."""
+    return zstandard.compress(b" ".join(words), 1) if words else b""
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    return zstandard.decompress(data).split(b" ") if data else []
 
 
 def word_bucket(word: bytes, buckets: int) -> int:
@@ -144,11 +168,12 @@ def tally_rows(chunk: int, docs: list[list[bytes]], train: list[bool], buckets:
         per_bucket.setdefault(word_bucket(word, buckets), []).append(word)
     rows = []
     for b in np.union1d(np.unique(of), np.array(list(per_bucket), np.int64)).tolist():
-        own, named = order[cuts[b] : cuts[b + 1]], per_bucket.get(b, [])
+        own, named = order[cuts[b] : cuts[b + 1]], sorted(per_bucket.get(b, []))
         rows.append(
             {
-                "chunk": chunk, "bucket": b, "words": named, "word_n": [words[w] for w in named],
-                "grams": grams[own], "gram_n": counts[own],
+                "chunk": chunk, "bucket": b, "words": pack_words(named),
+                "word_n": pack(np.array([words[w] for w in named], np.int64)),
+                "grams": pack(grams[own]), "gram_n": pack(counts[own]),
             }
         )
     return rows
@@ -156,9 +181,8 @@ def tally_rows(chunk: int, docs: list[list[bytes]], train: list[bool], buckets:
 
 ROWS = pa.schema(
     [
-        ("chunk", pa.int64()), ("bucket", pa.int32()), ("words", pa.list_(pa.binary())),
-        ("word_n", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64())),
-        ("gram_n", pa.list_(pa.int64())),
+        ("chunk", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()),
+        ("word_n", pa.binary()), ("grams", pa.binary()), ("gram_n", pa.binary()),
     ]
 )
 
@@ -204,8 +228,8 @@ def tally_chunks(marked: DataFrame, buckets: int) -> DataFrame:
     return marked.select("chunk", "text", "train").mapInArrow(tally, TALLY)
 
 
-def _lists(table: pa.Table, name: str) -> np.ndarray:
-    return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+def _unpacked(table: pa.Table, name: str) -> list[np.ndarray]:
+    return [unpack(x.as_py()) for x in table.column(name)]
 
 
 def word_totals(tallies: DataFrame) -> tuple[int, int]:
@@ -213,8 +237,8 @@ def word_totals(tallies: DataFrame) -> tuple[int, int]:
 
     def count(table: pa.Table) -> pa.Table:
         total: Counter[bytes] = Counter()
-        for words, counts in zip(table.column("words").to_pylist(), table.column("word_n").to_pylist()):
-            for w, n in zip(words, counts):
+        for words, counts in zip(table.column("words"), table.column("word_n")):
+            for w, n in zip(unpack_words(words.as_py()), unpack(counts.as_py()).tolist()):
                 if n:
                     total[w] += n
         return pa.table({"tokens": [sum(total.values())], "types": [len(total)]})
@@ -230,7 +254,7 @@ def window_counts(tallies: DataFrame) -> DataFrame:
     """(gram, n): every window of the corpus with its count in training documents."""
 
     def count(table: pa.Table) -> pa.Table:
-        grams, n = summed([_lists(table, "grams")], [_lists(table, "gram_n")])
+        grams, n = summed(_unpacked(table, "grams"), _unpacked(table, "gram_n"))
         return pa.table({"gram": grams, "n": n})
 
     return tallies.select("bucket", "grams", "gram_n").groupBy("bucket").applyInArrow(
@@ -328,36 +352,36 @@ def answers(tallies: DataFrame, scores: DataFrame, buckets: int) -> DataFrame:
         bucket = 0
         for row in range(asked.num_rows):
             chunk, bucket = asked["chunk"][row].as_py(), asked["bucket"][row].as_py()
-            words = asked["words"][row].as_py()
-            for w, n in zip(words, asked["word_n"][row].as_py()):
+            words = unpack_words(asked["words"][row].as_py())
+            for w, n in zip(words, unpack(asked["word_n"][row].as_py()).tolist()):
                 total[w] += n
             own = per_chunk.setdefault(chunk, (set(), []))
             own[0].update(words)
-            own[1].append(asked["grams"][row].values.to_numpy(zero_copy_only=False))
+            own[1].append(unpack(asked["grams"][row].as_py()))
         keys = known["gram"].to_numpy()
         order = np.argsort(keys)
         keys, values = keys[order], known["score"].to_numpy()[order]
         out = [
             {
                 "chunk": chunk, "bucket": bucket,
-                "counts": [total[w] for w in sorted(words)],
-                "scores": values[np.searchsorted(keys, np.unique(np.concatenate(grams)))],
+                "counts": pack(np.array([total[w] for w in sorted(words)], np.int64)),
+                "scores": pack(values[np.searchsorted(keys, np.unique(np.concatenate(grams)))]),
             }
             for chunk, (words, grams) in per_chunk.items()
         ]
         return pa.Table.from_pylist(out, ANSWERS)
 
-    keyed = scores.withColumn("bucket", F.pmod(F.pmod("gram", F.lit(PRIME)), F.lit(buckets)).cast("int"))
+    prefix = F.pmod(F.shiftright("gram", PREFIX_BITS), F.lit(PRIME))
+    keyed = scores.withColumn("bucket", F.pmod(prefix, F.lit(buckets)).cast("int"))
     asked = tallies.select("chunk", "bucket", "words", "word_n", "grams")
     return asked.groupBy("bucket").cogroup(keyed.groupBy("bucket")).applyInArrow(
-        answer, "chunk bigint, bucket int, counts array<bigint>, scores array<double>"
+        answer, "chunk bigint, bucket int, counts binary, scores binary"
     )
 
 
 ANSWERS = pa.schema(
     [
-        ("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.list_(pa.int64())),
-        ("scores", pa.list_(pa.float64())),
+        ("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("scores", pa.binary()),
     ]
 )
 
@@ -424,7 +448,7 @@ def score_documents(
 
     def score(docs: pa.Table, answered: pa.Table) -> pa.Table:
         replies = {
-            b: (c.values.to_numpy(zero_copy_only=False), s.values.to_numpy(zero_copy_only=False))
+            b: (unpack(c.as_py()), unpack(s.as_py(), np.float64))
             for b, c, s in zip(answered["bucket"].to_pylist(), answered["counts"], answered["scores"])
         }
         tokens, known, logs, total = score_chunk(docs["text"].to_pylist(), replies, buckets)

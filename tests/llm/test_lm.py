@@ -102,11 +102,21 @@ def test_windows_of_a_long_text_in_pieces(monkeypatch):
         assert [sorted(g) for g in got] == want
 
 
+def test_packed_numbers_and_words_come_back():
+    rng = lm.np.random.default_rng(3)
+    for values in (lm.np.zeros(0, lm.np.int64), lm.np.sort(rng.integers(0, 2**54, 999)), lm.np.array([-5, 2**62])):
+        assert lm.unpack(lm.pack(values)).tolist() == values.tolist()
+    logs = lm.np.log10(rng.random(500))
+    assert lm.unpack(lm.pack(logs), lm.np.float64).tolist() == logs.tolist()
+    for words in ([], [b""], [b"", b"a"], [b"x\xff", b"y"]):
+        assert lm.unpack_words(lm.pack_words(words)) == words
+
+
 def test_scores_do_not_depend_on_chunks_or_partitions(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("doc_id < 120")
     train = F.col("doc_id") % 7 != 2
     want = None
-    for parts, size in ((1, 1 << 22), (5, 3000), (13, 1)):
+    for parts, size in ((1, 1 << 22), (5, 20_000), (3, 3000)):
         rows = lm.score_documents(docs.repartition(parts), train, chunk_bytes=size).collect()
         got = {r["doc_id"]: (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in rows}
         want = want or got
