@@ -119,13 +119,22 @@ def gram_buckets(grams: np.ndarray, buckets: int) -> np.ndarray:
 
 def pack(values: np.ndarray) -> bytes:
     """64-bit numbers as compressed differences, byte by byte of equal weight; few bytes if sorted."""
-    steps = np.diff(values.view(np.int64), prepend=np.int64(0))
+    steps = np.diff(values, prepend=np.int64(0))
     return zstandard.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
-def unpack(data: bytes, kind: type = np.int64) -> np.ndarray:
+def unpack(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel()).view(kind)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
+
+
+def pack_scores(values: np.ndarray) -> bytes:
+    """Doubles as they are; windows of one context are neighbours and often score the same."""
+    return zstandard.compress(values.tobytes(), 1)
+
+
+def unpack_scores(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.float64)
 
 
 def pack_words(words: list[bytes]) -> bytes:
@@ -205,7 +214,7 @@ def in_chunks(narrow: DataFrame, chunk_bytes: int) -> DataFrame:
 
     kind = narrow.schema["key"].dataType.simpleString()
     numbered = narrow.mapInArrow(number, f"key {kind}, text binary, train boolean, chunk bigint")
-    return keep(numbered, "lm-documents")
+    return keep(numbered, "lm-documents", "zstd")
 
 
 def tally_chunks(marked: DataFrame, buckets: int) -> DataFrame:
@@ -365,7 +374,7 @@ def answers(tallies: DataFrame, scores: DataFrame, buckets: int) -> DataFrame:
             {
                 "chunk": chunk, "bucket": bucket,
                 "counts": pack(np.array([total[w] for w in sorted(words)], np.int64)),
-                "scores": pack(values[np.searchsorted(keys, np.unique(np.concatenate(grams)))]),
+                "scores": pack_scores(values[np.searchsorted(keys, np.unique(np.concatenate(grams)))]),
             }
             for chunk, (words, grams) in per_chunk.items()
         ]
@@ -448,7 +457,7 @@ def score_documents(
 
     def score(docs: pa.Table, answered: pa.Table) -> pa.Table:
         replies = {
-            b: (unpack(c.as_py()), unpack(s.as_py(), np.float64))
+            b: (unpack(c.as_py()), unpack_scores(s.as_py()))
             for b, c, s in zip(answered["bucket"].to_pylist(), answered["counts"], answered["scores"])
         }
         tokens, known, logs, total = score_chunk(docs["text"].to_pylist(), replies, buckets)

@@ -20,7 +20,7 @@ LOWER = UPPER.lower()
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Compute a table once, in the folder all executors share, and read it back.
 
     It cuts the lineage: a lost executor costs a re-read of its files.  The files
@@ -28,7 +28,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.deleteOnExit(hadoop_path)

@@ -107,7 +107,7 @@ def test_packed_numbers_and_words_come_back():
     for values in (lm.np.zeros(0, lm.np.int64), lm.np.sort(rng.integers(0, 2**54, 999)), lm.np.array([-5, 2**62])):
         assert lm.unpack(lm.pack(values)).tolist() == values.tolist()
     logs = lm.np.log10(rng.random(500))
-    assert lm.unpack(lm.pack(logs), lm.np.float64).tolist() == logs.tolist()
+    assert lm.unpack_scores(lm.pack_scores(logs)).tolist() == logs.tolist()
     for words in ([], [b""], [b"", b"a"], [b"x\xff", b"y"]):
         assert lm.unpack_words(lm.pack_words(words)) == words
 
