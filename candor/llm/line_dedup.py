@@ -2,8 +2,8 @@
 
 A run counts from ``MIN_LINES`` lines or ``MIN_WORDS`` words on; lines without a word are skipped.
 From every line starts the shortest window that counts.  Repeats are found by grouping whole
-windows by their hash, and windows whose text came earlier are deleted; their union is every
-later repeat of a run, in full length.  The smallest line hash in a window (``seed``) only
+windows by their hash, and windows whose text came earlier are deleted, unless they overlap its
+first place; their union is every later repeat of a run, in full length.  The smallest line hash in a window (``seed``) only
 filters before that: equal windows have equal minima, so a window whose minimum occurs once has
 no repeat.  No positions are selected by it, and no match is extended.
 """
@@ -74,14 +74,18 @@ def fingerprints(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, first, last): windows that came earlier; ``docs`` has an ordered ``doc`` and ``text``."""
+    """(doc, first, last): windows that came earlier; ``docs`` has an ordered ``doc`` and ``text``.
+
+    A window that shares a line with the first place of its text is no repeat of it.
+    """
     windows = fingerprints(docs, min_lines, min_words)
     twice = windows.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
-    place = F.struct("doc", "first")
+    place = F.struct("doc", "first", "last")
     followed = windows.join(twice, "seed", "left_semi").withColumn("place", place)
     first = followed.groupBy("window").agg(F.min("place").alias("earliest"), F.count("*").alias("n"))
     later = followed.join(first.where("n > 1"), "window").where("place > earliest")
-    return later.select("doc", "first", "last")
+    overlaps = F.col("doc").eqNullSafe(F.col("earliest.doc")) & (F.col("first") <= F.col("earliest.last"))
+    return later.where(~overlaps).select("doc", "first", "last")
 
 
 def without_lines(text: str | None, runs: list[dict] | None) -> tuple[str | None, list[tuple[int, int]]]:
@@ -109,10 +113,11 @@ def dedup_lines(
 
     Documents are ordered by key, null keys last, and by content where keys are equal;
     rows equal in key and text count as one place, so neither is a repeat of the other.
-    The first place of a run keeps it.  Null text stays null and empty text empty.  Lines
+    The first place of a run keeps it, and so do copies that overlap it: of six equal lines
+    the last three go.  Null text stays null and empty text empty.  Lines
     without a word are never removed.  Input columns named like the new ones are replaced.
     """
-    [row] = fresh(df.columns, "row")
+    row, found, done = fresh([*df.columns, "clean_text", "removed"], "row", "runs", "cut")
     where = F.struct(
         column(key).isNull().alias("last"), column(key).alias("key"),
         F.xxhash64(column(text)).alias("content"),
@@ -120,7 +125,7 @@ def dedup_lines(
     docs = df.select(where.alias("doc"), column(text).alias("text"))
     runs = repeated_runs(docs, min_lines, min_words)
     per_doc = runs.groupBy(F.xxhash64("doc").alias(row)).agg(
-        F.collect_set(F.struct("first", "last")).alias("_runs")
+        F.collect_set(F.struct("first", "last")).alias(found)
     )
     joined = df.drop("clean_text", "removed").withColumn(row, F.xxhash64(where)).join(per_doc, row, "left")
     kind = pa.struct(
@@ -132,12 +137,11 @@ def dedup_lines(
 
     @F.arrow_udf("struct<text:string,removed:array<struct<first:int,last:int>>>")
     def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
-        found = [without_lines(t.as_py(), r.as_py()) for t, r in zip(texts, runs)]
+        left = [without_lines(t.as_py(), r.as_py()) for t, r in zip(texts, runs)]
         return pa.array(
-            [{"text": t, "removed": [{"first": a, "last": z} for a, z in u]} for t, u in found], kind
+            [{"text": t, "removed": [{"first": a, "last": z} for a, z in u]} for t, u in left], kind
         )
 
-    done = joined.withColumn("_cut", cut(column(text), F.col("_runs")))
-    return done.withColumns(
-        {"clean_text": F.col("_cut.text"), "removed": F.col("_cut.removed")}
-    ).drop("_cut", "_runs", row)
+    return joined.withColumn(done, cut(column(text), column(found))).withColumns(
+        {"clean_text": column(done)["text"], "removed": column(done)["removed"]}
+    ).drop(done, found, row)

@@ -23,15 +23,17 @@ WITH split AS (
    AND (b.r = a.r + 2 OR b.upto - a.upto + a.words >= 50)
   GROUP BY ALL
 ), windows AS (
-  SELECT e.doc_id, e.i, e.r, e.last_r, string_agg(w.line, chr(10) ORDER BY w.r) AS content
+  SELECT e.doc_id, e.i, e.r, e.last_r, max(w.i) AS last_i, string_agg(w.line, chr(10) ORDER BY w.r) AS content
   FROM ends e JOIN wordy w ON w.doc_id = e.doc_id AND w.r BETWEEN e.r AND e.last_r
   GROUP BY ALL
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS nth FROM windows
+  SELECT *, row_number() OVER place AS nth, first_value(doc_id) OVER place AS doc_1,
+         first_value(last_i) OVER place AS last_1
+  FROM windows WINDOW place AS (PARTITION BY content ORDER BY doc_id, i)
 ), gone AS (
   SELECT DISTINCT w.doc_id, w.i, w.r
   FROM ranked x JOIN wordy w ON w.doc_id = x.doc_id AND w.r BETWEEN x.r AND x.last_r
-  WHERE x.nth > 1
+  WHERE x.nth > 1 AND NOT (x.doc_id = x.doc_1 AND x.i <= x.last_1)
 ), islands AS (
   SELECT doc_id, min(i) AS first, max(i) AS last
   FROM (SELECT *, r - row_number() OVER (PARTITION BY doc_id ORDER BY r) AS island FROM gone)

@@ -15,8 +15,8 @@ from candor.llm.queries import QUERIES
 
 
 def brute_clean(rows, min_lines=3, min_words=50):
-    """Delete every shortest window that came before, one document after the other."""
-    seen, out = set(), {}
+    """Delete every shortest window that came before and does not overlap its first place."""
+    seen, out = {}, {}
     for key, text in rows:
         lines = text.split("\n")
         at = [j for j, x in enumerate(lines) if WORD.search(x)]
@@ -27,9 +27,9 @@ def brute_clean(rows, min_lines=3, min_words=50):
                 words += len(WORD.findall(lines[at[e]]))
                 if e - s + 1 >= min_lines or words >= min_words:
                     window = tuple(lines[j] for j in at[s : e + 1])
-                    if window in seen:
+                    first, end = seen.setdefault(window, (key, at[e]))
+                    if first != key or at[s] > end:
                         gone.update(at[s : e + 1])
-                    seen.add(window)
                     break
         out[key] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
     return out
@@ -52,6 +52,20 @@ def test_first_copy_stays_and_long_lines_count_alone(spark):
     assert got[2] == ("start", [(1, 4)]) and got[4] == ("\nz", [(0, 0)])
 
 
+def test_runs_that_overlap_themselves_keep_their_first_copy(spark):
+    rows = [(n, "\n".join([f"line of {n}"] * n), "s") for n in range(3, 10)]
+    got = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in ld.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {n: [(3, n - 1)] if n > 5 else [] for n in range(3, 10)}
+
+
+def test_line_dedup_beside_columns_with_clashing_names(spark):
+    block = "one line\ntwo line\nthree line"
+    docs = documents(spark, [(1, block, "s"), (2, f"{block}\nend", "t")])
+    for name in ("_runs", "_cut", "_row", "_RUNS", "doc", "seed"):
+        rows = ld.dedup_lines(docs.withColumnRenamed("source", name)).orderBy("doc_id").collect()
+        assert [r[name] for r in rows] == ["s", "t"] and [r["clean_text"] for r in rows] == [block, "end"]
+
+
 def test_line_dedup_of_odd_rows(spark):
     docs = documents(spark, odd_rows()).withColumnRenamed("n_chars", "removed")
     rows = ld.dedup_lines(docs).collect()
