@@ -74,7 +74,8 @@ def ngrams(tokens: Column | str, low: int = 1, high: int = 1) -> Column:
             grams = F.zip_with(
                 F.slice(grams, F.lit(1), F.greatest(F.size(t) - shift, F.lit(0))),
                 F.slice(t, F.lit(shift + 1), F.size(t)),
-                lambda a, b: F.concat_ws(" ", a, b),
+                # Much cheaper in a lambda than concat_ws; words are never null.
+                lambda a, b: F.concat(a, F.lit(" "), b),
             )
         return grams
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candor.functions.arrays import let
-from candor.functions.text import ngrams, remove_stop_words, term_counts
+from candor.functions.text import ngrams, remove_stop_words
 from candor.sources.staging import stage
 
 @dataclass(frozen=True)
@@ -59,13 +59,18 @@ def corpus_term_counts(
 ) -> DataFrame:
     """(term, tf, df): occurrences and documents per term, and per value of ``by``.
 
-    Terms are counted inside each document first, so a row per distinct term enters
-    the aggregation.
+    Terms are sorted inside each document, where the first of equal neighbours stands for the
+    document.  Rows go from the sorted arrays into the aggregation in compiled code; counting
+    inside the arrays would be interpreted, term by term.
     """
     terms = F.col(tokens) if isinstance(tokens, str) else tokens
-    # The outer form keeps Spark from adding a filter that would count every row twice.
-    counted = df.select(*by, F.inline_outer(term_counts(terms))).where(F.col("term").isNotNull())
-    return counted.groupBy(*by, "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    ordered = df.select(*by, F.sort_array(terms).alias("_terms"))
+    # The outer form keeps Spark from adding a filter that would sort every row twice.
+    each = ordered.select(*by, "_terms", F.posexplode_outer("_terms").alias("_at", "term"))
+    before = F.get("_terms", F.col("_at") - 1)
+    first = (F.col("_at") == 0) | ~before.eqNullSafe(F.col("term"))
+    counted = each.where(F.col("term").isNotNull()).select(*by, "term", first.cast("bigint").alias("_first"))
+    return counted.groupBy(*by, "term").agg(F.count("*").alias("tf"), F.sum("_first").alias("df"))
 
 
 def smooth_idf(n_docs: int, df: Column) -> Column:
@@ -102,8 +107,9 @@ def bucket_totals(df: DataFrame, terms: Column) -> np.ndarray:
 
     A summary of fixed size that tasks and tables can add up; no term is shuffled.
     """
-    buckets = df.select(F.explode_outer(F.transform(terms, term_bucket)).alias("b")).where("b is not null")
-    counted = buckets.groupBy("b").count().toArrow()
+    # Hashed after the explosion, where Spark compiles it.
+    each = df.select(F.explode_outer(terms).alias("term")).where("term is not null")
+    counted = each.groupBy(term_bucket(F.col("term")).alias("b")).count().toArrow()
     totals = np.zeros(TERM_BUCKETS, np.int64)
     totals[counted["b"].to_numpy()] = counted["count"].to_numpy()
     return totals
@@ -114,10 +120,9 @@ def in_buckets(terms: Column, chosen: np.ndarray) -> Column:
     words = F.lit(np.packbits(chosen, bitorder="little").view(np.int64).tolist()).cast("array<bigint>")
 
     def test(term: Column) -> Column:
-        return let(
-            term_bucket(term),
-            lambda b: F.bit_get(F.get(words, F.shiftright(b, 6)), b.bitwiseAND(F.lit(63))) == 1,
-        )
+        # Two hashes cost less than a lambda that binds one.
+        b = term_bucket(term)
+        return F.bit_get(F.get(words, F.shiftright(b, 6)), b.bitwiseAND(F.lit(63))) == 1
 
     return F.filter(terms, test)
 

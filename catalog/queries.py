@@ -204,7 +204,9 @@ def encode_sequences(spark, sf_dir):
 
 @query
 def vocab_fit(spark, sf_dir):
-    return tfidf.fit_vocabulary(t.tokens(spark, sf_dir), "tokens", ENHANCED).select(
+    # Read by two passes or three.
+    docs = stage(t.tokens(spark, sf_dir).select("tokens"), "tokens")
+    return tfidf.fit_vocabulary(docs, "tokens", ENHANCED).select(
         "term", "term_id", "tf", "df"
     )
 
@@ -235,7 +237,7 @@ def idf_table(spark, sf_dir):
 
 
 def _long(spark, sf_dir, spec, normalize):
-    docs = t.tokens(spark, sf_dir)
+    docs = stage(t.tokens(spark, sf_dir), "tokens")
     vocabulary = tfidf.Vocabulary.fit(docs, "tokens", spec)
     weights = tfidf.tfidf_long(docs, vocabulary, "tokens", spec, "doc_id", normalize)
     return weights.select("doc_id", "term", F.round("weight", 6).alias("weight"))

@@ -152,3 +152,12 @@ def test_sequences_with_and_without_a_broadcast(spark, sf_dir):
     finally:
         spark.conf.set(name, before)
     assert found[0] == found[1]
+
+
+def test_counting_runs_in_compiled_code(spark):
+    """Lambdas are interpreted term by term; the count needs none beyond those that make n-grams."""
+    docs = token_table(spark, {**TEXTS, 6: "cat cat dog"})
+    counted = tfidf.corpus_term_counts(docs, "tokens")
+    assert "lambda" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["term"]: (r["tf"], r["df"]) for r in counted.collect()}
+    assert got["cat"] == (4, 2) and got["dogs"] == (2, 1) and got["the"] == (5, 2)
