@@ -16,8 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candor.operators.tfidf import TextFeatures, chosen_terms, corpus_term_counts
+from candor.sources.staging import stage
 
 BUCKETS = 64
+# A task sorts a bucket, so buckets are doubled in number until they hold no more than this on average.
+TERMS_PER_BUCKET = 1 << 19
 COLUMNS = "term string, tf bigint, df bigint"
 
 
@@ -25,6 +28,13 @@ def quoted_path(path: str) -> str:
     return "'" + path.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def enough_buckets(buckets: int, n_terms: int) -> int:
+    """``buckets``, or the first double of it again and again that keeps the mean bucket small."""
+    while n_terms > buckets * TERMS_PER_BUCKET:
+        buckets *= 2
+    return buckets
+
+
 @dataclass(frozen=True)
 class TermState:
     """The counts (term, tf, df) of ``n_docs`` documents, for one way to make terms.
@@ -57,9 +67,10 @@ class TermState:
     def create(
         cls, df: DataFrame, tokens: str, features: TextFeatures, path: str, buckets: int = BUCKETS
     ) -> TermState:
-        """The state of the first documents, in a new folder."""
-        counts = corpus_term_counts(df, features.terms(tokens)).repartition(buckets, "term")
-        return cls._write(counts, path, features, df.count(), buckets)
+        """The state of the first documents, in a new folder, in at least so many buckets."""
+        counts = stage(corpus_term_counts(df, features.terms(tokens)), "term-counts")
+        buckets = enough_buckets(buckets, counts.count())
+        return cls._write(counts.repartition(buckets, "term"), path, features, df.count(), buckets)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, features: TextFeatures) -> TermState:
@@ -77,19 +88,29 @@ class TermState:
 
     def merged(self, df: DataFrame, tokens: str) -> DataFrame:
         """(term, tf, df) of the documents so far and those of ``df``."""
-        new = corpus_term_counts(df, self.features.terms(tokens)).withColumnsRenamed({"tf": "new_tf", "df": "new_df"})
+        return self._merged(df, tokens)[0]
+
+    def _merged(self, df: DataFrame, tokens: str) -> tuple[DataFrame, int]:
+        """The merged counts, and the number of buckets they are dealt to."""
+        counted = stage(corpus_term_counts(df, self.features.terms(tokens)), "term-counts")
+        new = counted.withColumnsRenamed({"tf": "new_tf", "df": "new_df"})
+        old = self.counts()
+        buckets = enough_buckets(self.buckets, old.count() + counted.count())
+        if buckets > self.buckets:
+            # Once per doubling, the old counts move too.
+            old = old.repartition(buckets, "term")
         # A merge join on the buckets: a broadcast could not keep terms of both sides.
-        both = self.counts().hint("merge").join(new.repartition(self.buckets, "term"), "term", "full")
-        return both.select(
+        both = old.hint("merge").join(new.repartition(buckets, "term"), "term", "full")
+        merged = both.select(
             "term",
             *[(F.coalesce(c, F.lit(0)) + F.coalesce(f"new_{c}", F.lit(0))).cast("bigint").alias(c) for c in ("tf", "df")],
         )
+        return merged, buckets
 
     def add(self, df: DataFrame, tokens: str, path: str) -> TermState:
         """The state with more documents, as a new version in a new folder.  None may have been added before."""
-        return TermState._write(
-            self.merged(df, tokens), path, self.features, self.n_docs + df.count(), self.buckets
-        )
+        counts, buckets = self._merged(df, tokens)
+        return TermState._write(counts, path, self.features, self.n_docs + df.count(), buckets)
 
     def vocabulary(self, features: TextFeatures | None = None) -> pa.Table:
         """(term, term_id, tf, df, idf) as a fit on all documents would choose them.

@@ -96,3 +96,20 @@ def test_a_state_without_documents(spark, docs, tmp_path):
     assert grown.vocabulary().to_pydict() == full(docs, spec).to_pydict()
     for one in (state, grown):
         one.drop()
+
+def test_buckets_grow_with_their_terms(spark, docs, tmp_path, monkeypatch):
+    """A task sorts one bucket, whose size must not grow with the table."""
+    from candor.operators import term_state
+
+    monkeypatch.setattr(term_state, "TERMS_PER_BUCKET", 500)
+    spec = TextFeatures(300)
+    few, rest = docs.where("doc_id < 20"), docs.where("doc_id >= 20")
+    first = TermState.create(few, "tokens", spec, str(tmp_path / "v1"), 2)
+    state = first.add(rest, "tokens", str(tmp_path / "v2"))
+    assert state.buckets > first.buckets >= 2
+    assert state.counts().count() <= 500 * state.buckets
+    assert rows(state.counts()) == rows(tfidf.corpus_term_counts(docs, spec.terms("tokens")))
+    again = TermState.open(spark, str(tmp_path / "v2"), spec)
+    assert again.buckets == state.buckets and again.vocabulary().equals(state.vocabulary())
+    for one in (first, state, again):
+        one.drop()
