@@ -240,3 +240,16 @@ def test_batch_model(spark):
 
     got = scoring.predict_batches(df, "v", 2, make).orderBy("i").collect()
     assert [r["prediction"] for r in got] == [int(i <= 5) if i != 5 else 0 for i in range(40)]
+
+
+def test_a_forest_has_no_more_tasks_than_cores(spark, monkeypatch):
+    """Each task sends on the histograms of all nodes, so its number must not follow the rows."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(plan, "SOLVER_BLOCK", 1)
+    many = spark.range(4000).select(F.col("id").alias("label_id")).repartition(64)
+    cores = spark.sparkContext.defaultParallelism
+    forest, other = plan.random_forest(2, 2)(10), plan.linear_svm()(10)
+    assert plan.fit_rows(many, forest).rdd.getNumPartitions() <= max(cores, plan.LEAST_TASKS)
+    assert plan.fit_rows(many, other).rdd.getNumPartitions() == 64
+    assert plan.fit_rows(many, forest).count() == 4000
